@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from evalframe.session import shared_path
 
@@ -97,7 +98,7 @@ def run_variants(
                 took.append((time.perf_counter() - begun) * 1_000)
             yield batch.assign(output=outputs, error=errors, latency_ms=took)
 
-    schema = given.schema.add("output", "string").add("error", "string").add("latency_ms", "double")
+    schema = StructType(list(given.schema.fields)).add("output", "string").add("error", "string").add("latency_ms", "double")
     path = path or shared_path(spark, f"outputs-{run_id}")
     spread.mapInPandas(execute, schema).withColumn("run_id", F.lit(run_id)).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

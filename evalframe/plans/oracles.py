@@ -364,11 +364,11 @@ FROM joined""",
   SELECT 'orders' AS feed,
          CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '5-LOW' THEN 'garbage'
               WHEN o_orderstatus <> 'P' OR o_orderpriority <> '1-URGENT' THEN strftime(o_orderdate, {_ISO}) END AS at_text,
-         TIMESTAMP '2001-01-01 00:00:00' AS asof
+         TIMESTAMP '2001-01-01 00:00:00' AS as_of
   FROM orders
   UNION ALL SELECT 'events', strftime(ts, {_ISO}), TIMESTAMP '2024-01-30 12:00:00' FROM events),
 aged AS (
-  SELECT feed, (epoch_us(asof) - epoch_us(TRY_CAST(at_text AS TIMESTAMP))) AS us FROM texts),
+  SELECT feed, (epoch_us(as_of) - epoch_us(TRY_CAST(at_text AS TIMESTAMP))) AS us FROM texts),
 seconds AS (SELECT feed, CASE WHEN us < 0 THEN -1 ELSE us // 1000000 END AS age FROM aged),
 units AS (SELECT feed, {_UNIT} AS unit, {_COUNT} AS n FROM seconds)
 SELECT feed, unit, CAST(n AS BIGINT) AS n, count(*) AS rows,
@@ -434,7 +434,7 @@ FROM counted""",
     "s3_offline_gaps": f"""WITH {_OBSERVED},
 ahead AS (SELECT system, "at", lead("at") OVER (PARTITION BY system ORDER BY "at", id) AS next_at FROM observed)
 SELECT system, "at" AS last_seen, next_at AS back_at, (epoch_us(next_at) - epoch_us("at")) // 1000000 AS silent_s
-FROM ahead WHERE epoch_us(next_at) - epoch_us("at") > {MISSED_POLLS} * 30 * 1000000""",
+FROM ahead WHERE epoch_us(next_at) - epoch_us("at") > {MISSED_POLLS} * 30000000::BIGINT""",
     "s4_latest_per_system": f"""WITH {_OBSERVED},
 polls AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY "at" DESC, id DESC) AS r FROM observed),
 goods AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY "at" DESC, id DESC) AS r FROM observed WHERE ok)

@@ -247,7 +247,7 @@ def e2_case_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     opening = F.col("slice") == "opening"
     whole = turns.withColumn("dataset_id", F.lit("conversation")).withColumn(
         "case_id", F.floor(F.col("case_id") / 1_000).cast("bigint")
-    ).withColumn("input", F.when(~opening, F.col("input")).otherwise(F.lit("  ")))
+    ).withColumn("input", F.when(opening, F.col("input")).otherwise(F.lit("  ")))
     known = F.to_json(F.struct(*evaluation.CASE_FIELDS))
     noted = F.to_json(F.struct(*evaluation.CASE_FIELDS, F.col("slice").alias("note")))
     raw = F.when(opening & (F.col("dataset_id") == "chat"), noted).otherwise(known)
