@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRID = 10_000
@@ -20,6 +20,17 @@ def on_grid(score: Column) -> Column:
     return F.floor(score * GRID + 0.5) / F.lit(float(GRID))
 
 
+def with_normal_forms(df: DataFrame) -> DataFrame:
+    """Add normal forms and word sets of ``output`` and ``expected`` as columns.
+
+    As columns they are worked out once per row, however many rubrics read them.
+    """
+    for name in ("output", "expected"):
+        df = df.withColumn(f"{name}_normal", normalised(F.col(name)))
+        df = df.withColumn(f"{name}_words", words(F.col(f"{name}_normal")))
+    return df
+
+
 def _verdict(expected: Column, passed: Column) -> Column:
     return F.when(expected.isNotNull(), F.coalesce(passed, F.lit(False)).cast("double"))
 
@@ -28,10 +39,6 @@ def exact(output: Column, expected: Column) -> Column:
     return _verdict(expected, output == expected)
 
 
-def normalised_exact(output: Column, expected: Column) -> Column:
-    return _verdict(expected, normalised(output) == normalised(expected))
-
-
 def contains(output: Column, expected: Column) -> Column:
     return _verdict(expected, F.contains(output, expected))
 
@@ -53,12 +60,13 @@ def json_field_equals(output: Column, path: str, expected: Column) -> Column:
     return _verdict(expected, F.get_json_object(output, path) == expected)
 
 
-def token_f1(output: Column, expected: Column) -> Column:
-    """F1 of the sets of normalised words."""
-    def words(text: Column) -> Column:
-        return F.array_remove(F.array_distinct(F.split(normalised(F.coalesce(text, F.lit(""))), " ")), "")
+def words(normal_text: Column) -> Column:
+    """Set of words of a normalised text; null counts as no words."""
+    return F.array_remove(F.array_distinct(F.split(F.coalesce(normal_text, F.lit("")), " ")), "")
+
 
-    got, want = words(output), words(expected)
+def token_f1(got: Column, want: Column, expected: Column) -> Column:
+    """F1 of two word sets."""
     shared = F.size(F.array_intersect(got, want))
     total = F.size(got) + F.size(want)
     f1 = F.when(total > 0, shared * 2.0 / F.when(total > 0, total)).otherwise(1.0)

@@ -109,14 +109,16 @@ def rubric_scores(
 ) -> DataFrame:
     """Scores in long form with the pass flag of each rubric (threshold 1 by default)."""
     limits = thresholds or {}
+    # Scores become columns first, so that each is worked out once for its value and flag.
+    wide = outputs.select(*ids, *[score.alias(f"_{i}") for i, score in enumerate(rubrics.values())])
     scored = F.explode(F.array(*[
         F.struct(
-            F.lit(name).alias("rubric"), score.alias("score"),
-            (score >= F.lit(float(limits.get(name, 1.0)))).alias("passed"),
+            F.lit(name).alias("rubric"), F.col(f"_{i}").alias("score"),
+            (F.col(f"_{i}") >= F.lit(float(limits.get(name, 1.0)))).alias("passed"),
         )
-        for name, score in rubrics.items()
+        for i, name in enumerate(rubrics)
     ]))
-    return outputs.select(*ids, scored.alias("s")).select(*ids, "s.*")
+    return wide.select(*ids, scored.alias("s")).select(*ids, "s.*")
 
 
 def composite_gate(

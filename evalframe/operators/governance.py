@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from evalframe.functions.quantiles import exact_quantiles
 
-# Masks of the private log, as (name, pattern, replacement).
+# Masks of the private log, as (name, pattern, replacement, text every match contains).
 MASKS = (
-    ("email", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,24}", "[email]"),
-    ("phone", r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "[phone]"),
-    ("secret", r'(?i)(token|secret|password|api_key) ?[=:] ?"?[a-z0-9_-]{8,}"?', "[secret]"),
+    ("email", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,24}", "[email]", "@"),
+    ("phone", r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "[phone]", "+"),
+    ("secret", r'(?i)(token|secret|password|api_key) ?[=:] ?"?[a-z0-9_-]{8,}"?', "[secret]", ""),
 )
 
 
@@ -56,8 +56,13 @@ def pseudonym(actor: Column, salt: str) -> Column:
 
 
 def masked(text: Column) -> Column:
-    for _, pattern, mark in MASKS:
-        text = F.regexp_replace(text, pattern, mark)
+    """Text with every e-mail address, phone number and secret replaced.
+
+    A pattern is only tried on texts that hold the character every match needs.
+    """
+    for _, pattern, mark, needed in MASKS:
+        cleaned = F.regexp_replace(text, pattern, mark)
+        text = F.when(F.contains(text, F.lit(needed)), cleaned).otherwise(text) if needed else cleaned
     return text
 
 
@@ -66,7 +71,7 @@ def masked_texts(texts: DataFrame, key: str) -> DataFrame:
     covered = texts.select(key, masked(F.col("text")).alias("masked_text"))
     counts = [
         F.regexp_count("masked_text", F.lit(mark.replace("[", r"\[").replace("]", r"\]"))).cast("bigint").alias(f"{name}s")
-        for name, _, mark in MASKS
+        for name, _, mark, _ in MASKS
     ]
     return covered.select(key, "masked_text", *counts)
 
@@ -104,7 +109,7 @@ def workload_counters(log: DataFrame) -> DataFrame:
 
 def upsert_counters(counters: DataFrame, path: str) -> None:
     """Replace only the days present in ``counters``."""
-    # Gathered by day so that each day is one set of files, not one per task.
-    counters.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+    # Gathered by day into few files; a day too large for one task is split again.
+    counters.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "day"
     ).parquet(path)

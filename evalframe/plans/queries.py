@@ -106,7 +106,8 @@ def f2_age_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scaled_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("k").cast("decimal(4,0)")
+    """Latencies stretched over every band, from below a millisecond to minutes."""
+    k = F.pmod("id", F.lit(100)).cast("decimal(4,0)")
     scaled = F.col("latency_ms").cast("decimal(12,2)") * k * k
     return bindings.workload(spark, sf_dir).withColumn("ms", scaled.cast("decimal(24,2)"))
 
@@ -243,15 +244,21 @@ def e1_load_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def e2_case_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = bindings.eval_cases(spark, sf_dir)
+    """Two datasets out of the same turns: by turn, and by conversation with repeated ids."""
     opening = F.col("slice") == "opening"
-    whole = turns.withColumn("dataset_id", F.lit("conversation")).withColumn(
-        "case_id", F.floor(F.col("case_id") / 1_000).cast("bigint")
-    ).withColumn("input", F.when(opening, F.col("input")).otherwise(F.lit("  ")))
-    known = F.to_json(F.struct(*evaluation.CASE_FIELDS))
-    noted = F.to_json(F.struct(*evaluation.CASE_FIELDS, F.col("slice").alias("note")))
-    raw = F.when(opening & (F.col("dataset_id") == "chat"), noted).otherwise(known)
-    return evaluation.case_violations(turns.unionByName(whole).withColumn("raw", raw))
+    fields = evaluation.CASE_FIELDS
+    by_turn = F.struct(
+        "dataset_id", "case_id", "input",
+        F.when(opening, F.to_json(F.struct(*fields, F.col("slice").alias("note"))))
+        .otherwise(F.to_json(F.struct(*fields))).alias("raw"),
+    )
+    by_conversation = F.struct(
+        F.lit("conversation").alias("dataset_id"), F.floor(F.col("case_id") / 1_000).cast("bigint").alias("case_id"),
+        F.when(opening, F.col("input")).otherwise(F.lit("  ")).alias("input"),
+        F.to_json(F.struct(*fields)).alias("raw"),
+    )
+    both = bindings.eval_cases(spark, sf_dir).select("expected", F.explode(F.array(by_turn, by_conversation)).alias("c"))
+    return evaluation.case_violations(both.select("c.*", "expected"))
 
 
 def e3_variant_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,14 +291,14 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e5_rubric_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     output, expected = F.col("output"), F.col("expected")
     return evaluation.rubric_scores(
-        _answers(spark, sf_dir), ["case_id", "variant"],
+        rubrics.with_normal_forms(_answers(spark, sf_dir)), ["case_id", "variant"],
         {
             "exact": rubrics.exact(output, expected),
-            "normalised": rubrics.normalised_exact(output, expected),
+            "normalised": rubrics.exact(F.col("output_normal"), F.col("expected_normal")),
             "contains": rubrics.contains(output, expected),
             "pattern": rubrics.matches(output, r"(tion|ment)[ .]"),
             "length": rubrics.length_within(output, 100, 600),
-            "token_f1": rubrics.token_f1(output, expected),
+            "token_f1": rubrics.token_f1(F.col("output_words"), F.col("expected_words"), expected),
         },
         {"token_f1": 0.5},
     )

@@ -11,6 +11,9 @@ _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Several joins feed a grouping on the same key, where AQE would leave a hot key's
+    # join partition whole rather than add a shuffle. Splitting it is worth that shuffle.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Sessions of one key merge inside each map task before the shuffle, so a hot key
     # ships a few open sessions instead of all of its rows.
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
