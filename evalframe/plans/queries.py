@@ -199,13 +199,13 @@ def s5_sliding_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def s5_session_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bindings.workload(configure(spark), sf_dir).withColumn("at", F.col("at").cast("timestamp"))
-    return counters.counters(rows, counters.session("12 hours"), ["actor", "kind"])
+    return counters.session_counters(rows, "12 hours", ["actor", "kind"])
 
 
 def s5_session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_path(spark, "sessions")
     rows = source.workload_stream(_events(spark, sf_dir))
-    counted = counters.counters(rows, counters.session("12 hours"), ["actor", "kind"], "1 hour")
+    counted = counters.session_counters(rows, "12 hours", ["actor", "kind"], "1 hour")
     source.run_to_end(counters.append_closed(counted, f"{out}/rows"), f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/rows")
 

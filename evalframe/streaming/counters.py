@@ -15,25 +15,39 @@ def sliding(size: str, step: str) -> Column:
     return F.window("at", size, step)
 
 
-def session(gap: str) -> Column:
-    return F.session_window("at", gap)
-
-
 def counters(rows: DataFrame, window: Column, keys: list[str], delay: str | None = None) -> DataFrame:
     """Requests, errors and exact total latency per window and keys.
 
     ``delay`` sets the watermark of a stream: later rows are dropped and closed windows
     leave the state.
     """
+    w = F.col("w")
+    return _counted(rows, window, keys, delay, w["start"], w["end"])
+
+
+def session_counters(rows: DataFrame, gap: str, keys: list[str], delay: str | None = None) -> DataFrame:
+    """The same per session: requests of one key less than ``gap`` apart.
+
+    The bounds are aggregates, not the session column: Spark pushes a filter on that
+    column below the merging of sessions, which would cut sessions apart.
+    """
+    end = F.max("at") + F.expr(f"INTERVAL {gap}")
+    return _counted(rows, F.session_window("at", gap), keys, delay, F.col("_start"), F.col("_end"),
+                    F.min("at").alias("_start"), end.alias("_end"))
+
+
+def _counted(
+    rows: DataFrame, window: Column, keys: list[str], delay: str | None, start: Column, end: Column, *bounds: Column
+) -> DataFrame:
     timed = rows.withWatermark("at", delay) if delay else rows
     grouped = timed.groupBy(window.alias("w"), *keys).agg(
         F.count(F.lit(1)).alias("requests"),
         F.count_if(F.col("kind") == "error").alias("errors"),
         F.sum(F.col("latency_ms").cast("decimal(18,4)")).alias("_latency"),
+        *bounds,
     )
     return grouped.select(
-        F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-        F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+        start.cast("timestamp_ntz").alias("window_start"), end.cast("timestamp_ntz").alias("window_end"),
         *keys, "requests", "errors", F.col("_latency").cast("double").alias("latency_ms"),
     )
 

@@ -1,0 +1,58 @@
+"""Manifests, masks, suppression and upserts."""
+
+from __future__ import annotations
+
+import hashlib
+
+from pyspark.sql import functions as F
+
+from evalframe.operators import governance
+
+
+def test_audit_classes_with_copies(spark):
+    schema = "id bigint, text string"
+    was = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "x"), (4, "y"), (5, "x"), (5, "x"), (6, None)], schema)
+    now = spark.createDataFrame([(1, "a"), (2, "B"), (7, "n"), (4, "y"), (4, "x"), (5, "x"), (6, "")], schema)
+    diff = governance.audit_diff(governance.manifest(was, "id", ["text"]), governance.manifest(now, "id", ["text"]))
+    assert {r["artifact_id"]: r["audit"] for r in diff.collect()} == {
+        1: "intact", 2: "changed", 3: "missing", 4: "intact", 5: "changed", 6: "changed", 7: "extra"}
+
+
+def test_hash_keeps_fields_apart(spark):
+    df = spark.createDataFrame([("a", "bc"), ("ab", "c"), (None, "c"), ("", "c")], "x string, y string")
+    hashes = [r[0] for r in df.select(governance.content_hash(["x", "y"])).collect()]
+    assert len(set(hashes)) == 4
+    assert hashes[0] == hashlib.sha256(b"a\x1fbc").hexdigest()
+
+
+def test_masks(spark):
+    text = 'Mail a.b+c@x-y.example.com or +1 (743) 555-3824. token = "24be64439e3e49cf" API_KEY=abcdefgh12 x@y token short'
+    df = spark.createDataFrame([(1, text), (2, "nothing here"), (3, None)], "id bigint, text string")
+    got = {r["id"]: r for r in governance.masked_texts(df, "id").collect()}
+    assert got[1]["masked_text"] == "Mail [email] or [phone]. [secret] [secret] x@y token short"
+    assert (got[1]["emails"], got[1]["phones"], got[1]["secrets"]) == (1, 1, 2)
+    assert got[2]["masked_text"] == "nothing here" and got[3]["masked_text"] is None
+
+
+def test_small_groups_are_hidden(spark):
+    rows = [("a", 1)] * 50 + [("a", 2), ("b", 1), ("b", 2), ("b", 3)]
+    df = spark.createDataFrame(rows, "kind string, actor bigint")
+    got = governance.private_counts(df, ["kind"], 3).collect()
+    assert [(r["kind"], r["requests"], r["actors"]) for r in got] == [("b", 3, 3)]
+    assert governance.pseudonym(F.lit(1), "s") is not None
+
+
+def test_upsert_replaces_only_touched_days(spark, tmp_path):
+    path = str(tmp_path / "counters")
+    schema = "system bigint, day string, requests bigint"
+    governance.upsert_counters(spark.createDataFrame([(1, "d1", 1), (1, "d2", 1), (2, "d2", 1)], schema), path)
+    governance.upsert_counters(spark.createDataFrame([(1, "d2", 9), (1, "d3", 5)], schema), path)
+    back = spark.read.schema(schema).parquet(path)
+    assert sorted((r["system"], r["day"], r["requests"]) for r in back.collect()) == [(1, "d1", 1), (1, "d2", 9), (1, "d3", 5)]
+
+
+def test_workload_counters_count_rows_without_latency(spark):
+    rows = [(1, "2026-01-01 00:00:00", "view", 1.0), (1, "2026-01-01 01:00:00", "error", None), (2, "2026-01-01 00:00:00", "error", None)]
+    df = spark.createDataFrame(rows, "system bigint, at string, kind string, latency_ms double").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    got = {r["system"]: (r["requests"], r["errors"], r["error_rate"], r["p50_ms"]) for r in governance.workload_counters(df).collect()}
+    assert got == {1: (2, 1, 0.5, 1.0), 2: (1, 1, 1.0, None)}
