@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +32,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         F.max(value).alias("_max"),
     )
     small = F.col("n") <= _ACCURACY
-    asked = brackets.select(*keys, "n", F.explode(F.array(*[
+    renamed = [F.col(key).alias(f"_key{i}") for i, key in enumerate(keys)]
+    asked = brackets.select(*renamed, "n", F.explode(F.array(*[
         F.struct(
             F.lit(i).alias("which"),
             (F.lit(p) * (F.col("n") - 1)).alias("rank"),
@@ -37,10 +41,11 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
             F.when(small, F.col("_max")).otherwise(F.col("_edges")[2 * i + 1]).alias("high"),
         )
         for i, (_, p) in enumerate(wanted)
-    ])).alias("q")).select(*keys, "n", "q.*")
+    ])).alias("q")).select(*[f"_key{i}" for i in range(len(keys))], "n", "q.*")
     v = F.col(value)
+    same_group = reduce(and_, [F.col(key).eqNullSafe(F.col(f"_key{i}")) for i, key in enumerate(keys)])
     cells = (
-        clean.join(asked, keys)
+        clean.join(asked, same_group)
         .where(v <= F.col("high"))
         .groupBy(*keys, "n", "which", "rank", F.when(v >= F.col("low"), v).alias("_cell"))
         .agg(F.count(F.lit(1)).alias("_c"))

@@ -129,17 +129,19 @@ def leaderboard(scores: DataFrame) -> DataFrame:
     return means.select("variant", "cases", (F.col("_m") / F.lit(float(GRID))).alias("mean_score"), place.alias("place"))
 
 
-def pairwise_win_rate(scores: DataFrame) -> DataFrame:
+def pairwise_win_rate(scores: DataFrame, variants: Sequence | None = None) -> DataFrame:
     """Wins, ties and losses of each pair of variants on the cases both have.
 
     Every case becomes one row with a column per variant; pairs are compared as columns
     and only counted, so no pair of rows is ever emitted. Many variants are compared in
-    several passes over the written case table.
+    several passes over the written case table. Naming the variants saves a scan.
     """
-    variants = [row[0] for row in scores.select("variant").distinct().limit(MAX_VARIANTS + 1).collect()]
-    if len(variants) > MAX_VARIANTS:
-        raise ValueError(f"more than {MAX_VARIANTS} variants")
-    variants.sort()
+    if variants is None:
+        named = scores.select("variant").where(F.col("variant").isNotNull()).distinct()
+        variants = [row[0] for row in named.limit(MAX_VARIANTS + 1).collect()]
+        if len(variants) > MAX_VARIANTS:
+            raise ValueError(f"more than {MAX_VARIANTS} variants")
+    variants = sorted(variants)
     per_case = case_means(scores, ["variant", "case_id"])
     wide = per_case.groupBy("case_id").pivot("variant", variants).agg(F.max("units"))
     wide = wide.toDF("case_id", *[f"v{i}" for i in range(len(variants))])

@@ -99,8 +99,11 @@ def workload_counters(log: DataFrame) -> DataFrame:
     counts = daily.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("requests"), F.count_if(F.col("kind") == "error").alias("errors")
     )
-    latency = exact_quantiles(daily, keys, "latency_ms", {"p50_ms": 0.5, "p95_ms": 0.95})
-    return counts.join(latency, keys, "left").select(
+    latency = exact_quantiles(daily, keys, "latency_ms", {"p50_ms": 0.5, "p95_ms": 0.95}).withColumnsRenamed(
+        {key: f"_{key}" for key in keys}
+    )
+    same_group = F.col("system").eqNullSafe(F.col("_system")) & F.col("day").eqNullSafe(F.col("_day"))
+    return counts.join(latency, same_group, "left").select(
         *keys, "requests", "errors",
         (F.col("errors").cast("double") / F.col("requests").cast("double")).alias("error_rate"),
         F.col("p50_ms").cast("double").alias("p50_ms"), F.col("p95_ms").cast("double").alias("p95_ms"),

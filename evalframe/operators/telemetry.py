@@ -174,8 +174,9 @@ def contract_violations(envelopes: DataFrame) -> DataFrame:
     for name, cap in fixed.SAFETY_CAPS.items():
         rules.append(broken(f"{name}_above_cap", F.col(name) > cap))
         rules.append(broken(f"{name}_negative", F.col(name) < 0))
-    found = F.explode(F.filter(F.array(*rules), lambda rule: rule.isNotNull()))
-    return envelopes.select("id", "system", found.alias("rule"))
+    # Exploded whole and filtered after: both stay in generated code, a lambda would not.
+    found = F.explode(F.array(*rules))
+    return envelopes.select("id", "system", found.alias("rule")).where(F.col("rule").isNotNull())
 
 
 def line_count(text: Column) -> Column:
@@ -229,6 +230,14 @@ def primary_language(files: DataFrame) -> DataFrame:
     )
 
 
+def header_label(status: Column, reachable: Column) -> Column:
+    """Words beside the header badge; ``down`` is shown as offline."""
+    return (
+        F.when(status == "operational", "Operational").when(status == "degraded", "Degraded")
+        .when((status == "down") | ~reachable, "Offline").otherwise("Connecting")
+    )
+
+
 def tones(status: Column, reachable: Column) -> dict[str, Column]:
     """Badge tone per place it is shown; the header also marks ``down`` as danger."""
     fine, warned = status == "operational", status == "degraded"
@@ -245,11 +254,15 @@ def status_board(reports: DataFrame) -> DataFrame:
     latest = reports.groupBy("system").agg(
         F.max_by(F.struct("status", "reachable"), F.struct("at", "id")).alias("now")
     )
-    shown = F.map_from_arrays(
-        F.array(*[F.lit(place) for place in ("header", "overview", "telemetry")]),
-        F.array(*tones(F.col("now.status"), F.col("now.reachable")).values()),
-    )
-    return latest.select(F.explode(shown).alias("place", "tone")).groupBy("place", "tone").agg(
+    status, reachable = F.col("now.status"), F.col("now.reachable")
+    shown = F.explode(F.array(*[
+        F.struct(
+            F.lit(place).alias("place"), tone.alias("tone"),
+            (header_label(status, reachable) if place == "header" else F.lit(None).cast("string")).alias("label"),
+        )
+        for place, tone in tones(status, reachable).items()
+    ]))
+    return latest.select(shown.alias("s")).groupBy("s.place", "s.tone", "s.label").agg(
         F.count(F.lit(1)).alias("systems")
     )
 

@@ -347,11 +347,13 @@ FROM ranked WHERE r = 1""",
   FROM events),
 shown AS (
   SELECT 'header' AS place, CASE WHEN status = 'operational' THEN 'success' WHEN status = 'degraded' THEN 'warning'
-         WHEN status = 'down' OR NOT reachable THEN 'danger' ELSE 'muted' END AS tone FROM latest WHERE r = 1
-  UNION ALL SELECT 'overview', CASE WHEN status = 'operational' THEN 'success' ELSE 'warning' END FROM latest WHERE r = 1
+         WHEN status = 'down' OR NOT reachable THEN 'danger' ELSE 'muted' END AS tone,
+         CASE WHEN status = 'operational' THEN 'Operational' WHEN status = 'degraded' THEN 'Degraded'
+         WHEN status = 'down' OR NOT reachable THEN 'Offline' ELSE 'Connecting' END AS label FROM latest WHERE r = 1
+  UNION ALL SELECT 'overview', CASE WHEN status = 'operational' THEN 'success' ELSE 'warning' END, NULL FROM latest WHERE r = 1
   UNION ALL SELECT 'telemetry', CASE WHEN status = 'operational' THEN 'success' WHEN status = 'degraded' THEN 'warning'
-         ELSE 'muted' END FROM latest WHERE r = 1)
-SELECT place, tone, count(*) AS systems FROM shown GROUP BY place, tone""",
+         ELSE 'muted' END, NULL FROM latest WHERE r = 1)
+SELECT place, tone, label, count(*) AS systems FROM shown GROUP BY place, tone, label""",
     "f1_utilisation": """WITH used AS (
   SELECT o_custkey AS system, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS used FROM orders GROUP BY o_custkey),
 joined AS (
@@ -491,6 +493,10 @@ SELECT event_id, 'numeric' AS rubric, s_numeric AS score, s_numeric >= 1 AS pass
 UNION ALL SELECT event_id, 'json_field', s_json_field, s_json_field >= 1 FROM wide
 UNION ALL SELECT event_id, 'label', s_label, s_label >= 1 FROM wide
 UNION ALL SELECT event_id, 'edit', s_edit, s_edit >= 0.5 FROM wide""",
+    "e5_custom_rubric": f"""WITH {_TEXT_SCORES}
+SELECT case_id, variant, 'length_ratio' AS rubric, score, score >= 0.5::DOUBLE AS passed FROM (
+  SELECT case_id, variant, CASE WHEN output IS NOT NULL AND expected IS NOT NULL THEN
+         least(1.0::DOUBLE, CAST(length(output) AS DOUBLE) / CAST(length(expected) AS DOUBLE)) END AS score FROM answers)""",
     "e6_composite_gate": f"""WITH {_TEXT_SCORES},
 weighed AS (
   SELECT *, CAST(score AS DECIMAL(9,4)) AS s,

@@ -323,6 +323,13 @@ def e5_value_rubrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def e5_custom_rubric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's own vectorised rubric beside the built-in ones."""
+    ratio = rubrics.custom(lambda output, expected: output.str.len().astype("float64") / expected.str.len().astype("float64"))
+    scores = {"length_ratio": ratio(F.col("output"), F.col("expected"))}
+    return evaluation.rubric_scores(_answers(spark, sf_dir), ["case_id", "variant"], scores, {"length_ratio": 0.5})
+
+
 def e6_composite_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = e5_rubric_scores(spark, sf_dir)
     return evaluation.composite_gate(scores, ["case_id", "variant"], WEIGHTS, THRESHOLDS, 0.6)
@@ -431,7 +438,7 @@ REGISTERED = (
     s1_stream_ingest, s2_last_known_good, s3_offline_gaps, s4_latest_per_system,
     s5_tumbling_counters, s5_sliding_counters, s5_session_counters, s5_session_stream,
     e1_load_cases, e2_case_violations, e3_variant_matrix, e4_run_outputs, e5_rubric_scores,
-    e5_value_rubrics, e6_composite_gate, e7_run_summary, e8_compare_runs, e8_class_counts,
+    e5_value_rubrics, e5_custom_rubric, e6_composite_gate, e7_run_summary, e8_compare_runs, e8_class_counts,
     e9_export_regressions, e10_run_history, e11_leaderboard, e11_pairwise_win_rate,
     e12_label_agreement, e13_audit_diff, e13_manifest, e14_private_log, e14_private_counts,
     e14_masked_text, e15_workload_counters, e15_persisted_counters,

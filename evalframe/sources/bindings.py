@@ -98,12 +98,15 @@ def system_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Telemetry envelopes carrying every kind of contract defect."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    k, stamp = F.col("k"), F.col("stamp")
     value, kind = F.col("value"), F.col("event_type")
-    stamp = iso_utc(F.col("ts"))
     null_text = F.lit(None).cast("string")
     null_count = F.lit(None).cast("bigint")
-    return table(spark, sf_dir, "events").select(
+    # Read once per row into columns; most fields below use them.
+    parsed = table(spark, sf_dir, "events").withColumns(
+        {"k": F.get_json_object("props", "$.k").cast("int"), "stamp": iso_utc(F.col("ts"))}
+    )
+    return parsed.select(
         F.col("event_id").alias("id"),
         F.when(k == 13, null_text).otherwise(F.concat(F.lit("sys-"), _system_of_user().cast("string"))).alias("system"),
         F.when(k < 10, "demo").when(k < 50, null_text).when(k < 75, "live").otherwise("showcase").alias("mode"),

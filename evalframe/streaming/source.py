@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+
+from evalframe.functions.fixed_values import POLL_SECONDS
 
 EVENT_SCHEMA = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -41,7 +43,12 @@ def workload_stream(events: DataFrame) -> DataFrame:
     )
 
 
+def run_at_interval(writer: DataStreamWriter, checkpoint: str, seconds: int = POLL_SECONDS) -> StreamingQuery:
+    """Keep processing what arrives, one micro-batch per poll interval."""
+    return writer.option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+
+
 def run_to_end(writer: DataStreamWriter, checkpoint: str) -> None:
-    """Process all that is there now; production jobs use ``processingTime`` instead."""
+    """Process all that is there now, then stop."""
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -52,7 +52,8 @@ def test_upsert_replaces_only_touched_days(spark, tmp_path):
 
 
 def test_workload_counters_count_rows_without_latency(spark):
-    rows = [(1, "2026-01-01 00:00:00", "view", 1.0), (1, "2026-01-01 01:00:00", "error", None), (2, "2026-01-01 00:00:00", "error", None)]
+    rows = [(1, "2026-01-01 00:00:00", "view", 1.0), (1, "2026-01-01 01:00:00", "error", None), (2, "2026-01-01 00:00:00", "error", None),
+            (None, "2026-01-01 00:00:00", "view", 4.0)]
     df = spark.createDataFrame(rows, "system bigint, at string, kind string, latency_ms double").withColumn("at", F.col("at").cast("timestamp_ntz"))
     got = {r["system"]: (r["requests"], r["errors"], r["error_rate"], r["p50_ms"]) for r in governance.workload_counters(df).collect()}
-    assert got == {1: (2, 1, 0.5, 1.0), 2: (1, 1, 1.0, None)}
+    assert got == {1: (2, 1, 0.5, 1.0), 2: (1, 1, 1.0, None), None: (1, 0, 0.0, 4.0)}

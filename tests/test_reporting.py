@@ -83,7 +83,8 @@ def test_quantiles_are_exact(spark, shape):
     rng = np.random.default_rng(7)
     big = {"spread": rng.uniform(0, 1e6, 60_001), "heavy_tail": rng.pareto(0.5, 60_001),
            "ties": rng.integers(0, 5, 60_001).astype(float)}[shape]
-    groups = {"big": big, "two": np.array([1.0, 2.0]), "one": np.array([5.0]), "mid": rng.normal(0, 1, 777)}
+    groups = {"big": big, "two": np.array([1.0, 2.0]), "one": np.array([5.0]), "mid": rng.normal(0, 1, 777),
+              None: np.array([3.0, 4.0, 8.0])}
     rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("big", None), ("big", float("nan")), ("none", None)]
     probs = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
     df = spark.createDataFrame(rows, "k string, v double").repartition(16)
