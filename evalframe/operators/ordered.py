@@ -21,8 +21,9 @@ def with_chunks(df: DataFrame, key: str, ts: str, target_rows: int = TARGET_ROWS
     """Add ``_chunk``, a bigint that rises with time within each key."""
     at = micros(F.col(ts))
     timed = df.withColumn("_us", at).withColumn("_cell", F.expr(f"_us - pmod(_us, {HOUR_US})"))
-    # Counts combine before the shuffle; only cells above the target stay, so this side
-    # has at most rows / target_rows rows and AQE broadcasts it when it measures small.
+    # Counts combine before the shuffle. Only cells above the target stay: at most
+    # rows / target_rows of them, a few megabytes per trillion rows, so the broadcast is
+    # bounded. It also runs first, so the rows are not shuffled just to find no full cell.
     splits = (
         timed.groupBy(key, "_cell").agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > target_rows)
@@ -31,12 +32,21 @@ def with_chunks(df: DataFrame, key: str, ts: str, target_rows: int = TARGET_ROWS
     inside = F.expr(f"((_us - _cell) * coalesce(_parts, 1L)) div {HOUR_US}")
     width = F.expr(f"{HOUR_US} div coalesce(_parts, 1L)")
     return (
-        timed.join(splits, [key, "_cell"], "left")
+        timed.join(F.broadcast(splits), [key, "_cell"], "left")
         .withColumn("_chunk", F.col("_cell") + inside * width)
         .drop("_us", "_cell", "_parts")
     )
 
 
+def _with_edges(chunked: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """Join one edge row per chunk to the chunk's rows.
+
+    The row-level window has already shuffled and sorted by (key, chunk), so the join
+    adds no shuffle of rows, and hashing the edges adds no sort.
+    """
+    return chunked.join(edges.hint("shuffle_hash"), [key, "_chunk"], "left")
+
+
 def last_known(
     df: DataFrame, key: str, ts: str, tie: str, good: Column, payload: Column, out: str,
     before: bool = False, target_rows: int = TARGET_ROWS,
@@ -46,22 +56,20 @@ def last_known(
     ``before=True`` leaves the row itself out. ``tie`` makes the order of equal times
     total. Rows before the first good row get null.
     """
-    chunked = with_chunks(df.withColumn("_good", good).withColumn("_payload", payload), key, ts, target_rows)
+    chunked = with_chunks(df, key, ts, target_rows)
     order = F.struct(F.col(ts), F.col(tie))
-    tails = chunked.groupBy(key, "_chunk").agg(
-        F.max_by("_payload", F.when(F.col("_good"), order)).alias("_tail")
-    )
+    tails = chunked.groupBy(key, "_chunk").agg(F.max_by(payload, F.when(good, order)).alias("_tail"))
     earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = tails.select(key, "_chunk", F.last("_tail", ignorenulls=True).over(earlier).alias("_carry"))
     here = (
         Window.partitionBy(key, "_chunk").orderBy(ts, tie)
         .rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
     )
-    local = F.last(F.when(F.col("_good"), F.col("_payload")), ignorenulls=True).over(here)
+    local = F.last(F.when(good, payload), ignorenulls=True).over(here)
     return (
-        chunked.join(carried, [key, "_chunk"], "left")
-        .withColumn(out, F.coalesce(local, F.col("_carry")))
-        .drop("_chunk", "_carry", "_good", "_payload")
+        _with_edges(chunked.withColumn("_local", local), carried, key)
+        .withColumn(out, F.coalesce("_local", "_carry"))
+        .drop("_chunk", "_carry", "_local")
     )
 
 
@@ -73,9 +81,9 @@ def next_time(
     heads = chunked.groupBy(key, "_chunk").agg(F.min(ts).alias("_head"))
     later = Window.partitionBy(key).orderBy("_chunk")
     ahead = heads.select(key, "_chunk", F.lead("_head").over(later).alias("_ahead"))
-    here = Window.partitionBy(key, "_chunk").orderBy(ts, tie)
+    local = F.lead(ts).over(Window.partitionBy(key, "_chunk").orderBy(ts, tie))
     return (
-        chunked.join(ahead, [key, "_chunk"], "left")
-        .withColumn(out, F.coalesce(F.lead(ts).over(here), F.col("_ahead")))
-        .drop("_chunk", "_ahead")
+        _with_edges(chunked.withColumn("_local", local), ahead, key)
+        .withColumn(out, F.coalesce("_local", "_ahead"))
+        .drop("_chunk", "_ahead", "_local")
     )
