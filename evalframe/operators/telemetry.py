@@ -59,22 +59,29 @@ def pagination_totals(pages: DataFrame) -> DataFrame:
 def harvest(pages: DataFrame) -> DataFrame:
     """One metrics row per system out of its repo, latest and recent pages.
 
-    A page that is missing or does not parse makes the harvest failed (``ok`` false).
+    The harvest has failed (``ok`` false) when a page is missing, is not JSON, is not of
+    the expected shape, or holds a count of another type.
     """
-    def of(kind: str, value: Column) -> Column:
-        return F.max(F.when(F.col("kind") == kind, value))
-
-    repo = F.from_json("body", "struct<stargazers_count: bigint, language: string>")
-    listed = page_total(F.col("link"), F.col("body"))
-    newest = F.get_json_object("body", "$[0].commit.author.date")
-    readable = F.try_parse_json("body").isNotNull()
-    gathered = pages.groupBy("system").agg(
-        of("repo", F.when(readable, repo["stargazers_count"])).alias("stars"),
-        of("repo", F.when(readable, repo["language"])).alias("language"),
-        of("latest", listed).alias("total"),
-        of("recent", listed).alias("recent"),
-        of("latest", newest).alias("last_commit_at"),
-        F.count_if((F.col("kind") == "repo") & readable).alias("_repo"),
+    kind, listing = F.col("kind"), F.col("kind").isin("latest", "recent")
+    # Each body is parsed once per row, into columns, before rows meet.
+    repo = F.from_json("body", "stargazers_count bigint, language string, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    parsed = pages.select(
+        "system", "kind", "link", "body",
+        F.when(kind == "repo", repo).alias("repo"),
+        F.when(listing, F.json_array_length("body")).alias("length"),
+    ).select(
+        "system", "kind", "length",
+        F.when(F.col("repo").isNotNull() & F.col("repo._broken").isNull(), F.col("repo")).alias("repo"),
+        F.when(F.col("length").isNotNull(), F.coalesce(_last_page(F.col("link")), F.col("length").cast("bigint"))).alias("total"),
+        F.when(kind == "latest", F.get_json_object("body", "$[0].commit.author.date")).alias("newest"),
+    )
+    gathered = parsed.groupBy("system").agg(
+        F.max("repo.stargazers_count").alias("stars"),
+        F.max("repo.language").alias("language"),
+        F.max(F.when(kind == "latest", F.col("total"))).alias("total"),
+        F.max(F.when(kind == "recent", F.col("total"))).alias("recent"),
+        F.max("newest").alias("last_commit_at"),
+        F.count_if(F.col("repo").isNotNull()).alias("_repo"),
     )
     ok = (F.col("_repo") > 0) & F.col("total").isNotNull() & F.col("recent").isNotNull()
 

@@ -63,6 +63,10 @@ def test_harvest_and_envelope(spark):
         + _pages(3, "{broken", commit, commit)
         + _pages(4, '{"stargazers_count":99999999,"language":null}', '[{"commit":null}]', "[]")
         + [(5, "repo", None, '{"stargazers_count":1}')]
+        + _pages(6, "[]", commit, commit)
+        + _pages(7, '{"stargazers_count":"many"}', commit, commit)
+        + _pages(8, '{"stargazers_count":1}', '{"message":"slow down"}', commit, link)
+        + _pages(9, "{}", commit, "[]")
     )
     pages = spark.createDataFrame(rows, "system bigint, kind string, link string, body string")
     got = {r["system"]: r for r in telemetry.harvest(pages).collect()}
@@ -72,7 +76,8 @@ def test_harvest_and_envelope(spark):
     assert got[2]["last_commit_at"] is None and got[2]["ok"]
     assert got[3]["status"] == "degraded" and got[3]["commits_total"] == 0 and got[3]["last_commit_at"] is None
     assert got[4]["repo_stars"] == 1_000_000 and got[4]["commits_total"] == 1
-    assert got[5]["status"] == "degraded"
+    assert {got[i]["status"] for i in (5, 6, 7, 8)} == {"degraded"}
+    assert got[9]["ok"] and got[9]["repo_stars"] == 0 and got[9]["commits_30d"] == 0
 
     snapshot = spark.createDataFrame([(1, 1177), (2, 0)], "system bigint, lines_of_code bigint")
     whole = telemetry.with_snapshot(telemetry.harvest(pages), snapshot)
