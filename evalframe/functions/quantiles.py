@@ -1,24 +1,33 @@
-"""Exact interpolated quantiles that never hold a group's values in one buffer."""
+"""Exact interpolated quantiles that never hold a group's values in one buffer or task."""
 
 from __future__ import annotations
 
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalframe.session import shared_path
+
 _ACCURACY = 10_000
 _MARGIN = 5 / _ACCURACY
+_BINS = 1_024
+
+
+def _same(left: list[str], right: list[str]) -> Column:
+    return reduce(and_, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)])
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Keys, ``n`` and one decimal column per named probability.
 
     A mergeable sketch first brackets each quantile to about a thousandth of its group.
-    Values below the bracket are only counted, values above are not needed, and those
-    inside are ranked exactly after equal values were combined on the map side. Groups
-    smaller than the sketch's resolution are ranked whole. Nulls and NaN are left out.
+    Values below the bracket are only counted and values above are not needed. Those
+    inside fall into equal bins; counts per bin tell which one or two bins hold the
+    quantile, and only their values are put in order. Equal values are combined before
+    every shuffle. Groups smaller than the sketch's resolution are binned whole. Nulls
+    and NaN are left out. The sketch pass runs when this is called.
     """
     clean = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, value)
     wanted = list(probs.items())
@@ -32,8 +41,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         F.max(value).alias("_max"),
     )
     small = F.col("n") <= _ACCURACY
-    renamed = [F.col(key).alias(f"_key{i}") for i, key in enumerate(keys)]
-    asked = brackets.select(*renamed, "n", F.explode(F.array(*[
+    others = [f"_key{i}" for i in range(len(keys))]
+    asked = brackets.select(*[F.col(k).alias(o) for k, o in zip(keys, others)], "n", F.explode(F.array(*[
         F.struct(
             F.lit(i).alias("which"),
             (F.lit(p) * (F.col("n") - 1)).alias("rank"),
@@ -41,25 +50,51 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
             F.when(small, F.col("_max")).otherwise(F.col("_edges")[2 * i + 1]).alias("high"),
         )
         for i, (_, p) in enumerate(wanted)
-    ])).alias("q")).select(*[f"_key{i}" for i in range(len(keys))], "n", "q.*")
-    v = F.col(value)
-    same_group = reduce(and_, [F.col(key).eqNullSafe(F.col(f"_key{i}")) for i, key in enumerate(keys)])
+    ])).alias("q")).select(*others, "n", "q.*")
+    # Written first, the brackets have a known size: Spark broadcasts them only when they
+    # are small, and does not shuffle all rows before it can tell.
+    path = shared_path(df.sparkSession, "brackets")
+    asked.write.parquet(path)
+    asked = df.sparkSession.read.parquet(path)
+
+    v, low = F.col(value), F.col("low")
+    width = F.col("high").cast("double") - low.cast("double")
+    place = F.floor((v.cast("double") - low.cast("double")) / width * _BINS)
+    spread = (width > 0) & (width < float("inf"))
     cells = (
-        clean.join(asked, same_group)
+        clean.join(asked, _same(keys, others))
         .where(v <= F.col("high"))
-        .groupBy(*keys, "n", "which", "rank", F.when(v >= F.col("low"), v).alias("_cell"))
+        .groupBy(
+            *keys, "which", "n", "rank",
+            F.when(v < low, -1).when(spread, place).otherwise(0).cast("int").alias("_bin"),
+            F.when(v >= low, v).alias("_cell"),
+        )
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    upto = F.sum("_c").over(Window.partitionBy(*keys, "which").orderBy(F.col("_cell").asc_nulls_first()))
-    ranked = cells.withColumn("_upto", upto)
+    group = [*keys, "which", "n", "rank"]
     lower, upper = F.floor("rank"), F.ceil("rank")
-    picked = ranked.groupBy(*keys, "which", "n", "rank").agg(
+    start = F.sum("_b").over(Window.partitionBy(*keys, "which").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+    bins = cells.groupBy(*group, "_bin").agg(F.sum("_c").alias("_b")).withColumn("_start", F.coalesce(start, F.lit(0)))
+
+    def inside(rank: Column) -> Column:
+        return (F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_b"))
+
+    hits = bins.where(inside(lower) | inside(upper)).select(
+        *[F.col(k).alias(o) for k, o in zip(keys, others)],
+        F.col("which").alias("_which"), F.col("_bin").alias("_hit"), "_start",
+    )
+    ordered = Window.partitionBy(*keys, "which", "_bin").orderBy("_cell")
+    ranked = cells.join(hits, _same([*keys, "which", "_bin"], [*others, "_which", "_hit"])).withColumn(
+        "_upto", F.col("_start") + F.sum("_c").over(ordered)
+    )
+    picked = ranked.groupBy(*group).agg(
         F.min(F.when(F.col("_upto") > lower, F.col("_cell"))).cast("double").alias("_lo"),
         F.min(F.when(F.col("_upto") > upper, F.col("_cell"))).cast("double").alias("_hi"),
-        F.coalesce(F.max(F.when(F.col("_cell").isNull(), F.col("_c"))), F.lit(0)).alias("_below"),
+        F.min("_bin").alias("_first"),
     )
-    sound = (F.col("_below") <= F.floor("rank")) & F.col("_hi").isNotNull()
-    mixed = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("rank") - F.floor("rank"))
+    # A quantile outside its bracket would be wrong; it stops the job instead.
+    sound = (F.col("_first") >= 0) & F.col("_hi").isNotNull()
+    mixed = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("rank") - lower)
     point = F.when(sound, mixed.cast("decimal(24,6)")).otherwise(
         F.raise_error(F.lit("quantile outside its bracket")).cast("decimal(24,6)")
     )

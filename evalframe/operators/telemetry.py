@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evalframe.functions import fixed_values as fixed
 from evalframe.functions.times import iso_utc, micros, parse_iso
 from evalframe.operators.ordered import TARGET_ROWS, last_known, next_time
+from evalframe.session import shared_path
 
 
 def activity_snapshot(commits: DataFrame, asof: Column, days: int = fixed.ACTIVITY_WINDOW_DAYS) -> DataFrame:
@@ -220,8 +221,16 @@ def lines_of_code(files: DataFrame, skip_paths: Iterable[str] = ()) -> DataFrame
     ).select(F.when(F.col("_all") == 1, "(all)").otherwise(F.col("suffix")).alias("suffix"), "files", "lines")
 
 
-def snapshot_lines(files: DataFrame) -> DataFrame:
-    return counted_files(files).groupBy("system").agg(F.sum("lines").alias("lines_of_code"))
+def snapshot_lines(files: DataFrame, path: str | None = None) -> DataFrame:
+    """Lines per system as a written build snapshot, one row per system.
+
+    Like any built artifact it is made once. Its size is then known, so joins broadcast it
+    only when it is small, and need no shuffle of the rows to find out.
+    """
+    spark = files.sparkSession
+    path = path or shared_path(spark, "snapshot")
+    counted_files(files).groupBy("system").agg(F.sum("lines").alias("lines_of_code")).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def primary_language(files: DataFrame) -> DataFrame:
