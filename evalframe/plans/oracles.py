@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from evalframe.functions.fixed_values import EXCLUDED_FOLDERS, LAST_PAGE_PATTERN, SAFETY_CAPS, SOURCE_SUFFIXES
 from evalframe.operators.governance import MASKS
-from evalframe.plans.queries import MISSED_POLLS, SALT, THRESHOLDS, WEIGHTS
+from evalframe.plans.queries import ALERT_POLLS, MISSED_POLLS, SALT, THRESHOLDS, WEIGHTS
 
 _ASOF = "TIMESTAMP '2001-08-01 00:00:00'"
 _ISO = "'%Y-%m-%dT%H:%M:%SZ'"
@@ -437,6 +437,11 @@ FROM counted""",
 ahead AS (SELECT system, "at", lead("at") OVER (PARTITION BY system ORDER BY "at", id) AS next_at FROM observed)
 SELECT system, "at" AS last_seen, next_at AS back_at, (epoch_us(next_at) - epoch_us("at")) // 1000000 AS silent_s
 FROM ahead WHERE epoch_us(next_at) - epoch_us("at") > {MISSED_POLLS} * 30000000::BIGINT""",
+    "s3_offline_alerts": f"""WITH {_OBSERVED},
+seen AS (SELECT system, epoch_us(max("at")) // 1000 AS ms FROM observed GROUP BY system),
+mark AS (SELECT max(ms) - 60000 AS watermark FROM seen)
+SELECT system, make_timestamp(ms * 1000) AS last_seen, make_timestamp((ms + {ALERT_POLLS} * 30000) * 1000) AS offline_at
+FROM seen, mark WHERE ms + {ALERT_POLLS} * 30000 < watermark""",
     "s4_latest_per_system": f"""WITH {_OBSERVED},
 polls AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY "at" DESC, id DESC) AS r FROM observed),
 goods AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY "at" DESC, id DESC) AS r FROM observed WHERE ok)

@@ -23,6 +23,7 @@ WEIGHTS = {"exact": 3, "normalised": 2, "contains": 1, "pattern": 1, "length": 1
 THRESHOLDS = {"contains": 1.0, "token_f1": 0.2}
 SALT = "evalframe-salt"
 MISSED_POLLS = 240
+ALERT_POLLS = 20
 
 
 # Telemetry
@@ -173,6 +174,16 @@ def s3_offline_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.offline_gaps(bindings.observations(spark, sf_dir), MISSED_POLLS)
 
 
+def s3_offline_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shared_path(spark, "alerts")
+    stream = source.observation_stream(_events(spark, sf_dir))
+    alerts = observations.offline_alerts(stream, ALERT_POLLS)
+    writer = alerts.writeStream.format("parquet").option("path", f"{out}/rows").outputMode("append")
+    source.run_to_end(writer, f"{out}/checkpoint")
+    found = spark.read.schema("system bigint, last_seen timestamp, offline_at timestamp").parquet(f"{out}/rows")
+    return found.withColumns({name: F.col(name).cast("timestamp_ntz") for name in ("last_seen", "offline_at")})
+
+
 def s4_latest_per_system(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_path(spark, "latest")
     stream = source.observation_stream(_events(spark, sf_dir))
@@ -435,7 +446,7 @@ REGISTERED = (
     t9_primary_language, t9_status_board,
     f1_utilisation, f2_age_histogram, f3_latency_bands, f3_band_histogram, f4_metric_cards,
     f5_series_normalised, f6_daily_trend, f7_trend_direction,
-    s1_stream_ingest, s2_last_known_good, s3_offline_gaps, s4_latest_per_system,
+    s1_stream_ingest, s2_last_known_good, s3_offline_gaps, s3_offline_alerts, s4_latest_per_system,
     s5_tumbling_counters, s5_sliding_counters, s5_session_counters, s5_session_stream,
     e1_load_cases, e2_case_violations, e3_variant_matrix, e4_run_outputs, e5_rubric_scores,
     e5_value_rubrics, e5_custom_rubric, e6_composite_gate, e7_run_summary, e8_compare_runs, e8_class_counts,

@@ -14,6 +14,7 @@ from evalframe.functions.fixed_values import POLL_SECONDS
 from evalframe.operators.telemetry import resolve_status
 
 _EPOCH = "1970-01-01 00:00:00"
+_SEED = -(2**63)
 
 
 def ingest(stream: DataFrame, out: str) -> DataStreamWriter:
@@ -28,36 +29,40 @@ def _version(folder: str, batch_id: int) -> str:
 def last_known_good(stream: DataFrame, out: str, state: str) -> DataStreamWriter:
     """Status resolution per micro-batch, carrying the last good value between batches.
 
-    The carried state is a table with one row per system, one version per batch; it seeds
-    the batch operator, which splits hot systems by time. Re-running a batch rewrites the
-    same folders, so a restart repeats nothing.
+    The carried state is a table with one row per system, one version per batch. Its rows
+    for the batch's systems seed the batch operator, which splits hot systems by time.
+    Re-running a batch rewrites the same folders, so a restart repeats nothing.
     """
     def resolve(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select("system", "at", "id", "ok", "value", F.col("at").alias("fetched_at"), F.lit(False).alias("_seed"))
-        if batch_id > 0:
+        rows = batch.select("system", "at", "id", "ok", "value", F.col("at").alias("fetched_at"))
+        known = spark.read.parquet(_version(state, batch_id - 1)) if batch_id > 0 else None
+        if known is not None:
             # Seeds sort before every row of the batch: a late row still sees what was known.
-            seeds = spark.read.parquet(_version(state, batch_id - 1)).select(
-                "system", F.lit(_EPOCH).cast("timestamp").alias("at"), F.lit(-1).cast("bigint").alias("id"),
-                F.lit(True).alias("ok"), "value", "fetched_at", F.lit(True).alias("_seed"),
+            seeds = known.join(batch.select("system").distinct(), "system", "left_semi").select(
+                "system", F.lit(_EPOCH).cast("timestamp").alias("at"), F.lit(_SEED).alias("id"),
+                F.lit(True).alias("ok"), "value", "fetched_at",
             )
             rows = rows.unionByName(seeds)
         target = _version(out, batch_id)
-        served = resolve_status(rows, "fetched_at")
+        served = resolve_status(rows, "fetched_at").where(F.col("id") != _SEED)
         served.write.mode("overwrite").parquet(target)
-        # The new state comes from the rows just written: a seed row is there too.
-        spark.read.parquet(target).where(F.col("status") == "operational").groupBy("system").agg(
-            F.max_by(F.struct("served_value", "last_good_at"), F.struct("last_good_at", "id")).alias("g")
-        ).select("system", F.col("g.served_value").alias("value"), F.col("g.last_good_at").alias("fetched_at")).write.mode(
-            "overwrite"
-        ).parquet(_version(state, batch_id))
+        # The new state comes from the rows just written, so nothing is worked out twice.
+        fresh = spark.read.parquet(target).where(F.col("status") == "operational").select(
+            "system", F.col("served_value").alias("value"), F.col("last_good_at").alias("fetched_at"), "id"
+        )
+        merged = fresh if known is None else fresh.unionByName(known)
+        newest = F.max_by(F.struct("value", "fetched_at", "id"), F.struct("fetched_at", "id"))
+        merged.groupBy("system").agg(newest.alias("g")).select("system", "g.*").write.mode("overwrite").parquet(
+            _version(state, batch_id)
+        )
 
     return stream.writeStream.foreachBatch(resolve)
 
 
 def served_rows(spark, out: str) -> DataFrame:
-    """All rows written by ``last_known_good``, without the seeds."""
-    return spark.read.parquet(out).where(F.col("id") >= 0).drop("version")
+    """All rows written by ``last_known_good``."""
+    return spark.read.parquet(out).drop("version")
 
 
 def latest_per_system(observed: DataFrame) -> DataFrame:
@@ -103,9 +108,17 @@ def latest_version(spark, state: str) -> DataFrame:
 
 
 def offline_alerts(stream: DataFrame, missed_polls: int, delay: str = "1 minute") -> DataFrame:
-    """A row when a system has been silent for ``missed_polls`` poll intervals of event time."""
+    """A row when a system has been silent for ``missed_polls`` poll intervals of event time.
+
+    Only each system's newest time matters, so every Arrow batch is cut to one row per
+    system before the shuffle: a hot system sends one row per ten thousand to its state.
+    """
     silence_ms = missed_polls * POLL_SECONDS * 1_000
 
+    def newest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.groupby("system", as_index=False)["at"].max()
+
     def watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             (seen,) = state.get
@@ -123,7 +136,8 @@ def offline_alerts(stream: DataFrame, missed_polls: int, delay: str = "1 minute"
         state.setTimeoutTimestamp(max(seen + silence_ms, state.getCurrentWatermarkMs() + 1))
 
     return (
-        stream.select("system", "at").withWatermark("at", delay).groupBy("system").applyInPandasWithState(
+        stream.select("system", "at").mapInPandas(newest, "system bigint, at timestamp")
+        .withWatermark("at", delay).groupBy("system").applyInPandasWithState(
             watch, "system bigint, last_seen timestamp, offline_at timestamp", "seen bigint",
             "append", GroupStateTimeout.EventTimeTimeout,
         )

@@ -13,7 +13,7 @@ from evalframe.sources import bindings
 ENTRY = importlib.import_module("__spark_entry__")
 QUERIES = ENTRY.queries()
 SF_DIR = "/root/testdata/sf0.001"
-STREAMED = {"s1_stream_ingest", "s2_last_known_good", "s4_latest_per_system", "s5_tumbling_counters",
+STREAMED = {"s1_stream_ingest", "s2_last_known_good", "s3_offline_alerts", "s4_latest_per_system", "s5_tumbling_counters",
             "s5_sliding_counters", "s5_session_stream"}
 PYTHON = {"e4_run_outputs", "e5_custom_rubric"}
 # Queries that end in a handful of rows on purpose: one row per variant or per pair.
