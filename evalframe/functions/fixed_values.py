@@ -29,3 +29,14 @@ STATUSES = ("operational", "degraded", "down")
 MODES = ("live", "showcase")
 UNKNOWN = "Unknown"
 MISSING = "—"
+
+# Titles and subtitles of the metric cards.
+COMMITS_TOTAL_TITLE = "Commits · total"
+COMMITS_30D_TITLE = "Commits · 30d"
+REPO_STARS_TITLE = "Repo stars"
+LINES_OF_CODE_TITLE = "Lines of code"
+PRIMARY_LANGUAGE_TITLE = "Primary language"
+LAST_COMMIT_TITLE = "Last commit"
+COMMITS_30D_SUBTITLE = "Trailing 30 days"
+LANGUAGE_SUBTITLE = "Mostly "
+NO_LANGUAGE_SUBTITLE = "All sources"

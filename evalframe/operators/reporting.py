@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalframe.functions import fixed_values as fixed
 from evalframe.functions import formatting as shown
-from evalframe.functions.fixed_values import MISSING
 from evalframe.functions.quantiles import exact_quantiles
 
 
@@ -63,14 +63,14 @@ def metric_cards(metrics: DataFrame, text_size: int = 24) -> DataFrame:
         return card(position, title, F.col(name), shown.number_text(F.col(name)), subtitle)
 
     language = F.col("primary_language")
-    mostly = F.coalesce(F.concat(F.lit("Mostly "), language), F.lit("All sources"))
+    mostly = F.coalesce(F.concat(F.lit(fixed.LANGUAGE_SUBTITLE), language), F.lit(fixed.NO_LANGUAGE_SUBTITLE))
     cards = F.explode(F.array(
-        counted(1, "Commits · total", "commits_total", F.lit("History")),
-        counted(2, "Commits · 30d", "commits_30d", F.lit("Trailing 30 days")),
-        counted(3, "Repo stars", "repo_stars", F.lit("Stars")),
-        counted(4, "Lines of code", "lines_of_code", mostly),
-        card(5, "Primary language", None, shown.shortened(F.coalesce(language, F.lit(MISSING)), text_size), F.lit("")),
-        card(6, "Last commit", None, shown.date_text(F.col("last_commit_at")), F.lit("")),
+        counted(1, fixed.COMMITS_TOTAL_TITLE, "commits_total", F.lit("History")),
+        counted(2, fixed.COMMITS_30D_TITLE, "commits_30d", F.lit(fixed.COMMITS_30D_SUBTITLE)),
+        counted(3, fixed.REPO_STARS_TITLE, "repo_stars", F.lit("Stars")),
+        counted(4, fixed.LINES_OF_CODE_TITLE, "lines_of_code", mostly),
+        card(5, fixed.PRIMARY_LANGUAGE_TITLE, None, shown.shortened(F.coalesce(language, F.lit(fixed.MISSING)), text_size), F.lit("")),
+        card(6, fixed.LAST_COMMIT_TITLE, None, shown.date_text(F.col("last_commit_at")), F.lit("")),
     ))
     return metrics.select("system", cards.alias("card")).select("system", "card.*")
 

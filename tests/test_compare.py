@@ -72,9 +72,10 @@ def test_history(spark):
     assert got[("w", "m4")]["best_before"] is None
 
 
-@pytest.mark.parametrize("per_pass", [2, 200])
-def test_pairwise_against_brute_force(spark, monkeypatch, per_pass):
-    monkeypatch.setattr(compare, "PAIRS_PER_PASS", per_pass)
+@pytest.mark.parametrize("columns, cells", [(16, 8_000_000), (1, 8_000_000), (1, 10)])
+def test_pairwise_against_brute_force(spark, monkeypatch, columns, cells):
+    monkeypatch.setattr(compare, "COLUMN_VARIANTS", columns)
+    monkeypatch.setattr(compare, "MATRIX_CELLS", cells)
     rows = [(v, c, t, ((v * 31 + c * 17 + t * 7) % 100) / 100) for v in range(5) for c in range(30) for t in range(2)
             if (v + c) % 4 or c > 25]
     df = scores(spark, rows).withColumnRenamed("run", "variant")
