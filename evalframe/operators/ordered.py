@@ -1,9 +1,10 @@
 """Ordered look-back and look-ahead over keys that may hold most of the rows.
 
 A window partitioned by the key alone puts a hot key into one task. Here every key is cut
-into time chunks: an hour each, and finer where one key's hour holds more than
-``target_rows``. Chunk edges are summarised to one row each, the small summary carries
-values across chunks, and the row-level window only ever sees one chunk.
+into time chunks: hours, minutes where an hour of one key holds more than ``target_rows``,
+and even parts of a minute that is still too full. Chunk edges are summarised to one row
+each, the small summary carries values across chunks, and the row-level window only ever
+sees one chunk.
 """
 
 from __future__ import annotations
@@ -14,27 +15,34 @@ from pyspark.sql import functions as F
 from evalframe.functions.times import micros
 
 HOUR_US = 3_600_000_000
+MINUTE_US = 60_000_000
 TARGET_ROWS = 2_000_000
 
 
+def _overfull(timed: DataFrame, key: str, cell: str, target_rows: int) -> DataFrame:
+    """Cells of a key with more than ``target_rows`` rows, and the parts they need.
+
+    Counts combine before the shuffle. There are at most rows / target_rows such cells, a
+    few megabytes per trillion rows, so broadcasting them is bounded. A broadcast also
+    runs first: rows are not shuffled just to find that no cell is overfull.
+    """
+    counted = timed.groupBy(key, cell).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > target_rows)
+    return F.broadcast(counted.select(key, cell, F.ceil(F.col("_n") / target_rows).cast("bigint").alias("_parts")))
+
+
 def with_chunks(df: DataFrame, key: str, ts: str, target_rows: int = TARGET_ROWS) -> DataFrame:
     """Add ``_chunk``, a bigint that rises with time within each key."""
-    at = micros(F.col(ts))
-    timed = df.withColumn("_us", at).withColumn("_cell", F.expr(f"_us - pmod(_us, {HOUR_US})"))
-    # Counts combine before the shuffle. Only cells above the target stay: at most
-    # rows / target_rows of them, a few megabytes per trillion rows, so the broadcast is
-    # bounded. It also runs first, so the rows are not shuffled just to find no full cell.
-    splits = (
-        timed.groupBy(key, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > target_rows)
-        .select(key, "_cell", F.ceil(F.col("_n") / target_rows).cast("bigint").alias("_parts"))
-    )
-    inside = F.expr(f"((_us - _cell) * coalesce(_parts, 1L)) div {HOUR_US}")
-    width = F.expr(f"{HOUR_US} div coalesce(_parts, 1L)")
+    timed = df.withColumn("_us", micros(F.col(ts))).withColumns({
+        "_hour": F.expr(f"_us - pmod(_us, {HOUR_US})"), "_minute": F.expr(f"_us - pmod(_us, {MINUTE_US})"),
+    })
+    hours = _overfull(timed, key, "_hour", target_rows).withColumnRenamed("_parts", "_full")
+    minutes = _overfull(timed.join(F.broadcast(hours), [key, "_hour"], "left_semi"), key, "_minute", target_rows)
+    part = F.expr(f"((_us - _minute) * coalesce(_parts, 1L)) div {MINUTE_US}")
+    width = F.expr(f"{MINUTE_US} div coalesce(_parts, 1L)")
     return (
-        timed.join(F.broadcast(splits), [key, "_cell"], "left")
-        .withColumn("_chunk", F.col("_cell") + inside * width)
-        .drop("_us", "_cell", "_parts")
+        timed.join(F.broadcast(hours), [key, "_hour"], "left").join(minutes, [key, "_minute"], "left")
+        .withColumn("_chunk", F.when(F.col("_full").isNull(), F.col("_hour")).otherwise(F.col("_minute") + part * width))
+        .drop("_us", "_hour", "_minute", "_parts", "_full")
     )
 
 

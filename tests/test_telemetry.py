@@ -141,6 +141,8 @@ def test_chunked_look_back_equals_plain_order(spark, target):
 
 def test_hot_hour_is_split(spark):
     rows = [(1, T0 + timedelta(seconds=i), i, True, 0.0) for i in range(3_000)] + [(2, T0, 9_999, True, 0.0)]
+    # Most of the hour falls into one minute of it.
+    rows += [(1, T0 + timedelta(milliseconds=i * 15), 10_000 + i, True, 0.0) for i in range(4_000)]
     df = spark.createDataFrame(rows, OBSERVED)
     sizes = with_chunks(df, "system", "at", target_rows=100).groupBy("system", "_chunk").count().collect()
     assert max(r["count"] for r in sizes if r["system"] == 1) <= 150
