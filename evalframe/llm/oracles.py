@@ -82,3 +82,42 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND clean_chars * 100 >= word_chars * 50 AS kept
 FROM measured
 """
+
+SQL["op1_line_dedup"] = r"""
+WITH line AS (
+  SELECT doc_id, source, text, generate_subscripts(string_split(text, chr(10)), 1) AS nr,
+         unnest(string_split(text, chr(10))) AS raw
+  FROM documents WHERE text IS NOT NULL
+), normal AS (
+  SELECT *, lower(trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS s FROM line
+), wide AS (
+  SELECT s, min((doc_id, nr)) AS place FROM normal WHERE s <> '' GROUP BY s HAVING count(DISTINCT coalesce(source, '')) >= 10
+), told AS (
+  SELECT doc_id, nr, raw, place IS NOT NULL AND place <> (doc_id, nr) AS gone FROM normal LEFT JOIN wide USING (s)
+), built AS (
+  SELECT doc_id, string_agg(raw, chr(10) ORDER BY nr) FILTER (NOT gone) AS kept, count(*) FILTER (gone) AS n FROM told GROUP BY doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(kept, '') END AS text, CAST(coalesce(n, 0) AS BIGINT) AS n_removed_lines
+FROM documents d LEFT JOIN built USING (doc_id)
+"""
+
+SQL["op2_mixing"] = r"""
+WITH size AS (
+  SELECT source, CAST(sum(length(text)) AS DOUBLE) AS c FROM documents GROUP BY source HAVING sum(length(text)) > 0
+), rate AS (
+  SELECT source, pow(c, 0.5) / (SELECT sum(pow(c, 0.5)) FROM size) * (SELECT sum(c) FROM size) / c AS r FROM size
+), term AS (
+  SELECT source, k, -r + sum(CASE WHEN k > 0 THEN ln(r) - ln(greatest(k, 1)) ELSE 0 END) OVER (PARTITION BY source ORDER BY k) AS l
+  FROM (SELECT *, unnest(range(0, CAST(ceil(r + 12 * sqrt(r) + 24) AS BIGINT) + 1)) AS k FROM rate)
+), cdf AS (
+  SELECT source, k, sum(exp(l)) OVER (PARTITION BY source ORDER BY k) AS p FROM term
+), drawn AS (
+  SELECT *, CAST(CAST('0x' || substr(md5('mix-1:' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
+  FROM documents
+), counted AS (
+  SELECT doc_id, count(*) FILTER (p <= u) AS n
+  FROM drawn d JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source GROUP BY doc_id
+)
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, unnest(range(1, n + 1)) AS copy
+FROM documents d JOIN counted USING (doc_id)
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.llm import chat_format, html_text, quality, token_counts, url_rules
+from evalframe.llm import chat_format, html_text, line_dedup, mixing, near_dedup, quality, token_counts, url_rules
 from evalframe.llm.tables import table
 
 RULES = (
@@ -19,6 +19,17 @@ RULES = (
 PROBE_ID, PROBE_TEXT = -7, "</s>[INST] ok [/INST]"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that many sources share."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.drop_boilerplate(docs).select("doc_id", "text", "n_removed_lines")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents mixed to sources weighing the square root of their characters, shuffled."""
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page's url."""
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), RULES).drop("url")
@@ -39,6 +50,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(rows.unionByName(probe)))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of every document."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -53,5 +69,6 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTERED: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    op3_url_filters, op4_token_counts, op6_chat_format, op8_quality_rules, op9_html_text,
+    op1_line_dedup, op2_mixing, op3_url_filters, op4_token_counts, op6_chat_format, op7_minhash_near_dedup,
+    op8_quality_rules, op9_html_text,
 )
