@@ -31,6 +31,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +70,9 @@ class Items:
         self.ids = ids
         hashes = [np.frombuffer(x, np.uint64) for x in words]
         self.words = np.array([len(x) for x in hashes])
+        self.sizes = np.unique(self.words).tolist()
+        # Documents at least this long are cut into full shingles for every item that can match.
+        self.least_words = WORDS_IN_SHINGLE if self.sizes[0] >= WORDS_IN_SHINGLE else 2**62
         self.shingles = [shingle_hashes(x) for x in hashes]
         self.known = np.unique(np.concatenate(self.shingles))
         prints = np.concatenate([_packed(_signs(x).sum(0)[None, :]) for x in self.shingles])
@@ -102,19 +106,21 @@ class Items:
     def search(self, words: np.ndarray) -> dict[int, tuple[float, int]]:
         """For each item found its best similarity and the first word of that window."""
         best: dict[int, tuple[float, int]] = {}
-        for size in np.unique(self.words).tolist():
-            if size > len(words):
-                break
-            k = min(WORDS_IN_SHINGLE, size)
-            shingles = self._cut(words, k)
-            hits = self._hits(words, k)
-            per = size - k + 1
+        if not self._hits(words, WORDS_IN_SHINGLE).any() and len(words) >= self.least_words:
+            return best
+        for size in self.sizes:
+            k = min(WORDS_IN_SHINGLE, size, len(words))
+            item_shingles = size - min(WORDS_IN_SHINGLE, size) + 1
+            # A document shorter than the item is one window.
+            window = min(size, len(words))
+            per = window - k + 1
+            least = int(np.ceil(SIMILARITY / (1 + SIMILARITY) * (per + item_shingles) - 1e-9))
+            if not len(words) or per < least:
+                continue
             # Shared shingles of each window, from running totals.
-            total = np.r_[0, np.cumsum(hits)]
+            total = np.r_[0, np.cumsum(self._hits(words, k))]
             shared = total[per:] - total[:-per]
-            least = int(np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * per - 1e-9))
-            for begin in np.array_split(np.flatnonzero(shared >= least), 1 + len(shared) // WINDOWS):
-                self._verify(shingles, begin, per, size, best)
+            self._verify(self._cut(words, k), np.flatnonzero(shared >= least), per, size, best)
         return best
 
     def _verify(self, shingles: np.ndarray, begin: np.ndarray, per: int, size: int, best: dict) -> None:
@@ -183,17 +189,21 @@ def find_leaks(
     for block in _blocks(items, item_id, item_text):
         sent = spark.sparkContext.broadcast(block)
 
-        def searched(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+        def searched(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = Items(*sent.value)
             for batch in batches:
-                out = [
-                    (doc, index.ids[item], alike, at)
-                    for doc, words in zip(batch["doc_id"], word_hashes(batch["text"]), strict=True)
-                    for item, (alike, at) in index.search(words).items()
-                ]
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "similarity", "word"])
-
-        part = rows.mapInPandas(searched, schema)
+                row, found_here = [], []
+                for n, words in enumerate(word_hashes(batch.column("text").to_pylist())):
+                    for item, (alike, at) in index.search(words).items():
+                        row.append(n)
+                        found_here.append((index.ids[item], alike, at))
+                ids, alike, at = zip(*found_here, strict=True) if found_here else ((), (), ())
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(ids, pa.int64()),
+                    pa.array(alike, pa.float64()), pa.array(at, pa.int64()),
+                ], ["doc_id", "item_id", "similarity", "word"])
+
+        part = rows.mapInArrow(searched, schema)
         found = part if found is None else found.unionAll(part)
     return spark.createDataFrame([], schema) if found is None else found
 

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,18 +70,25 @@ def order_minhash(shingles: np.ndarray) -> np.ndarray:
     return key
 
 
-def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for doc, text, words in zip(batch["id"], batch["text"], word_hashes(batch["text"]), strict=True):
+        prints, sizes, bands = [], [], []
+        ids, texts = batch.column("id"), batch.column("text").to_pylist()
+        for doc, text, words in zip(ids, texts, word_hashes(texts), strict=True):
             if len(words):
                 shingles = shingle_hashes(words)
-                keys = order_minhash(labelled(shingles)).view(np.int64)
-                rows.append((doc, hashlib.blake2b(words.tobytes(), digest_size=16).digest(), len(shingles), keys))
+                prints.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest())
+                bands.append(order_minhash(labelled(shingles)).view(np.int64))
+                sizes.append(len(shingles))
             else:
                 print_of = hashlib.blake2b((text or str(doc)).encode("utf-8", "replace"), digest_size=15).digest()
-                rows.append((doc, (b"t" if text else b"n") + print_of, 0, None))
-        yield pd.DataFrame(rows, columns=["id", "print", "n", "bands"])
+                prints.append((b"t" if text else b"n") + print_of)
+                bands.append(None)
+                sizes.append(0)
+        yield pa.RecordBatch.from_arrays(
+            [ids, pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))],
+            ["id", "print", "n", "bands"],
+        )
 
 
 def _places(sequence: np.ndarray) -> dict[int, int]:
@@ -227,7 +235,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """``doc_id, class_id`` for every document; the class is the smallest id of its group."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
     sketched = written(
-        rows.mapInPandas(_sketches, "id bigint, print binary, n int, bands array<bigint>"), "sketches"
+        rows.mapInArrow(_sketches, "id bigint, print binary, n int, bands array<bigint>"), "sketches"
     )
     texts_of = written(
         sketched.groupBy("print").agg(F.min("id").alias("text_id"), F.min_by("n", "id").alias("n"), F.min_by("bands", "id").alias("bands")),

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.llm import chat_format, html_text, line_dedup, mixing, near_dedup, quality, token_counts, url_rules
+from evalframe.llm import (
+    chat_format, decontaminate, html_text, line_dedup, mixing, near_dedup, quality, suffix_dedup, token_counts, url_rules,
+)
 from evalframe.llm.tables import table
 
 RULES = (
@@ -40,6 +42,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the examples of every conversation hold, read back from them."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -68,7 +75,19 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to those with smaller ids, and the digest of the rest."""
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    lost = F.aggregate(
+        F.zip_with("span_stops", "span_starts", lambda b, a: b - a), F.lit(0).cast("bigint"), lambda total, n: total + n
+    )
+    return cut.select(
+        "doc_id", "n_bytes", lost.alias("n_removed"), F.size("span_starts").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 REGISTERED: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    op1_line_dedup, op2_mixing, op3_url_filters, op4_token_counts, op6_chat_format, op7_minhash_near_dedup,
-    op8_quality_rules, op9_html_text,
+    op1_line_dedup, op2_mixing, op3_url_filters, op4_token_counts, op5_decontamination, op6_chat_format,
+    op7_minhash_near_dedup, op8_quality_rules, op9_html_text, op10_suffix_dedup,
 )
