@@ -1,7 +1,8 @@
-"""The corpus pipeline: stages from documents to a training mix.
+"""The corpus pipeline: five stages from documents to a training mix.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as
-Parquet and read again as the next stage's documents.
+Parquet and read again as the next stage's documents. All but the last return the columns of
+``documents``.
 """
 
 from __future__ import annotations
@@ -9,11 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evalframe.llm import quality
+from evalframe.llm import decontaminate, line_dedup, mixing, near_dedup, quality
 from evalframe.llm.tables import table, written
+from evalframe.session import configure
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,14 +25,39 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality rules", quality_rules)]
+def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many sources share go everywhere but at their first place; every document stays."""
+    cut = line_dedup.drop_boilerplate(docs.select(*COLUMNS))
+    return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
-#: Near-duplicate stages can't be said in SQL; tests hold the stages against brute force.
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that with the smallest id."""
+    return near_dedup.keep_first(docs.select(*COLUMNS))
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated to their source's weight, shuffled, with the number of the copy."""
+    return mixing.mix(docs.select(*COLUMNS))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_rules), ("line dedup", shared_lines), ("near dedup", near_copies),
+    ("decontamination", benchmark_leaks), ("mixing", source_mix),
+]
+
+#: The stages on near copies and windows can't be said in SQL; tests hold them against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; every stage but the last is written and read again."""
+    configure(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))

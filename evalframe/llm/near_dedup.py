@@ -255,5 +255,5 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stand for their class, as they came."""
-    kept = near_duplicates(docs, doc_id, text).where("doc_id = class_id").select(F.col("doc_id").alias("_kept"))
+    kept = near_duplicates(docs, doc_id, text).where("doc_id <=> class_id").select(F.col("doc_id").alias("_kept"))
     return docs.join(kept, F.col(doc_id).cast("bigint").eqNullSafe(F.col("_kept")), "left_semi")
