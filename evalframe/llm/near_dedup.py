@@ -6,12 +6,18 @@ with their occurrence, under one hash function, kept in text order. Texts that a
 sketches of a band share a bucket.
 
 A bucket is worked in levels, never as all its pairs. At each level the first members still
-unlinked are pivots; every other member is aligned with them, in tasks dealt by pair. Members
-linked to a pivot leave the level. The first levels take one pivot and compare it with every
-member, which settles a large group of copies at once; later ones take ``PIVOTS``. The
-distance used, one less the similarity, is a metric, so two members that were not compared
-can only be similar if one is linked to a pivot and the other lies within twice the limit of
-it; those pairs are compared in the end, unless links already join them.
+unlinked are pivots; other members are aligned with them, in tasks dealt by pair, unless the
+links so far have put both in one component. Members linked to a pivot leave the level.
+Members go by the sum of the sizes of their buckets, the largest first: the text that others
+were copied from shares more buckets than any copy. The first levels take one pivot and
+compare it with every member, which settles a large group of copies at once; later ones take
+up to ``PIVOTS``. A bucket is done once its members left are of one component.
+
+The distance used, one less the similarity, is a metric, so two members that were not
+compared can only be similar if one is linked to a pivot and the other lies within twice the
+limit of it; those pairs are compared in the end, unless links already join them. Texts that
+share a bucket and are of no component with each other are all compared: a bucket of many
+texts that are somewhat alike but not near copies costs their number squared.
 
 Similarity is that of the two shingle sequences under their best order-preserving alignment:
 aligned / (n1 + n2 - aligned), 0.8 or more. Shingles align only within the band outside
@@ -41,7 +47,8 @@ SIMILARITY = 0.8
 #: Twice the limit of the distance: farther members share no neighbour with a pivot.
 BORDER = 1 - 2 * (1 - SIMILARITY)
 BANDS, SKETCHES = 24, 3
-PIVOTS = 32
+#: Levels with a single pivot, and pivots of the later levels.
+SINGLE, PIVOTS = 3, 32
 #: Hashes held at once while sketching one text.
 CELLS = 1_000_000
 _MAX = np.uint64(2**64 - 1)
@@ -165,29 +172,47 @@ def _scored(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(both.mapInPandas(_scores, "a bigint, b bigint, similarity double"), "scores")
 
 
+def _placed(members: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """Members with the component that the links so far put them in."""
+    alone = members.drop("component")
+    if joined is None:
+        return alone.withColumn("component", F.col("id"))
+    known = joined.select(F.col("id").alias("_id"), F.col("component").alias("_component"))
+    return alone.join(known, alone["id"] == known["_id"], "left").withColumn(
+        "component", F.coalesce("_component", "id")
+    ).drop("_id", "_component")
+
+
+def _crowded(left: DataFrame) -> DataFrame:
+    """The buckets in which members of different components are left."""
+    ends = left.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
+    return left.join(ends.select("bucket"), "bucket", "left_semi")
+
+
 def _link_texts(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """All links ``a, b`` between distinct texts that share a bucket (see the module's text)."""
-    held = members
+    """``id, component`` of distinct texts under all links between texts that share a bucket
+    (see the module's text)."""
     scores: DataFrame | None = None
     links: DataFrame | None = None
     border: DataFrame | None = None
-    level = 0
-    left = members
-    while True:
-        pivots = 1 if level < 2 else PIVOTS
-        ranked = Window.partitionBy("bucket").orderBy("id")
+    joined: DataFrame | None = None
+    left, level = _placed(members, None), 0
+    while level == 0 or not left.isEmpty():
+        single = level < SINGLE
+        ranked = Window.partitionBy("bucket").orderBy(F.col("weight").desc(), "id")
         chosen = written(
-            left.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= pivots)
-            .select("bucket", F.col("id").alias("pivot"), F.col("n").alias("pivot_n")), "pivots",
+            left.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= (1 if single else PIVOTS))
+            .select("bucket", F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_in")),
+            "pivots",
         )
-        others = held if level < 2 else left
-        met = others.join(chosen, "bucket").where("id <> pivot").where(
+        others = _placed(members, joined) if single and level else left
+        # No link is needed within a component.
+        met = others.join(chosen, "bucket").where("component <> pivot_in").where(
             F.least("n", "pivot_n") >= BORDER * F.greatest("n", "pivot_n")
         )
-        if level >= 2:  # pivots of one level meet once
-            met = met.join(
-                chosen.select("bucket", F.col("pivot").alias("id"), F.lit(True).alias("_also")), ["bucket", "id"], "left"
-            ).where(F.col("_also").isNull() | (F.col("id") > F.col("pivot")))
+        if not single:  # pivots of one level meet once
+            also = chosen.select("bucket", F.col("pivot").alias("id"), F.lit(True).alias("_also"))
+            met = met.join(also, ["bucket", "id"], "left").where(F.col("_also").isNull() | (F.col("id") > F.col("pivot")))
         met = written(met.select("bucket", "id", "pivot", F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")), "met")
         pairs = met.select("a", "b").distinct()
         if scores is not None:
@@ -197,20 +222,16 @@ def _link_texts(members: DataFrame, texts: DataFrame) -> DataFrame:
         told = met.join(scores, ["a", "b"])
         linked = told.where(F.col("similarity") >= SIMILARITY)
         new_links = linked.select("a", "b").distinct()
-        links = new_links if links is None else links.unionAll(new_links)
+        links = written(new_links if links is None else links.unionAll(new_links), "links")
         close = told.where(F.col("similarity") >= BORDER).select("bucket", "pivot", "id", "similarity")
         border = close if border is None else border.unionAll(close)
         settled = linked.select("bucket", "id").unionAll(chosen.select("bucket", F.col("pivot").alias("id")))
-        rest = left.join(settled.distinct(), ["bucket", "id"], "left_anti")
-        crowded = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket")
-        left = written(rest.join(crowded, "bucket", "left_semi"), "unlinked")
+        joined = components(links)
+        left = written(_crowded(_placed(left.join(settled.distinct(), ["bucket", "id"], "left_anti"), joined)), "unlinked")
         level += 1
-        if left.isEmpty():
-            break
-    links, border = written(links.distinct(), "links"), written(border, "border")
+    border = written(border, "border")
     while True:
         # Members within twice the limit of a pivot, in another component than the pivot's links.
-        joined = components(links)
         of = lambda name: joined.select(F.col("id").alias(name), F.col("component").alias(f"_{name}"))
         placed = border.join(of("pivot"), "pivot", "left").join(of("id"), "id", "left").withColumns({
             "_pivot": F.coalesce("_pivot", "pivot"), "_id": F.coalesce("_id", "id"),
@@ -229,6 +250,7 @@ def _link_texts(members: DataFrame, texts: DataFrame) -> DataFrame:
         told = _scored(fresh, texts)
         scores = scores.unionAll(told)
         links = written(links.unionAll(told.where(F.col("similarity") >= SIMILARITY).select("a", "b")), "links")
+        joined = components(links)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -242,9 +264,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         "texts",
     )
     keyed = texts_of.where("n > 0").select(F.col("text_id").alias("id"), "n", F.explode("bands").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket")
-    members = written(keyed.join(shared, "bucket", "left_semi"), "members")
-    involved = members.select("id").distinct()
+    shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    met = written(keyed.join(shared, "bucket"), "met-buckets")
+    weights = met.groupBy("id").agg(F.sum("_n").alias("weight"))
+    members = written(met.select("id", "n", "bucket").join(weights, "id"), "members")
+    involved = weights.select("id")
     one_each = rows.join(involved, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     joined = _link_texts(members, written(one_each, "member-texts"))
     classes = texts_of.select("print", "text_id").join(joined, texts_of["text_id"] == joined["id"], "left").select(
