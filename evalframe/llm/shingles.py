@@ -45,7 +45,7 @@ class _Powers:
     @classmethod
     def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            cls.up, cls.down = _powers(_BASE, 2 * n), _powers(_BASE_INVERSE, 2 * n)
+            cls.up, cls.down = _powers(_BASE, n + n // 8), _powers(_BASE_INVERSE, n + n // 8)
         return cls.up, cls.down
 
 

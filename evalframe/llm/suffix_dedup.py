@@ -13,8 +13,9 @@ that only text which can repeat is sorted.
 3. Strings that follow each other with one anchor form a segment. A block sends each distinct
    segment once, with its smallest document id, to the shard of its anchor. However often a
    passage occurs, it goes once from each block.
-4. A shard sorts the suffixes of its distinct segments; neighbours with a common prefix of
-   ``LENGTH`` bytes are equal strings, and each gets the smallest document id among them.
+4. A shard sorts the suffixes of its distinct segments, but for those that share no string with
+   another; neighbours with a common prefix of ``LENGTH`` bytes are equal strings, and each
+   gets the smallest document id among them.
 5. Blocks take the ids back and remove what a smaller document also has.
 
 Nulls and odd input: a null text is empty and an empty text loses nothing; rows with equal
@@ -43,7 +44,7 @@ from evalframe.llm.tables import written
 LENGTH, GRAM = 50, 24
 BLOCK, STRETCH, SHARD = 2_000_000, 1_000_000, 1_000_000
 #: Bytes of text for which one task compares anchors and sorts suffixes.
-PART_BYTES = 10_000_000
+PART_BYTES = 5_000_000
 _NO_ID = np.iinfo(np.int64).min
 
 
@@ -171,41 +172,70 @@ def _shared(rows: pd.DataFrame) -> pd.DataFrame:
     })
 
 
-def _segments(blocks: pd.DataFrame, shared: pd.DataFrame, parts: int) -> pd.DataFrame:
-    """Occurrences of segments (part -1), and the distinct ones for the shard of each part."""
-    block = _Block(blocks.iloc[0])
-    anchor = block.anchors()
-    run = block.runs(anchor)
-    key = _keys(anchor[run], parts)
-    wide = [np.uint64(p) << np.uint64(32) | _unpack_keys(x).astype(np.uint64) for p, x in zip(shared["part"], shared["keys"], strict=True)]
-    elsewhere = np.isin(key, np.concatenate(wide)) if wide else np.zeros(len(run), bool)
-    # Anchors that two documents of this block hold.
-    order = np.argsort(key, kind="stable")
-    doc = block.doc[run][order]
-    first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]]) if len(run) else np.zeros(0, np.int64)
-    here = np.zeros(len(run), bool)
-    if len(run):
-        several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-        here[order] = several.repeat(np.diff(np.r_[first, len(run)]))
-    count = np.diff(np.r_[run, len(anchor)])
-    chosen = elsewhere | here
-    run, count, key = run[chosen], count[chosen], key[chosen]
-    if not len(run):
-        return pd.DataFrame({"block": [], "part": [], "packed": []})
-    at = block.starts[run]
-    length = count + LENGTH - 1
-    total, down = _sums(block.data)
-    digest = mixed((total[at + length] - total[at]) * down[at]) + mixed(length.astype(np.uint64) * _BASE)
-    _, one, which = np.unique(digest, return_index=True, return_inverse=True)
-    smallest = np.full(len(one), np.iinfo(np.int64).max)
-    np.minimum.at(smallest, which, block.ids[block.doc[run]])
-    rows = [(block.number, -1, _pack(which.astype(np.int32), at, count.astype(np.int32)))]
-    part = (key[one] >> np.uint64(32)).astype(np.int64)
-    for p in np.unique(part).tolist():
-        mine = np.flatnonzero(part == p)
-        held = one[mine]
-        text = b"".join(block.data[a : a + n].tobytes() for a, n in zip(at[held].tolist(), length[held].tolist(), strict=True))
-        rows.append((block.number, p, _pack(mine.astype(np.int32), count[held].astype(np.int32), smallest[mine], key[held], text)))
+class _Segments:
+    """The segments of a block whose anchor another document may hold.
+
+    ``at`` and ``count`` are the first string and the number of strings of each occurrence,
+    ``which`` its distinct segment, and ``one`` an occurrence of each distinct segment.
+    """
+
+    def __init__(self, block: _Block, shared: pd.DataFrame, parts: int):
+        anchor = block.anchors()
+        run = block.runs(anchor)
+        key = _keys(anchor[run], parts)
+        wide = [np.uint64(p) << np.uint64(32) | _unpack_keys(x).astype(np.uint64) for p, x in zip(shared["part"], shared["keys"], strict=True)]
+        elsewhere = np.isin(key, np.concatenate(wide)) if wide else np.zeros(len(run), bool)
+        count = np.diff(np.r_[run, len(anchor)])
+        chosen = elsewhere | _in_several(key, block.doc[run])
+        run, self.count, self.key = run[chosen], count[chosen], key[chosen]
+        self.at, self.doc = block.starts[run], block.doc[run]
+        digest = _hashes(block.data, self.at, self.count + LENGTH - 1)
+        _, self.one, self.which = np.unique(digest, return_index=True, return_inverse=True)
+
+
+def _in_several(key: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which entries have a key that two different owners have."""
+    out = np.zeros(len(key), bool)
+    if len(key):
+        order = np.argsort(key, kind="stable")
+        owner = owner[order]
+        first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+        several = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
+        out[order] = several.repeat(np.diff(np.r_[first, len(key)]))
+    return out
+
+
+def _hashes(data: np.ndarray, begin: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+    """Hashes of the strings of ``data`` at ascending places, a stretch at a time."""
+    length = np.broadcast_to(np.asarray(length, np.int64), begin.shape)
+    out = np.empty(len(begin), np.uint64)
+    i = 0
+    while i < len(begin):
+        j = int(np.searchsorted(begin, begin[i] + STRETCH))
+        low, a, n = begin[i], begin[i:j] - begin[i], length[i:j]
+        total, down = _sums(data[low : low + int((a + n).max())])
+        out[i:j] = mixed((total[a + n] - total[a]) * down[a]) + mixed(n.astype(np.uint64) * _BASE)
+        i = j
+    return out
+
+
+def _send(blocks: pd.DataFrame, shared: pd.DataFrame, parts: int) -> pd.DataFrame:
+    """The distinct segments of a block, for the shards of each part."""
+    rows = []
+    if len(blocks):
+        block = _Block(blocks.iloc[0])
+        segments = _Segments(block, shared, parts)
+        one = segments.one
+        smallest = np.full(len(one), np.iinfo(np.int64).max)
+        np.minimum.at(smallest, segments.which, block.ids[segments.doc])
+        part = (segments.key[one] >> np.uint64(32)).astype(np.int64)
+        for p in np.unique(part).tolist():
+            mine = np.flatnonzero(part == p)
+            held = one[mine]
+            stop = segments.at[held] + segments.count[held] + LENGTH - 1
+            text = b"".join(block.data[a:b].tobytes() for a, b in zip(segments.at[held].tolist(), stop.tolist(), strict=True))
+            packed = _pack(mine.astype(np.int32), segments.count[held].astype(np.int32), smallest[mine], segments.key[held], text)
+            rows.append((block.number, p, packed))
     return pd.DataFrame(rows, columns=["block", "part", "packed"])
 
 
@@ -248,18 +278,24 @@ def _sort_part(rows: pd.DataFrame) -> pd.DataFrame:
     owner = np.arange(len(sent)).repeat([len(x[0]) for x in sent])
     length = count.astype(np.int64) + LENGTH - 1
     begin = np.cumsum(length) - length
-    total, down = _sums(text)
-    digest = mixed((total[begin + length] - total[begin]) * down[begin]) + mixed(length.astype(np.uint64) * _BASE)
-    del total
+    digest = _hashes(text, begin, length)
     _, one, which = np.unique(digest, return_index=True, return_inverse=True)
     smallest = np.full(len(one), np.iinfo(np.int64).max)
     np.minimum.at(smallest, which, ids)
+    found: list[np.ndarray] = [np.full(n, i) for n, i in zip(count[one].tolist(), smallest.tolist(), strict=True)]
+    # Only segments that share a string with a different segment are sorted.
+    order = np.argsort(begin[one])
+    n = count[one][order].astype(np.int64)
+    segment = order.repeat(n)
+    place = begin[one][segment] + np.arange(len(segment)) - (np.cumsum(n) - n).repeat(n)
+    busy = np.zeros(len(one), bool)
+    busy[segment[_in_several(_hashes(text, place, LENGTH), segment)]] = True
+    busy = np.flatnonzero(busy)
     # Shards of whole anchors.
-    order = np.argsort(key[one], kind="stable")
+    order = busy[np.argsort(key[one[busy]], kind="stable")]
     size = np.cumsum(length[one][order])
-    found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(one)
     start = 0
-    ends = np.flatnonzero(np.r_[key[one][order][1:] != key[one][order][:-1], True]) + 1
+    ends = np.flatnonzero(np.r_[key[one][order][1:] != key[one][order][:-1], True]) + 1 if len(order) else np.zeros(0, np.int64)
     for end in ends.tolist():
         if end < len(order) and size[end - 1] - (size[start - 1] if start else 0) < SHARD:
             continue
@@ -279,27 +315,28 @@ def _sort_part(rows: pd.DataFrame) -> pd.DataFrame:
         head[np.cumsum(per) - per] = True
         head[1:] |= least[1:] != least[:-1]
         run = np.flatnonzero(head)
-        out.append((int(block), -2, _pack(packed[0], per.astype(np.int32), np.diff(np.r_[run, len(least)]).astype(np.int32), least[run])))
+        runs = np.diff(np.r_[run, len(least)]).astype(np.int32)
+        out.append((int(block), int(rows["part"].iloc[0]), _pack(packed[0], per.astype(np.int32), runs, least[run])))
     return pd.DataFrame(out, columns=["block", "part", "packed"])
 
 
-def _remove(blocks: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-    """Cut the documents of one block."""
+def _remove(blocks: pd.DataFrame, told: pd.DataFrame, parts: int) -> pd.DataFrame:
+    """Cut the documents of one block. ``told`` has its shared anchors and the shards' answers."""
     block = _Block(blocks.iloc[0])
     change = np.zeros(len(block.data) + 1, np.int32)
-    answers = [_unpack(x) for x in told.loc[told["part"] == -2, "packed"]]
+    answers = [_unpack(x) for x in told.loc[told["packed"].notna(), "packed"]]
     if answers:
+        segments = _Segments(block, told[told["keys"].notna()], parts)
         number, per = (np.concatenate([x[k] for x in answers]).astype(np.int64) for k in (0, 1))
         least = np.concatenate([x[3].repeat(x[2]) for x in answers])
         begin = np.empty(len(number), np.int64)
         begin[number] = np.cumsum(per) - per
-        which, at, count = _unpack(told.loc[told["part"] == -1, "packed"].iloc[0])
-        count = count.astype(np.int64)
+        count = segments.count
         step = np.arange(int(count.sum())) - (np.cumsum(count) - count).repeat(count)
-        place = at.repeat(count) + step
-        smaller = least[begin[which].repeat(count) + step] < block.ids[np.searchsorted(block.ends, place, side="right")]
-        np.add.at(change, place[smaller], 1)
-        np.add.at(change, place[smaller] + LENGTH, -1)
+        place = segments.at.repeat(count) + step
+        smaller = least[begin[segments.which].repeat(count) + step] < block.ids[segments.doc].repeat(count)
+        change[: len(block.data)] += np.bincount(place[smaller], minlength=len(block.data)).astype(np.int32)
+        change -= np.bincount(place[smaller] + LENGTH, minlength=len(change)).astype(np.int32)
     gone = np.cumsum(change[:-1]) > 0
     rows = []
     for doc, end, size in zip(block.ids.tolist(), block.ends.tolist(), block.sizes.tolist(), strict=True):
@@ -319,12 +356,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     parts = 1 + (blocks.agg(F.sum("bytes")).first()[0] or 0) // PART_BYTES
     told = blocks.mapInPandas(lambda batches: _tell(batches, parts), "part bigint, block bigint, keys binary")
     shared = written(told.groupBy("part").applyInPandas(_shared, "block bigint, part bigint, keys binary"), "shared-anchors")
-    cut = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(
-        lambda a, b: _segments(a, b, parts), "block bigint, part bigint, packed binary"
+    segments = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(
+        lambda a, b: _send(a, b, parts), "block bigint, part bigint, packed binary"
+    )
+    answers = written(segments.groupBy("part").applyInPandas(_sort_part, segments.schema), "smallest-ids")
+    # Segments are worked out again rather than kept: they are larger than the text.
+    back = shared.withColumn("packed", F.lit(None).cast("binary")).unionByName(
+        answers.withColumn("keys", F.lit(None).cast("binary"))
     )
-    segments = written(cut, "segments")
-    answers = segments.where("part >= 0").groupBy("part").applyInPandas(_sort_part, segments.schema)
-    back = written(answers, "smallest-ids").unionAll(segments.where("part = -1"))
     return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(
-        _remove, "doc_id bigint, n_bytes bigint, span_starts array<bigint>, span_stops array<bigint>, kept binary"
+        lambda a, b: _remove(a, b, parts),
+        "doc_id bigint, n_bytes bigint, span_starts array<bigint>, span_stops array<bigint>, kept binary",
     )
