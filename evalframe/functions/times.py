@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,8 +19,11 @@ def seconds_between(start: Column, end: Column) -> Column:
 
 
 def instant(text: str) -> Column:
-    """A zone-free timestamp literal, cut to seconds like the as-of clock."""
-    return F.lit(text[:19].replace("T", " ")).cast("timestamp_ntz")
+    """A zone-free UTC timestamp literal, cut to seconds like the as-of clock."""
+    at = datetime.fromisoformat(text)
+    if at.tzinfo is not None:
+        at = at.astimezone(timezone.utc)
+    return F.lit(at.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
 
 
 def iso_utc(ts: Column) -> Column:
@@ -27,5 +32,8 @@ def iso_utc(ts: Column) -> Column:
 
 
 def parse_iso(text: Column) -> Column:
-    """Zone-free timestamp, or null for text that is not a time."""
-    return text.try_cast("timestamp").cast("timestamp_ntz")
+    """Zone-free timestamp, or null for text that is not a whole ISO date, with or without a time."""
+    whole = text.rlike(
+        r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+    )
+    return F.when(whole, text.try_cast("timestamp").cast("timestamp_ntz"))

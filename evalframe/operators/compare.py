@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import reduce
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalframe.functions.rubrics import GRID
 from evalframe.session import shared_path
 
-COLUMN_VARIANTS = 16
-MATRIX_CELLS = 8_000_000
-
 
 def units(score: str = "score") -> Column:
-    """Score as a whole number of ten-thousandths."""
-    return (F.col(score) * GRID).cast("bigint")
+    """Score as a whole number of ten-thousandths, rounded half up."""
+    return F.round(F.col(score) * GRID).cast("bigint")
 
 
 def mean_units(total: Column, n: Column) -> Column:
@@ -88,9 +82,12 @@ def worst_regressions(compared: DataFrame, slices: DataFrame, candidate, top: in
 
 
 def export_regressions(regressions: DataFrame, path: str | None = None, fmt: str = "parquet") -> str:
-    """Write regressions partitioned by candidate run; returns the folder."""
+    """Write regressions partitioned by candidate run; returns the folder.
+
+    Exports of other runs that are there already stay.
+    """
     path = path or shared_path(regressions.sparkSession, "regressions")
-    writer = regressions.write.mode("overwrite").partitionBy("candidate_run")
+    writer = regressions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("candidate_run")
     if fmt == "csv":
         writer = writer.option("header", True)
     writer.format(fmt).save(path)
@@ -135,79 +132,23 @@ def leaderboard(scores: DataFrame) -> DataFrame:
 def pairwise_win_rate(scores: DataFrame, variants: Sequence | None = None) -> DataFrame:
     """Wins, ties and losses of each pair of variants on the cases both have.
 
-    No pair of rows is ever emitted. Few variants become columns of one row per case and
-    pairs of columns are counted; many are counted as matrices, one total per pair and
-    task. Naming the variants saves a scan.
+    A case becomes one sorted array of its variants' scores, and each entry meets those
+    after it; pairs are counted by each task before the shuffle. The work of a case is
+    quadratic in its own variants, as the result is. Naming variants leaves the rest out.
     """
-    if variants is None:
-        named = scores.select("variant").where(F.col("variant").isNotNull()).distinct()
-        variants = [row[0] for row in named.collect()]
-    variants = sorted(variants)
-    if len(variants) < 2:
-        raise ValueError("a comparison needs two variants")
-    per_case = case_means(scores.where(F.col("variant").isNotNull()), ["variant", "case_id"])
-    count = _pairs_of_columns if len(variants) <= COLUMN_VARIANTS else _pairs_of_matrices
-    counted = count(per_case, variants).where(F.col("wins") + F.col("ties") + F.col("losses") > 0)
-    shared = F.col("wins") + F.col("ties") + F.col("losses")
-    return counted.withColumn("shared", shared).withColumn(
-        "win_rate", F.col("wins").cast("double") / shared.cast("double")
+    known = scores.where(F.col("variant").isNotNull())
+    if variants is not None:
+        if len(set(variants)) < 2:
+            raise ValueError("a comparison needs two variants")
+        known = known.where(F.col("variant").isin(*variants))
+    cases = case_means(known, ["variant", "case_id"]).where(F.col("units").isNotNull()).groupBy("case_id").agg(
+        F.array_sort(F.collect_list(F.struct("variant", "units"))).alias("_all")
     )
-
-
-def _pairs_of_columns(per_case: DataFrame, variants: Sequence) -> DataFrame:
-    wide = per_case.groupBy("case_id").pivot("variant", list(variants)).agg(F.max("units"))
-    wide = wide.toDF("case_id", *[f"v{i}" for i in range(len(variants))])
-    pairs = [(i, j) for i in range(len(variants)) for j in range(i + 1, len(variants))]
-    counted = wide.agg(*[
-        F.struct(
-            F.lit(variants[i]).alias("variant_a"), F.lit(variants[j]).alias("variant_b"),
-            F.count_if(F.col(f"v{i}") > F.col(f"v{j}")).alias("wins"),
-            F.count_if(F.col(f"v{i}") == F.col(f"v{j}")).alias("ties"),
-            F.count_if(F.col(f"v{i}") < F.col(f"v{j}")).alias("losses"),
-        ).alias(f"p{n}")
-        for n, (i, j) in enumerate(pairs)
-    ])
-    return counted.select(F.explode(F.array(*[f"p{n}" for n in range(len(pairs))])).alias("p")).select("p.*")
-
-
-def _pairs_of_matrices(per_case: DataFrame, variants: Sequence) -> DataFrame:
-    """Each task adds up its cases' comparisons and emits one row per pair at its end."""
-    size, kind = len(variants), per_case.schema["variant"].dataType.simpleString()
-    rows_at_once = max(1, 4_000_000 // size)
-    # One row per variant of a case: a list as long as the experiment has variants.
-    cases = per_case.where(F.col("units").isNotNull()).groupBy("case_id").agg(
-        F.collect_list("variant").alias("names"), F.collect_list("units").alias("units")
-    ).select("names", "units")
-    places = {name: place for place, name in enumerate(variants)}
-
-    def compare(first: int, last: int):
-        def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            totals = np.zeros((3, last - first, size), dtype="int64")
-            for frame in frames:
-                for start in range(0, len(frame), rows_at_once):
-                    part = frame.iloc[start:start + rows_at_once]
-                    matrix = np.full((len(part), size), np.nan)
-                    for row, (names, values) in enumerate(zip(part["names"], part["units"])):
-                        matrix[row, [places[name] for name in names]] = values
-                    for a in range(first, last):
-                        mine = matrix[:, a:a + 1]
-                        totals[0, a - first] += (mine > matrix).sum(axis=0)
-                        totals[1, a - first] += (mine == matrix).sum(axis=0)
-                        totals[2, a - first] += (mine < matrix).sum(axis=0)
-            for a in range(first, last):
-                others = np.arange(a + 1, size)
-                wins, ties, losses = (totals[k, a - first, a + 1:] for k in range(3))
-                seen = (wins + ties + losses) > 0
-                yield pd.DataFrame({
-                    "variant_a": [variants[a]] * int(seen.sum()), "variant_b": [variants[b] for b in others[seen]],
-                    "wins": wins[seen], "ties": ties[seen], "losses": losses[seen],
-                })
-
-        return count
-
-    schema = f"variant_a {kind}, variant_b {kind}, wins bigint, ties bigint, losses bigint"
-    block = max(1, MATRIX_CELLS // size)
-    parts = [cases.mapInPandas(compare(i, min(i + block, size - 1)), schema) for i in range(0, size - 1, block)]
-    return reduce(DataFrame.unionByName, parts).groupBy("variant_a", "variant_b").agg(
-        *[F.sum(name).alias(name) for name in ("wins", "ties", "losses")]
+    first = cases.select("_all", F.posexplode("_all").alias("_i", "_a"))
+    pairs = first.select("_a", F.explode(F.slice("_all", F.col("_i") + 2, F.size("_all"))).alias("_b"))
+    a, b = F.col("_a.units"), F.col("_b.units")
+    counted = pairs.groupBy(F.col("_a.variant").alias("variant_a"), F.col("_b.variant").alias("variant_b")).agg(
+        F.count_if(a > b).alias("wins"), F.count_if(a == b).alias("ties"), F.count_if(a < b).alias("losses"),
+        F.count(F.lit(1)).alias("shared"),
     )
+    return counted.withColumn("win_rate", F.col("wins").cast("double") / F.col("shared").cast("double"))

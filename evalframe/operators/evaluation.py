@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import string
+import re
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,6 +23,7 @@ class Variant:
 
     variant_id: str
     template: str
+    params: Mapping[str, str] = field(default_factory=dict)
 
 
 def case_violations(raw_cases: DataFrame, fields: Sequence[str] = CASE_FIELDS) -> DataFrame:
@@ -51,25 +52,39 @@ def case_violations(raw_cases: DataFrame, fields: Sequence[str] = CASE_FIELDS) -
     ).select("dataset_id", "case_id", "v.violation", "v.n")
 
 
-def rendered(template: str) -> Column:
-    """Template as one concat; values are never searched for places again."""
-    parts = []
-    for text, field, _, _ in string.Formatter().parse(template):
-        if text:
-            parts.append(F.lit(text))
-        if field is not None:
-            parts.append(F.coalesce(F.col(field).cast("string"), F.lit("")))
-    return F.concat(*parts) if parts else F.lit("")
+def rendered(template: str, fields: Sequence[str] = CASE_FIELDS, params: Mapping[str, str] | None = None) -> Column:
+    """Template as one concat; values are never searched for places again.
 
-
-def variant_matrix(cases: DataFrame, variants: Sequence[Variant]) -> DataFrame:
-    """Every case under every variant: rows fan out in place, nothing is joined."""
+    Only ``{name}`` of a known field or parameter is a place; all other braces are text.
+    """
+    parts, given = [], params or {}
+    for n, piece in enumerate(re.split(r"\{(\w+)\}", template)):
+        if n % 2 == 0:
+            parts.append(F.lit(piece))
+        elif piece in given:
+            parts.append(F.lit(str(given[piece])))
+        elif piece in fields:
+            parts.append(F.coalesce(F.col(piece).cast("string"), F.lit("")))
+        else:
+            parts.append(F.lit(f"{{{piece}}}"))
+    return F.concat(*parts)
+
+
+def variant_matrix(cases: DataFrame, variants: Sequence[Variant], trials: int | None = None) -> DataFrame:
+    """Every case under every variant: rows fan out in place, nothing is joined.
+
+    With ``trials`` every prompt comes that many times, numbered from 1 in ``trial``.
+    """
     prompts = F.explode(F.array(*[
-        F.struct(F.lit(v.variant_id).alias("variant_id"), rendered(v.template).alias("prompt")) for v in variants
+        F.struct(F.lit(v.variant_id).alias("variant_id"), rendered(v.template, cases.columns, v.params).alias("prompt"))
+        for v in variants
     ]))
-    return cases.select("dataset_id", "case_id", "slice", "expected", prompts.alias("p")).select(
+    matrix = cases.select("dataset_id", "case_id", "slice", "expected", prompts.alias("p")).select(
         "dataset_id", "case_id", "slice", "expected", "p.*"
     )
+    if trials is None:
+        return matrix
+    return matrix.withColumn("trial", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(trials).cast("bigint"))))
 
 
 def run_variants(
@@ -77,12 +92,15 @@ def run_variants(
 ) -> DataFrame:
     """Apply ``answer`` to every prompt once; errors and latency are data.
 
-    The outputs are written before they are returned, so later stages and lost executors
-    read them and do not call ``answer`` again.
+    An answer that is not a text is an error too. Prompts spread over ``tasks`` tasks, or
+    as many as a shuffle has, however few files the cases came from. The outputs are written
+    before they are returned, so later stages and lost executors read them and do not call
+    ``answer`` again.
     """
     spark = matrix.sparkSession
-    given = matrix.select("dataset_id", "case_id", "slice", "variant_id", "expected", "prompt")
-    spread = given.repartition(tasks) if tasks else given
+    trial = [name for name in ("trial",) if name in matrix.columns]
+    given = matrix.select("dataset_id", "case_id", "slice", "variant_id", *trial, "expected", "prompt")
+    spread = given.repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def execute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -90,7 +108,10 @@ def run_variants(
             for prompt in batch["prompt"]:
                 begun = time.perf_counter()
                 try:
-                    outputs.append(answer(prompt))
+                    said = answer(prompt)
+                    if not isinstance(said, str):
+                        raise TypeError(f"answer is {type(said).__name__}, not text")
+                    outputs.append(said)
                     errors.append(None)
                 except Exception as failure:
                     outputs.append(None)
@@ -137,7 +158,8 @@ def composite_gate(
     exact_score = F.col("score").cast("decimal(9,4)")
     weighed = scores.select(
         *ids, "score", exact_score.alias("_s"),
-        F.when(F.col("score").isNotNull(), weight).alias("_w"), limit.alias("_limit"),
+        F.when(F.col("score").isNotNull(), weight).alias("_w"),
+        (limit if thresholds else F.lit(None).cast("double")).alias("_limit"),
     )
     summed = weighed.groupBy(*ids).agg(
         F.sum(F.col("_s") * F.col("_w")).cast("double").alias("_total"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,18 +10,27 @@ from pyspark.sql import functions as F
 
 from evalframe.functions.quantiles import exact_quantiles
 
-# Masks of the private log, as (name, pattern, replacement, text every match contains).
+_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+
+# Masks of the private log, as (name, pattern, replacement). None bounds the length of a match.
 MASKS = (
-    ("email", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,24}", "[email]", "@"),
-    ("phone", r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "[phone]", "+"),
-    ("secret", r'(?i)(token|secret|password|api_key) ?[=:] ?"?[a-z0-9_-]{8,}"?', "[secret]", ""),
+    ("secret",
+     r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+(\.[A-Za-z0-9_-]*)?"
+     r"|\b(AKIA|ASIA)[0-9A-Z]{16}\b|\b(ghp|gho|ghs|sk|pk|xoxa|xoxb|xoxp)[_-][A-Za-z0-9_-]+"
+     r"|(?i:\bbearer +[a-z0-9._~+/=-]+)"
+     r"|(?i:(token|secret|password|passwd|api_?key|access_?key) ?[=:] ?(\"[^\"]*\"|'[^']*'|[^ \t\n\"',;]+))", "[secret]"),
+    ("email", r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}.-]+\.\p{L}\p{L}+", "[email]"),
+    ("address", rf"\b{_OCTET}(\.{_OCTET}){{3}}\b", "[address]"),
+    ("phone",
+     r"\+[0-9]([ ().-]*[0-9])+|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}\b|\b[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}\b", "[phone]"),
 )
+_CARD_LIKE, _CARD = r"\b[0-9]([ -]?[0-9]){12,18}\b", "[card]"
 
 
 def content_hash(fields: Sequence[str]) -> Column:
-    """Hash over fields with a separator and a mark for null, so no two rows run together."""
-    parts = [F.coalesce(F.col(name).cast("string"), F.lit("\u0000")) for name in fields]
-    return F.sha2(F.concat_ws("\u001f", *parts), 256)
+    """Hash over fields, each led by its length, with a mark of its own for null."""
+    text = [F.col(name).cast("string") for name in fields]
+    return F.sha2(F.concat(*[F.coalesce(F.concat(F.length(t), F.lit(":"), t), F.lit("-")) for t in text]), 256)
 
 
 def manifest(artifacts: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
@@ -51,34 +61,47 @@ def audit_diff(recorded: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def pseudonym(actor: Column, salt: str) -> Column:
-    return F.sha2(F.concat(F.lit(salt), actor.cast("string")), 256)
+def pseudonym(actor: Column, key: bytes) -> Column:
+    """Keyed hash (HMAC-SHA256) of an actor; without the key no actor can be tried out."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(x ^ pad for x in block)) for pad in (0x36, 0x5C))
+    first = F.unhex(F.sha2(F.concat(inner, F.encode(actor.cast("string"), "utf-8")), 256))
+    return F.sha2(F.concat(outer, first), 256)
 
 
 def masked(text: Column) -> Column:
-    """Text with every e-mail address, phone number and secret replaced.
+    """Text with every secret, e-mail address, IP address, card and phone number replaced.
 
-    A pattern is only tried on texts that hold the character every match needs.
+    Runs of 13 to 19 digits are card numbers if their check digit is right.
     """
-    for _, pattern, mark, needed in MASKS:
-        cleaned = F.regexp_replace(text, pattern, mark)
-        text = F.when(F.contains(text, F.lit(needed)), cleaned).otherwise(text) if needed else cleaned
+    for name, pattern, mark in MASKS:
+        if name == "phone":
+            text = _without_cards(text)
+        text = F.regexp_replace(text, pattern, mark)
     return text
 
 
+def _without_cards(text: Column) -> Column:
+    runs = F.array_distinct(F.regexp_extract_all(text, F.lit(_CARD_LIKE), F.lit(0)))
+    cards = F.filter(runs, lambda run: F.call_function("luhn_check", F.regexp_replace(run, "[ -]", "")))
+    # Longest first: a shorter number may be part of a longer one.
+    ordered = F.array_sort(F.transform(cards, lambda c: F.struct((-F.length(c)).alias("n"), c.alias("c"))))
+    return F.aggregate(ordered, text, lambda t, c: F.replace(t, c["c"], F.lit(_CARD)))
+
+
 def masked_texts(texts: DataFrame, key: str) -> DataFrame:
     """Masked text per row and the number of marks of each kind put in."""
     covered = texts.select(key, masked(F.col("text")).alias("masked_text"))
     counts = [
-        F.regexp_count("masked_text", F.lit(mark.replace("[", r"\[").replace("]", r"\]"))).cast("bigint").alias(f"{name}s")
-        for name, _, mark, _ in MASKS
+        F.regexp_count("masked_text", F.lit(mark.replace("[", r"\[").replace("]", r"\]"))).cast("bigint").alias(name)
+        for name, mark in (("secrets", "[secret]"), ("emails", "[email]"), ("addresses", "[address]"), ("cards", _CARD), ("phones", "[phone]"))
     ]
     return covered.select(key, "masked_text", *counts)
 
 
-def private_log(log: DataFrame, salt: str) -> DataFrame:
+def private_log(log: DataFrame, key: bytes) -> DataFrame:
     """Request log with actors replaced by keyed hashes."""
-    return log.select("id", "at", "system", "kind", pseudonym(F.col("actor"), salt).alias("actor_hash"))
+    return log.select("id", "at", "system", "kind", pseudonym(F.col("actor"), key).alias("actor_hash"))
 
 
 def private_counts(log: DataFrame, keys: Sequence[str], k: int) -> DataFrame:

@@ -12,8 +12,11 @@ from evalframe.functions.quantiles import exact_quantiles
 
 def utilisation_report(usage: DataFrame, limits: DataFrame) -> DataFrame:
     """Percent of each system's limit in use; ``usage`` has one row per use."""
-    used = usage.groupBy("system").agg(F.sum("amount").alias("used"))
-    joined = limits.join(used, "system", "left")
+    # Both sides go through one grouping, so no system is lost for want of a limit or of use.
+    sides = usage.select("system", "amount", F.lit(None).cast(limits.schema["limit"].dataType).alias("limit")).unionByName(
+        limits.select("system", F.lit(None).cast(usage.schema["amount"].dataType).alias("amount"), "limit")
+    )
+    joined = sides.groupBy("system").agg(F.sum("amount").alias("used"), F.max("limit").alias("limit"))
     spent = F.coalesce(F.col("used").cast("double"), F.lit(0.0))
     return joined.select(
         "system", spent.alias("used"), F.col("limit"),

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalframe.functions import fixed_values as fixed
 from evalframe.functions.times import iso_utc, micros, parse_iso
-from evalframe.operators.ordered import TARGET_ROWS, last_known, next_time
+from evalframe.operators.ordered import TARGET_ROWS, last_known, next_time, with_chunks
 from evalframe.session import shared_path
 
+_NEVER = np.iinfo(np.int64).min
+
 
 def activity_snapshot(commits: DataFrame, asof: Column, days: int = fixed.ACTIVITY_WINDOW_DAYS) -> DataFrame:
     """Commits in all, commits in the trailing window, and the newest commit per system."""
@@ -143,19 +147,85 @@ def resolve_status(observed: DataFrame, fetched_at: str = "at", target_rows: int
     )
 
 
+def _entries(ttl_us: int):
+    """Per chunk of good polls: which poll is its last fetch, for each poll that may be its first."""
+    def summarise(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        at = np.unique(rows["us"].to_numpy())
+        following = np.searchsorted(at, at + ttl_us).tolist()
+        last = list(range(len(at)))
+        for i in range(len(at) - 1, -1, -1):
+            if following[i] < len(at):
+                last[i] = last[following[i]]
+        # A fetch before the chunk is due again less than a lifetime after its first poll.
+        n = int(np.searchsorted(at, at[0] + ttl_us)) + 1
+        return pd.DataFrame({"system": [key[0]], "_chunk": [key[1]], "entries": [at[:n]], "exits": [at[last[:n]]]})
+
+    return summarise
+
+
+def _due(ttl_us: int):
+    """Per system: from when the first good poll of each chunk fetches. One small row per chunk."""
+    def walk(key: tuple, chunks: pd.DataFrame) -> pd.DataFrame:
+        chunks = chunks.sort_values("_chunk")
+        due, told = _NEVER, []
+        for entries, exits in zip(chunks["entries"], chunks["exits"], strict=True):
+            told.append(due)
+            first = int(np.searchsorted(entries, due))
+            if first < len(entries):
+                due = int(exits[first]) + ttl_us
+        return pd.DataFrame({"system": key[0], "_chunk": chunks["_chunk"], "due": told})
+
+    return walk
+
+
+def _classed(ttl_us: int):
+    def judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["us", "id"])
+        due = rows["due"].iloc[0]
+        fetched = None if due == _NEVER else int(due) - ttl_us
+        classes, ages = [], []
+        for us, ok in zip(rows["us"].tolist(), rows["ok"].tolist(), strict=True):
+            age = None if fetched is None else us - fetched
+            if age is not None and age < ttl_us:
+                kind = "hit"
+            elif ok:
+                kind, fetched, age = "refetch", us, 0
+            else:
+                kind = "empty" if age is None else "stale"
+            classes.append(kind)
+            ages.append(age)
+        age_s = pd.Series(ages, index=rows.index, dtype="Int64") // 1_000_000
+        return rows[["system", "at", "id"]].assign(cache_class=classes, data_age_s=age_s)
+
+    return judge
+
+
 def freshness(observed: DataFrame, ttl_seconds: int = fixed.CACHE_TTL_SECONDS, target_rows: int = TARGET_ROWS) -> DataFrame:
-    """Cache class of each observation by the age of the last good one before it."""
-    seen = last_known(
-        observed, "system", "at", "id", F.col("ok"), F.col("at"), "_prior", before=True, target_rows=target_rows
+    """Cache class of each observation.
+
+    A poll within the lifetime of the last fetch is a hit: it fetches nothing, renews
+    nothing, and serves data as old as that fetch. A good poll after it fetches; a failed one
+    serves the stale fetch and leaves its time. Where one fetch falls depends on the one
+    before, so keys are cut into time chunks: each chunk tells its last fetch for every
+    possible first one, these small rows are walked per system, and chunks are then judged
+    apart.
+    """
+    ttl_us = ttl_seconds * 1_000_000
+    ok = F.coalesce(F.col("ok"), F.lit(False)).alias("ok")
+    rows = with_chunks(observed.select("system", "at", "id", ok), "system", "at", target_rows).withColumn("us", micros(F.col("at")))
+    system = rows.schema["system"].dataType.simpleString()
+    entries = rows.where("ok").select("system", "_chunk", "us").groupBy("system", "_chunk").applyInPandas(
+        _entries(ttl_us), f"system {system}, _chunk bigint, entries array<bigint>, exits array<bigint>"
     )
-    age_us = micros(F.col("at")) - micros(F.col("_prior"))
-    # The served data are as old as the last good fetch, whatever time the answer carries.
-    data_age = F.when(F.col("ok"), F.lit(0).cast("bigint")).otherwise(F.floor(age_us / 1_000_000).cast("bigint"))
-    return seen.select(
-        "system", "at", "id",
-        F.when(age_us < ttl_seconds * 1_000_000, "hit").when(F.col("ok"), "refetch")
-        .when(age_us.isNotNull(), "stale").otherwise("empty").alias("cache_class"),
-        data_age.alias("data_age_s"),
+    # Chunks without a good poll take part too, to learn of the fetch before them.
+    every = rows.select("system", "_chunk").distinct().join(entries, ["system", "_chunk"], "left").withColumns({
+        name: F.coalesce(name, F.array().cast("array<bigint>")) for name in ("entries", "exits")
+    })
+    due = every.groupBy("system").applyInPandas(_due(ttl_us), f"system {system}, _chunk bigint, due bigint")
+    at = rows.schema["at"].dataType.simpleString()
+    number = rows.schema["id"].dataType.simpleString()
+    return rows.join(due, ["system", "_chunk"]).groupBy("system", "_chunk").applyInPandas(
+        _classed(ttl_us), f"system {system}, at {at}, id {number}, cache_class string, data_age_s bigint"
     )
 
 
@@ -198,12 +268,16 @@ def suffix_of(path: Column) -> Column:
     return F.regexp_extract(path, r"[^/](\.[^./]+)$", 1)
 
 
+def is_counted(path: Column) -> Column:
+    """Whether a path has a source suffix and lies in no excluded folder."""
+    outside = ~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, fixed.EXCLUDED_FOLDERS)))
+    return F.coalesce(suffix_of(path).isin(*fixed.SOURCE_SUFFIXES) & outside, F.lit(False))
+
+
 def counted_files(files: DataFrame, skip_paths: Iterable[str] = ()) -> DataFrame:
     """Files with a source suffix outside the excluded folders, with their line counts."""
     path = F.col("path")
-    kept = files.where(suffix_of(path).isin(*fixed.SOURCE_SUFFIXES)).where(
-        ~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, fixed.EXCLUDED_FOLDERS)))
-    )
+    kept = files.where(is_counted(path))
     skipped = list(skip_paths)
     if skipped:
         kept = kept.where(~path.isin(*skipped))
@@ -234,10 +308,12 @@ def snapshot_lines(files: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def primary_language(files: DataFrame) -> DataFrame:
-    """The language with most lines per system, ties to the later name."""
-    by_language = files.select("system", "language", line_count(F.col("text")).alias("lines")).groupBy(
-        "system", "language"
-    ).agg(F.sum("lines").alias("lines"))
+    """The language with most counted lines per system, ties to the later name."""
+    counted = is_counted(F.col("path"))
+    by_language = files.select(
+        "system", F.when(counted, F.col("language")).alias("language"),
+        F.when(counted, line_count(F.col("text"))).otherwise(0).alias("lines"),
+    ).groupBy("system", "language").agg(F.sum("lines").alias("lines"))
     known = F.when(F.col("language").isNotNull(), F.struct("lines", "language"))
     return by_language.groupBy("system").agg(F.max(known).alias("_top")).select(
         "system",
@@ -283,11 +359,16 @@ def status_board(reports: DataFrame) -> DataFrame:
     )
 
 
-def offline_gaps(observed: DataFrame, missed_polls: int, poll_seconds: int = fixed.POLL_SECONDS) -> DataFrame:
-    """Stretches without any observation longer than ``missed_polls`` poll intervals."""
+def offline_gaps(
+    observed: DataFrame, missed_polls: int, asof: Column, poll_seconds: int = fixed.POLL_SECONDS
+) -> DataFrame:
+    """Stretches without any observation longer than ``missed_polls`` poll intervals.
+
+    A system still silent at ``asof`` has no ``back_at``; its silence is counted to then.
+    """
     limit_us = missed_polls * poll_seconds * 1_000_000
     seen = next_time(observed.select("system", "at", "id"), "system", "at", "id", "_next")
-    gap_us = micros(F.col("_next")) - micros(F.col("at"))
+    gap_us = micros(F.coalesce(F.col("_next"), asof)) - micros(F.col("at"))
     return seen.where(gap_us > limit_us).select(
         "system", F.col("at").alias("last_seen"), F.col("_next").alias("back_at"),
         F.floor(gap_us / 1_000_000).cast("bigint").alias("silent_s"),

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from evalframe.functions.fixed_values import EXCLUDED_FOLDERS, LAST_PAGE_PATTERN, SAFETY_CAPS, SOURCE_SUFFIXES
-from evalframe.operators.governance import MASKS
-from evalframe.plans.queries import ALERT_POLLS, MISSED_POLLS, SALT, THRESHOLDS, WEIGHTS
 
 _ASOF = "TIMESTAMP '2001-08-01 00:00:00'"
 _ISO = "'%Y-%m-%dT%H:%M:%SZ'"
@@ -92,7 +90,7 @@ harvested AS (
   FROM joined j LEFT JOIN loc ON j.system = loc.system)"""
 
 _CASES = """cases AS (
-  SELECT 'chat' AS dataset_id, a.conv_id * 1000 + a.turn AS case_id,
+  SELECT 'chat' AS dataset_id, a.conv_id * 4294967296 + a.turn AS case_id,
          CASE WHEN a.turn <= 1 THEN 'opening' ELSE 'follow_up' END AS slice, a.text AS input, b.text AS expected
   FROM conversations a
   LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant'
@@ -238,13 +236,31 @@ def _millionths(value: str) -> str:
     return f"CAST(CAST({value} AS DECIMAL(24,6)) * 1000000 AS BIGINT)"
 
 
-def _mask(text: str) -> str:
-    for _, pattern, mark, _ in MASKS:
-        flags = "g"
-        if pattern.startswith("(?i)"):
-            pattern, flags = pattern[4:], "gi"
-        text = f"regexp_replace({text}, '{pattern}', '{mark}', '{flags}')"
-    return text
+_MASKED = r"""regexp_replace(list_reduce(list_sort(list_filter(list_distinct(regexp_extract_all(t, '\b[0-9]([ -]?[0-9]){12,18}\b')),
+    lambda m: list_sum(list_transform(range(1, length(regexp_replace(m, '[ -]', '', 'g')) + 1),
+      lambda i: CAST(substr(reverse(regexp_replace(m, '[ -]', '', 'g')), i, 1) AS INTEGER) * (CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END)
+                - CASE WHEN i % 2 = 0 AND CAST(substr(reverse(regexp_replace(m, '[ -]', '', 'g')), i, 1) AS INTEGER) > 4 THEN 9 ELSE 0 END)) % 10 = 0)),
+    lambda a, m: replace(a, m, '[card]'), t),
+  '\+[0-9]([ ().-]*[0-9])+|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}\b|\b[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}\b', '[phone]', 'g')"""
+_SECRETS = (
+    r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+(\.[A-Za-z0-9_-]*)?|\b(AKIA|ASIA)[0-9A-Z]{16}\b"
+    r"|\b(ghp|gho|ghs|sk|pk|xoxa|xoxb|xoxp)[_-][A-Za-z0-9_-]+|(?i:\bbearer +[a-z0-9._~+/=-]+)"
+    r"""|(?i:(token|secret|password|passwd|api_?key|access_?key) ?[=:] ?("[^"]*"|''[^'']*''|[^ \t\n"'',;]+))"""
+)
+_PRIVATE = rf"""regexp_replace(regexp_replace(regexp_replace(text, '{_SECRETS}', '[secret]', 'g'),
+    '[\p{{L}}\p{{N}}._%+-]+@[\p{{L}}\p{{N}}.-]+\.\p{{L}}\p{{L}}+', '[email]', 'g'),
+    '\b(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){{3}}\b', '[address]', 'g')"""
+
+
+def _silent(seconds: int) -> str:
+    return f"""WITH {_OBSERVED},
+ahead AS (SELECT system, "at", lead("at") OVER (PARTITION BY system ORDER BY "at", id) AS next_at FROM observed),
+gaps AS (SELECT *, epoch_us(coalesce(next_at, TIMESTAMP '2024-02-01 00:00:00')) - epoch_us("at") AS us FROM ahead)
+SELECT system, "at" AS last_seen, next_at AS back_at, us // 1000000 AS silent_s FROM gaps WHERE us > {seconds} * 1000000::BIGINT"""
+
+
+_INNER = (b"evalframe-demonstration-key".ljust(64, b"\0")).translate(bytes(x ^ 0x36 for x in range(256))).hex()
+_OUTER = (b"evalframe-demonstration-key".ljust(64, b"\0")).translate(bytes(x ^ 0x5C for x in range(256))).hex()
 
 
 def _marks(mark: str) -> str:
@@ -294,13 +310,23 @@ FROM harvested""",
 loc AS (SELECT system, CAST(sum(lines) AS BIGINT) AS lines_of_code FROM counted GROUP BY system HAVING sum(lines) > 0)
 SELECT served.*, {_capped("'lines_of_code'", "lines_of_code")} AS lines_of_code
 FROM served LEFT JOIN loc ON served.system = loc.system""",
-    "t6_cache_freshness": f"""WITH {_OBSERVED},
+    "t6_cache_freshness": f"""WITH RECURSIVE {_OBSERVED},
+good AS (SELECT system, "at", min(id) AS id FROM observed WHERE ok GROUP BY system, "at"),
+fetched AS (
+  SELECT system, min("at") AS "at" FROM good GROUP BY system
+  UNION ALL
+  SELECT f.system, min(g."at") FROM fetched f JOIN good g ON g.system = f.system AND g."at" >= f."at" + INTERVAL 300 SECOND GROUP BY f.system),
+marked AS (
+  SELECT o.system, o."at", o.id, f."at" AS fetch_at
+  FROM observed o LEFT JOIN good g ON g.system = o.system AND g."at" = o."at" AND g.id = o.id
+       LEFT JOIN fetched f ON f.system = g.system AND f."at" = g."at"),
 aged AS (
-  SELECT system, ok, epoch_us("at") - epoch_us(last_value(CASE WHEN ok THEN "at" END IGNORE NULLS) OVER (
-           PARTITION BY system ORDER BY "at", id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS age_us
-  FROM observed)
-SELECT system, CASE WHEN age_us < 300000000 THEN 'hit' WHEN ok THEN 'refetch' WHEN age_us IS NOT NULL THEN 'stale' ELSE 'empty' END AS cache_class,
-       count(*) AS n, max(CASE WHEN ok THEN 0 ELSE age_us // 1000000 END) AS max_data_age_s
+  SELECT system, fetch_at, epoch_us("at") - epoch_us(last_value(fetch_at IGNORE NULLS) OVER (
+           PARTITION BY system ORDER BY "at", id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS age_us
+  FROM marked)
+SELECT system, CASE WHEN fetch_at IS NOT NULL THEN 'refetch' WHEN age_us IS NULL THEN 'empty'
+                    WHEN age_us < 300000000 THEN 'hit' ELSE 'stale' END AS cache_class,
+       count(*) AS n, max(age_us // 1000000) AS max_data_age_s
 FROM aged GROUP BY 1, 2""",
     "t7_contract_violations": f"""WITH base AS (
   SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, strftime(ts, {_ISO}) AS stamp FROM events),
@@ -333,7 +359,9 @@ UNION ALL SELECT id, system, 'generated_at_zone' FROM env WHERE NOT ends_with(ge
 SELECT coalesce(suffix, '(all)') AS suffix, count(*) AS files, CAST(sum(lines) AS BIGINT) AS lines
 FROM counted GROUP BY ROLLUP (suffix)""",
     "t9_primary_language": f"""WITH {_SOURCE_FILES},
-by_language AS (SELECT system, language, CAST(sum(lines) AS BIGINT) AS lines FROM files GROUP BY system, language),
+kept AS (SELECT system, path, language, lines FROM counted UNION ALL
+         SELECT system, path, NULL, 0 FROM files WHERE path NOT IN (SELECT path FROM counted)),
+by_language AS (SELECT system, language, CAST(sum(lines) AS BIGINT) AS lines FROM kept GROUP BY system, language),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY system ORDER BY language IS NULL, lines DESC, language DESC) AS r FROM by_language)
 SELECT system, coalesce(language, 'Unknown') AS primary_language,
@@ -433,15 +461,8 @@ SELECT system, current, previous, current - previous AS change,
 FROM counted""",
     "s1_stream_ingest": f"WITH {_OBSERVED} SELECT * FROM observed",
     "s2_last_known_good": f"WITH {_RESOLVED} SELECT * FROM served",
-    "s3_offline_gaps": f"""WITH {_OBSERVED},
-ahead AS (SELECT system, "at", lead("at") OVER (PARTITION BY system ORDER BY "at", id) AS next_at FROM observed)
-SELECT system, "at" AS last_seen, next_at AS back_at, (epoch_us(next_at) - epoch_us("at")) // 1000000 AS silent_s
-FROM ahead WHERE epoch_us(next_at) - epoch_us("at") > {MISSED_POLLS} * 30000000::BIGINT""",
-    "s3_offline_alerts": f"""WITH {_OBSERVED},
-seen AS (SELECT system, epoch_us(max("at")) // 1000 AS ms FROM observed GROUP BY system),
-mark AS (SELECT max(ms) - 60000 AS watermark FROM seen)
-SELECT system, make_timestamp(ms * 1000) AS last_seen, make_timestamp((ms + {ALERT_POLLS} * 30000) * 1000) AS offline_at
-FROM seen, mark WHERE ms + {ALERT_POLLS} * 30000 < watermark""",
+    "s3_offline_gaps": _silent(7_200),
+    "s3_offline_alerts": _silent(600),
     "s4_latest_per_system": f"""WITH {_OBSERVED},
 polls AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY "at" DESC, id DESC) AS r FROM observed),
 goods AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY "at" DESC, id DESC) AS r FROM observed WHERE ok)
@@ -458,13 +479,13 @@ formats AS (SELECT 'json' AS format UNION ALL SELECT 'csv')
 SELECT format, FALSE AS quarantined, dataset_id, case_id, slice, input, expected, NULL AS raw FROM cases CROSS JOIN formats
 UNION ALL
 SELECT format, TRUE, NULL, NULL, NULL, NULL, NULL,
-       CASE format WHEN 'json' THEN '{{"case_id": ' || (conv_id * 1000 + turn) || ', "input"' ELSE 'chat,' || (conv_id * 1000 + turn) END
+       CASE format WHEN 'json' THEN '{{"case_id": ' || (conv_id * 4294967296 + turn) || ', "input"' ELSE 'chat,' || (conv_id * 4294967296 + turn) END
 FROM conversations CROSS JOIN formats WHERE role = 'system'""",
     "e2_case_violations": f"""WITH {_CASES},
 both_sets AS (
   SELECT dataset_id, case_id, input, expected, slice = 'opening' AS noted FROM cases
   UNION ALL
-  SELECT 'conversation', case_id // 1000, CASE WHEN slice = 'opening' THEN input ELSE '  ' END, expected, FALSE FROM cases),
+  SELECT 'conversation', case_id // 4294967296, CASE WHEN slice = 'opening' THEN input ELSE '  ' END, expected, FALSE FROM cases),
 counted AS (
   SELECT dataset_id, case_id, count(*) AS n, count(*) FILTER (WHERE trim(input) = '') AS empty,
          count(*) FILTER (WHERE expected IS NULL) AS unanswered, count(*) FILTER (WHERE noted) AS strange
@@ -476,8 +497,8 @@ UNION ALL SELECT dataset_id, case_id, 'unknown_field', strange FROM counted WHER
     "e3_variant_matrix": f"WITH {_MATRIX} SELECT * FROM matrix",
     "e4_run_outputs": f"""WITH {_MATRIX}
 SELECT 'run-1' AS run_id, dataset_id, case_id, variant_id,
-       CASE WHEN length(prompt) <= 700 THEN 'answer: ' || replace(trim(prompt), chr(10), ' / ') END AS output,
-       CASE WHEN length(prompt) > 700 THEN 'ValueError: prompt too long' END AS error
+       CASE WHEN NOT contains(prompt, 'ing') THEN 'answer: ' || replace(trim(prompt), chr(10), ' / ') END AS output,
+       CASE WHEN contains(prompt, 'ing') THEN 'ValueError: prompt not allowed' END AS error
 FROM matrix""",
     "e5_rubric_scores": f"WITH {_TEXT_SCORES} SELECT * FROM scores",
     "e5_value_rubrics": f"""WITH base AS (
@@ -505,8 +526,8 @@ SELECT case_id, variant, 'length_ratio' AS rubric, score, score >= 0.5::DOUBLE A
     "e6_composite_gate": f"""WITH {_TEXT_SCORES},
 weighed AS (
   SELECT *, CAST(score AS DECIMAL(9,4)) AS s,
-         CASE WHEN score IS NOT NULL THEN CASE rubric {" ".join(f"WHEN '{n}' THEN {w}" for n, w in WEIGHTS.items())} END END AS w,
-         CASE rubric {" ".join(f"WHEN '{n}' THEN {t}::DOUBLE" for n, t in THRESHOLDS.items())} END AS bar
+         CASE WHEN score IS NOT NULL THEN CASE rubric WHEN 'exact' THEN 3 WHEN 'normalised' THEN 2 WHEN 'contains' THEN 1 WHEN 'pattern' THEN 1 WHEN 'length' THEN 1 WHEN 'token_f1' THEN 2 END END AS w,
+         CASE rubric WHEN 'contains' THEN 1.0::DOUBLE WHEN 'token_f1' THEN 0.2::DOUBLE END AS bar
   FROM scores),
 summed AS (
   SELECT case_id, variant, CAST(sum(s * w) AS DOUBLE) / nullif(CAST(sum(w) AS DOUBLE), 0) AS composite,
@@ -565,21 +586,38 @@ SELECT *, CAST(tp AS DOUBLE) / nullif(CAST(tp + fp AS DOUBLE), 0) AS precision,
        CAST(2 * tp AS DOUBLE) / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0) AS f1
 FROM counted""",
     "e13_audit_diff": """WITH turns AS (
-  SELECT conv_id * 1000 + turn AS id, role, text, replace(text, chr(10), ' ') AS flat FROM conversations)
+  SELECT conv_id * 4294967296 + turn AS id, role, text, replace(text, chr(10), ' ') AS flat FROM conversations)
 SELECT id AS artifact_id, CAST(role IN ('system', 'user') AS BIGINT) AS recorded_copies,
        CAST(role IN ('user', 'assistant') AS BIGINT) AS found_copies,
        CASE WHEN role = 'system' THEN 'missing' WHEN role = 'assistant' THEN 'extra'
             WHEN text <> flat THEN 'changed' ELSE 'intact' END AS audit
 FROM turns""",
-    "e13_manifest": """SELECT conv_id AS artifact_id, sha256(role || chr(31) || text) AS sha256, count(*) AS copies
+    "e13_manifest": """SELECT conv_id AS artifact_id,
+       sha256(length(role) || ':' || role || length(text) || ':' || text) AS sha256, count(*) AS copies
 FROM conversations GROUP BY 1, 2""",
     "e14_private_log": f"""WITH {_LOG}
-SELECT id, "at", system, kind, sha256('{SALT}' || CAST(actor AS VARCHAR)) AS actor_hash FROM log""",
+SELECT id, "at", system, kind, sha256(from_hex('{_OUTER}') || from_hex(sha256(from_hex('{_INNER}') || encode(CAST(actor AS VARCHAR))))) AS actor_hash FROM log""",
     "e14_private_counts": f"""WITH {_LOG}
 SELECT system, kind, strftime("at", '%Y-%m-%d') AS day, count(*) AS requests, count(DISTINCT actor) AS actors
 FROM log GROUP BY 1, 2, 3 HAVING count(DISTINCT actor) >= 3""",
-    "e14_masked_text": f"""WITH covered AS (SELECT doc_id, {_mask("text")} AS masked_text FROM documents)
-SELECT doc_id, masked_text, {", ".join(f"{_marks(mark)} AS {name}s" for name, _, mark, _ in MASKS)} FROM covered""",
+    "e14_masked_text": f"""WITH first AS (SELECT doc_id, {_PRIVATE} AS t FROM documents),
+covered AS (SELECT doc_id, {_MASKED} AS masked_text FROM first)
+SELECT doc_id, masked_text, {_marks("[secret]")} AS secrets, {_marks("[email]")} AS emails, {_marks("[address]")} AS addresses,
+       {_marks("[card]")} AS cards, {_marks("[phone]")} AS phones FROM covered""",
+    "e_chain": f"""WITH {_MATRIX},
+said AS (SELECT case_id, slice, variant_id, replace(trim(prompt, ' '), chr(10), ' / ') AS o FROM matrix WHERE variant_id <> 'tagged'),
+scored AS (
+  SELECT case_id, slice, variant_id,
+         (20000 * (3 * (length(o) BETWEEN 40 AND 300)::INT + 2 * regexp_matches(o, '(tion|ment)[ .]')::INT + contains(o, 'ing')::INT) + 6) // 12 AS u
+  FROM said),
+compared AS (
+  SELECT a.case_id, a.slice, a.u AS base, b.u AS cand FROM scored a JOIN scored b ON a.case_id = b.case_id
+  WHERE a.variant_id = 'plain' AND b.variant_id = 'polite'),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY slice ORDER BY cand - base, case_id) AS r FROM compared WHERE cand < base)
+SELECT 'polite' AS candidate_run, slice, CAST(r AS INTEGER) AS rank, case_id, base / 10000.0::DOUBLE AS base_score,
+       cand / 10000.0::DOUBLE AS cand_score, (cand - base) / 10000.0::DOUBLE AS delta
+FROM ranked WHERE r <= 25""",
     "e15_workload_counters": _WORKLOAD,
     "e15_persisted_counters": _WORKLOAD,
 }

@@ -21,9 +21,10 @@ VARIANTS = (
 )
 WEIGHTS = {"exact": 3, "normalised": 2, "contains": 1, "pattern": 1, "length": 1, "token_f1": 2}
 THRESHOLDS = {"contains": 1.0, "token_f1": 0.2}
-SALT = "evalframe-salt"
+KEY = b"evalframe-demonstration-key"
 MISSED_POLLS = 240
 ALERT_POLLS = 20
+OBSERVED_UNTIL = "2024-02-01T00:00:00"
 
 
 # Telemetry
@@ -171,17 +172,15 @@ def s2_last_known_good(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s3_offline_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telemetry.offline_gaps(bindings.observations(spark, sf_dir), MISSED_POLLS)
+    return telemetry.offline_gaps(bindings.observations(spark, sf_dir), MISSED_POLLS, instant(OBSERVED_UNTIL))
 
 
 def s3_offline_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_path(spark, "alerts")
     stream = source.observation_stream(_events(spark, sf_dir))
-    alerts = observations.offline_alerts(stream, ALERT_POLLS)
-    writer = alerts.writeStream.format("parquet").option("path", f"{out}/rows").outputMode("append")
-    source.run_to_end(writer, f"{out}/checkpoint")
-    found = spark.read.schema("system bigint, last_seen timestamp, offline_at timestamp").parquet(f"{out}/rows")
-    return found.withColumns({name: F.col(name).cast("timestamp_ntz") for name in ("last_seen", "offline_at")})
+    source.run_to_end(observations.offline_alerts(stream, f"{out}/rows", f"{out}/state", ALERT_POLLS), f"{out}/checkpoint")
+    found = observations.silences(spark, f"{out}/rows", f"{out}/state", ALERT_POLLS, instant(OBSERVED_UNTIL))
+    return found.withColumns({name: F.col(name).cast("timestamp_ntz") for name in ("last_seen", "back_at")})
 
 
 def s4_latest_per_system(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +235,7 @@ def _case_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_json(F.struct(*fields)).alias("json"),
         F.concat_ws(",", *[F.coalesce(quoted(name), F.lit("")) for name in fields]).alias("csv"),
     )
-    ids = (F.col("conv_id") * 1_000 + F.col("turn")).cast("string")
+    ids = bindings.turn_id().cast("string")
     broken = bindings.table(spark, sf_dir, "conversations").where(F.col("role") == "system").select(
         F.concat(F.lit('{"case_id": '), ids, F.lit(', "input"')).alias("json"),
         F.concat(F.lit("chat,"), ids).alias("csv"),
@@ -250,7 +249,7 @@ def e1_load_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines.select("json").write.text(f"{out}/json")
     lines.select("csv").write.text(f"{out}/csv")
     from_json = cases.load_report(cases.load_json(spark, f"{out}/json"), "json")
-    from_csv = cases.load_report(cases.load_csv(spark, f"{out}/csv", header=False), "csv")
+    from_csv = cases.load_report(cases.load_csv(spark, f"{out}/csv", header=False, multi_line=True), "csv")
     return from_json.unionByName(from_csv)
 
 
@@ -264,7 +263,7 @@ def e2_case_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.to_json(F.struct(*fields))).alias("raw"),
     )
     by_conversation = F.struct(
-        F.lit("conversation").alias("dataset_id"), F.floor(F.col("case_id") / 1_000).cast("bigint").alias("case_id"),
+        F.lit("conversation").alias("dataset_id"), F.shiftright("case_id", 32).alias("case_id"),
         F.when(opening, F.col("input")).otherwise(F.lit("  ")).alias("input"),
         F.to_json(F.struct(*fields)).alias("raw"),
     )
@@ -278,8 +277,8 @@ def e3_variant_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def e4_run_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     def answer(prompt: str) -> str:
-        if len(prompt) > 700:
-            raise ValueError("prompt too long")
+        if "ing" in prompt:
+            raise ValueError("prompt not allowed")
         return "answer: " + prompt.strip(" ").replace("\n", " / ")
 
     matrix = evaluation.variant_matrix(bindings.eval_cases(spark, sf_dir), VARIANTS)
@@ -346,6 +345,27 @@ def e6_composite_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.composite_gate(scores, ["case_id", "variant"], WEIGHTS, THRESHOLDS, 0.6)
 
 
+def e_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases, matrix, answers, scores, gate, comparison of two variants, exported regressions."""
+    def answer(prompt: str) -> str:
+        return prompt.strip(" ").replace("\n", " / ")
+
+    asked = bindings.eval_cases(spark, sf_dir)
+    outputs = evaluation.run_variants(evaluation.variant_matrix(asked, VARIANTS[:2], trials=2), answer, "chain")
+    ids = ["case_id", "variant_id", "trial"]
+    scores = evaluation.rubric_scores(outputs, ids, {
+        "length": rubrics.length_within(F.col("output"), 40, 300),
+        "pattern": rubrics.matches(F.col("output"), r"(tion|ment)[ .]"),
+        "contains": rubrics.contains(F.col("output"), F.lit("ing")),
+    })
+    gated = evaluation.composite_gate(scores, ids, {"length": 3, "pattern": 2, "contains": 1}, {}, 0.5)
+    runs = gated.select("case_id", "trial", F.col("variant_id").alias("run"), F.col("composite").alias("score"))
+    worst = compare.worst_regressions(
+        compare.compare_runs(runs, "plain", "polite"), asked.select("case_id", "slice"), "polite", 25
+    )
+    return compare.read_regressions(spark, compare.export_regressions(worst), worst.schema)
+
+
 def e7_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.run_summary(bindings.run_scores(spark, sf_dir), 0.95)
 
@@ -398,7 +418,7 @@ def e12_label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def e13_audit_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = bindings.table(spark, sf_dir, "conversations").withColumn("artifact", F.col("conv_id") * 1_000 + F.col("turn"))
+    turns = bindings.table(spark, sf_dir, "conversations").withColumn("artifact", bindings.turn_id())
     recorded = turns.where(F.col("role").isin("system", "user"))
     found = turns.where(F.col("role").isin("user", "assistant")).withColumn(
         "text", F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
@@ -415,7 +435,7 @@ def e13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def e14_private_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return governance.private_log(bindings.workload(spark, sf_dir), SALT)
+    return governance.private_log(bindings.workload(spark, sf_dir), KEY)
 
 
 def e14_private_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -449,7 +469,7 @@ REGISTERED = (
     s1_stream_ingest, s2_last_known_good, s3_offline_gaps, s3_offline_alerts, s4_latest_per_system,
     s5_tumbling_counters, s5_sliding_counters, s5_session_counters, s5_session_stream,
     e1_load_cases, e2_case_violations, e3_variant_matrix, e4_run_outputs, e5_rubric_scores,
-    e5_value_rubrics, e5_custom_rubric, e6_composite_gate, e7_run_summary, e8_compare_runs, e8_class_counts,
+    e5_value_rubrics, e5_custom_rubric, e6_composite_gate, e_chain, e7_run_summary, e8_compare_runs, e8_class_counts,
     e9_export_regressions, e10_run_history, e11_leaderboard, e11_pairwise_win_rate,
     e12_label_agreement, e13_audit_diff, e13_manifest, e14_private_log, e14_private_counts,
     e14_masked_text, e15_workload_counters, e15_persisted_counters,

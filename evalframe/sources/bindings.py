@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalframe.functions.times import iso_utc
@@ -174,6 +174,11 @@ def response_pages(spark: SparkSession, sf_dir: str, asof, window_days: int) ->
     return totals.select("system", page.alias("page")).select("system", "page.*")
 
 
+def turn_id() -> Column:
+    """One number for a conversation and a turn; turns stay below 2**32."""
+    return F.shiftleft(F.col("conv_id").cast("bigint"), 32) + F.col("turn")
+
+
 def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user turn with the assistant turn that follows it, if any."""
     turns = table(spark, sf_dir, "conversations")
@@ -184,7 +189,7 @@ def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Joined on (conversation, turn), so one long conversation spreads over all tasks.
     return asked.join(replies, ["conv_id", "turn"], "left").select(
         F.lit("chat").alias("dataset_id"),
-        (F.col("conv_id") * 1_000 + F.col("turn")).alias("case_id"),
+        turn_id().alias("case_id"),
         F.when(F.col("turn") <= 1, "opening").otherwise("follow_up").alias("slice"),
         "input",
         "expected",

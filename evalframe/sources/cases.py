@@ -25,10 +25,10 @@ def load_json(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
     return _reader(spark).option("multiLine", array).json(path)
 
 
-def load_csv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """Cases from CSV whose quoted fields may hold newlines."""
+def load_csv(spark: SparkSession, path: str, header: bool = True, multi_line: bool = False) -> DataFrame:
+    """Cases from CSV. With ``multi_line`` quoted fields may hold newlines, and a file is one task."""
     return (
-        _reader(spark).option("header", header).option("multiLine", True)
+        _reader(spark).option("header", header).option("multiLine", multi_line)
         .option("quote", '"').option("escape", '"').csv(path)
     )
 
@@ -52,10 +52,11 @@ def quarantine(loaded: DataFrame) -> DataFrame:
 
 
 def load_report(loaded: DataFrame, fmt: str) -> DataFrame:
-    """Accepted and set-aside rows together; a set-aside row keeps only its raw text."""
+    """Accepted and set-aside rows together; a set-aside row keeps only its raw text,
+    without the line break that ends the record."""
     judged = loaded.withColumn("quarantined", _is_broken(loaded))
     kept = [F.when(~F.col("quarantined"), F.col(name)).alias(name) for name in loaded.columns if name != _BROKEN]
-    return judged.select(F.lit(fmt).alias("format"), "quarantined", *kept, F.rtrim(F.col(_BROKEN)).alias("raw"))
+    return judged.select(F.lit(fmt).alias("format"), "quarantined", *kept, F.regexp_replace(F.col(_BROKEN), "\\r?\\n$", "").alias("raw"))
 
 
 def raw_json_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from evalframe.functions.fixed_values import POLL_SECONDS
-from evalframe.operators.telemetry import resolve_status
+from evalframe.operators.telemetry import offline_gaps, resolve_status
 
 _EPOCH = "1970-01-01 00:00:00"
 _SEED = -(2**63)
@@ -107,38 +102,40 @@ def latest_version(spark, state: str) -> DataFrame:
     return spark.read.parquet(_version(state, newest))
 
 
-def offline_alerts(stream: DataFrame, missed_polls: int, delay: str = "1 minute") -> DataFrame:
-    """A row when a system has been silent for ``missed_polls`` poll intervals of event time.
+def offline_alerts(stream: DataFrame, out: str, state: str, missed_polls: int) -> DataStreamWriter:
+    """Write silences longer than ``missed_polls`` poll intervals as they end.
 
-    Only each system's newest time matters, so every Arrow batch is cut to one row per
-    system before the shuffle: a hot system sends one row per ten thousand to its state.
+    The state has each system's newest time. It stands before the batch's rows, so a silence
+    is found whether it lies within a batch or between two, and the same rows give the same
+    silences in any number of batches. A row older than the newest time known before its
+    batch is late; it takes back no silence already told.
     """
-    silence_ms = missed_polls * POLL_SECONDS * 1_000
-
-    def newest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.groupby("system", as_index=False)["at"].max()
-
-    def watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (seen,) = state.get
-            state.remove()
-            yield pd.DataFrame({
-                "system": [key[0]],
-                "last_seen": pd.to_datetime([seen], unit="ms", utc=True),
-                "offline_at": pd.to_datetime([seen + silence_ms], unit="ms", utc=True),
-            })
-            return
-        seen = state.get[0] if state.exists else 0
-        for frame in frames:
-            seen = max(seen, int(frame["at"].max().timestamp() * 1_000))
-        state.update((seen,))
-        state.setTimeoutTimestamp(max(seen + silence_ms, state.getCurrentWatermarkMs() + 1))
-
-    return (
-        stream.select("system", "at").mapInPandas(newest, "system bigint, at timestamp")
-        .withWatermark("at", delay).groupBy("system").applyInPandasWithState(
-            watch, "system bigint, last_seen timestamp, offline_at timestamp", "seen bigint",
-            "append", GroupStateTimeout.EventTimeTimeout,
-        )
+    def watch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select("system", "at", "id")
+        known = spark.read.parquet(_version(state, batch_id - 1)) if batch_id > 0 else None
+        if known is not None:
+            seeds = known.join(rows.select("system").distinct(), "system", "left_semi")
+            late = F.coalesce(F.col("at") < F.col("last_seen"), F.lit(False))
+            rows = rows.join(known, "system", "left").where(~late).select("system", "at", "id").unionByName(
+                seeds.select("system", F.col("last_seen").alias("at"), F.lit(_SEED).alias("id"))
+            )
+        # Only silences with an end are written; open ones follow from the state.
+        ended = offline_gaps(rows, missed_polls, F.lit(None).cast("timestamp"))
+        ended.write.mode("overwrite").parquet(_version(out, batch_id))
+        newest = batch.groupBy("system").agg(F.max("at").alias("last_seen"))
+        if known is not None:
+            newest = newest.unionByName(known).groupBy("system").agg(F.max("last_seen").alias("last_seen"))
+        newest.write.mode("overwrite").parquet(_version(state, batch_id))
+
+    return stream.writeStream.foreachBatch(watch)
+
+
+def silences(spark, out: str, state: str, missed_polls: int, asof: Column) -> DataFrame:
+    """All silences told by ``offline_alerts`` and those still open at ``asof``."""
+    ended = spark.read.parquet(out).drop("version")
+    still = offline_gaps(
+        latest_version(spark, state).select("system", F.col("last_seen").alias("at"), F.lit(_SEED).alias("id")),
+        missed_polls, asof,
     )
+    return ended.unionByName(still)

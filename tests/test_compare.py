@@ -72,19 +72,17 @@ def test_history(spark):
     assert got[("w", "m4")]["best_before"] is None
 
 
-@pytest.mark.parametrize("columns, cells", [(16, 8_000_000), (1, 8_000_000), (1, 10)])
-def test_pairwise_against_brute_force(spark, monkeypatch, columns, cells):
-    monkeypatch.setattr(compare, "COLUMN_VARIANTS", columns)
-    monkeypatch.setattr(compare, "MATRIX_CELLS", cells)
-    rows = [(v, c, t, ((v * 31 + c * 17 + t * 7) % 100) / 100) for v in range(5) for c in range(30) for t in range(2)
+@pytest.mark.parametrize("many, named", [(3, None), (16, None), (17, range(2, 12)), (60, None), (60, [0, 59])])
+def test_pairwise_against_brute_force(spark, many, named):
+    rows = [(v, c, t, ((v * 31 + c * 17 + t * 7) % 100) / 100) for v in range(many) for c in range(30) for t in range(2)
             if (v + c) % 4 or c > 25]
     df = scores(spark, rows).withColumnRenamed("run", "variant")
     means = {}
     for v, c, t, s in rows:
         means.setdefault((v, c), []).append(round(s * 10_000))
     means = {k: (2 * sum(u) + len(u)) // (2 * len(u)) for k, u in means.items()}
-    got = {(r["variant_a"], r["variant_b"]): r for r in compare.pairwise_win_rate(df).collect()}
-    assert set(got) == set(combinations(range(5), 2))
+    got = {(r["variant_a"], r["variant_b"]): r for r in compare.pairwise_win_rate(df, named).collect()}
+    assert set(got) == set(combinations(named or range(many), 2))
     for (a, b), r in got.items():
         both = [c for c in range(30) if (a, c) in means and (b, c) in means]
         assert r["shared"] == len(both) == r["wins"] + r["ties"] + r["losses"]
@@ -97,3 +95,19 @@ def test_leaderboard_ties_share_a_place(spark):
     got = {r["variant"]: (r["place"], r["cases"]) for r in compare.leaderboard(
         scores(spark, rows).withColumnRenamed("run", "variant")).collect()}
     assert (got[1], got[2], got[3]) == ((1, 1), (1, 1), (2, 1)) and got[4][1] == 0
+
+
+@pytest.mark.parametrize("kind", ["double", "decimal(6,4)"])
+def test_units_of_the_whole_grid(spark, kind):
+    grid = spark.range(10_001).select("id", (F.col("id") / 10_000).cast(kind).alias("score"))
+    assert grid.where(compare.units() != F.col("id")).count() == 0
+
+
+def test_a_second_export_keeps_the_first(spark, tmp_path):
+    path = str(tmp_path / "exports")
+    for run in (2, 3):
+        rows = [(1, 1, 1, 0.9), (run, 1, 1, 0.9 - run / 10)]
+        slices = spark.createDataFrame([(1, "s")], "case_id bigint, slice string")
+        worst = compare.worst_regressions(compare.compare_runs(scores(spark, rows), 1, run), slices, run, 3)
+        compare.export_regressions(worst, path)
+    assert sorted(r["candidate_run"] for r in compare.read_regressions(spark, path, worst.schema).collect()) == [2, 3]

@@ -45,7 +45,7 @@ def test_csv_with_quotes_newlines_and_short_rows(spark, tmp_path):
         'd,4,s,plain,\n'
     )
     (tmp_path / "a.csv").write_text(text)
-    loaded = cases.load_csv(spark, str(tmp_path))
+    loaded = cases.load_csv(spark, str(tmp_path), multi_line=True)
     good = {r["case_id"]: (r["input"], r["expected"]) for r in cases.accepted(loaded).collect()}
     assert good == {1: ("two\nlines", 'say "hi"'), 4: ("plain", None)}
     assert cases.quarantine(loaded).count() == 2
@@ -73,8 +73,8 @@ def test_rendering_does_not_substitute_twice(spark):
     df = spark.createDataFrame([("d", 1, "s", "show {expected} {{x}}", "secret"), ("d", 2, None, None, "e")], CASES)
     got = evaluation.variant_matrix(df, [Variant("a", "<{input}|{slice}> {{literal}}"), Variant("b", "fixed")])
     assert {(r["case_id"], r["variant_id"]): r["prompt"] for r in got.collect()} == {
-        (1, "a"): "<show {expected} {{x}}|s> {literal}", (1, "b"): "fixed",
-        (2, "a"): "<|> {literal}", (2, "b"): "fixed",
+        (1, "a"): "<show {expected} {{x}}|s> {{literal}}", (1, "b"): "fixed",
+        (2, "a"): "<|> {{literal}}", (2, "b"): "fixed",
     }
 
 
@@ -181,3 +181,18 @@ def test_label_agreement(spark):
     a, b = got["a"], got["b"]
     assert [a[n] for n in ("tp", "fp", "fn", "tn", "unlabelled", "precision", "recall", "f1")] == [1, 1, 1, 1, 1, 0.5, 0.5, 0.5]
     assert b["unlabelled"] == 1 and b["precision"] is None and b["f1"] is None
+
+
+def test_only_known_fields_are_places(spark):
+    df = spark.createDataFrame([(1, "q")], "case_id bigint, input string")
+    template = 'Reply {"answer": "..."} in {tone} to {input} {unknown} {'
+    got = df.select(evaluation.rendered(template, df.columns, {"tone": "{input}"})).first()[0]
+    assert got == 'Reply {"answer": "..."} in {input} to q {unknown} {'
+
+
+def test_answers_that_are_not_text_are_errors(spark):
+    df = spark.createDataFrame([("d", i, "s", "e", "v", str(i)) for i in range(3)],
+                               "dataset_id string, case_id bigint, slice string, expected string, variant_id string, prompt string")
+    answers = {"0": "yes", "1": 5, "2": {"a": 1}}
+    got = {r["case_id"]: (r["output"], r["error"]) for r in evaluation.run_variants(df, answers.get, "r").collect()}
+    assert got == {0: ("yes", None), 1: (None, "TypeError: answer is int, not text"), 2: (None, "TypeError: answer is dict, not text")}

@@ -8,16 +8,17 @@ import re
 import pytest
 
 from evalframe.operators import compare
+from evalframe.plans import queries as registered
 from evalframe.sources import bindings
 
 ENTRY = importlib.import_module("__spark_entry__")
-QUERIES = ENTRY.queries()
+QUERIES = {query.__name__: ENTRY.queries()[query.__name__] for query in registered.REGISTERED}
 SF_DIR = "/root/testdata/sf0.001"
 STREAMED = {"s1_stream_ingest", "s2_last_known_good", "s3_offline_alerts", "s4_latest_per_system", "s5_tumbling_counters",
             "s5_sliding_counters", "s5_session_stream"}
-PYTHON = {"e4_run_outputs", "e5_custom_rubric"}
-# Queries that end in a handful of rows on purpose: one row per variant or per pair.
-SINGLE = {"e11_leaderboard", "e11_pairwise_win_rate"}
+PYTHON = {"e4_run_outputs", "e5_custom_rubric", "t6_cache_freshness"}
+# A query that ends in a handful of rows on purpose: one row per variant.
+SINGLE = {"e11_leaderboard"}
 
 
 def plan(df) -> str:
@@ -78,4 +79,4 @@ def test_text_is_reduced_before_the_label_join(plans):
 
 def test_pairs_are_counted_in_one_pass(spark):
     df = compare.pairwise_win_rate(bindings.run_scores(spark, SF_DIR).withColumnRenamed("run", "variant"), range(1, 8))
-    assert "Join" not in plan(df)
+    assert "Join" not in plan(df) and "Python" not in plan(df)

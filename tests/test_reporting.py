@@ -94,3 +94,18 @@ def test_quantiles_are_exact(spark, shape):
         assert got[k]["n"] == len(vs)
         for name, p in probs.items():
             assert float(got[k][name]) == pytest.approx(float(np.quantile(vs, p)), rel=1e-9, abs=1e-6), (k, name)
+
+
+def test_no_system_is_lost_without_a_limit(spark):
+    usage = spark.createDataFrame([(1, 5.0), (1, 5.0), (2, 1.0)], "system bigint, amount double")
+    limits = spark.createDataFrame([(1, 40.0), (3, 9.0)], "system bigint, limit double")
+    got = {r["system"]: (r["used"], r["limit"], r["percent"]) for r in reporting.utilisation_report(usage, limits).collect()}
+    assert got == {1: (10.0, 40.0, 25.0), 2: (1.0, None, 0.0), 3: (0.0, 9.0, 0.0)}
+
+
+def test_only_whole_dates_are_times(spark):
+    texts = ["2024", "2024-01", "12:30:00", "T12:30", "2024-02-30", "2024-01-05", "2024-01-05T10:00:00Z", "2024-01-05 10:00:00+05:00"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(parse_iso(F.col("t")).cast("string")).collect()]
+    assert got == [None] * 5 + ["2024-01-05 00:00:00", "2024-01-05 10:00:00", "2024-01-05 05:00:00"]
+    assert spark.range(1).select(instant("2026-04-28T12:00:00+05:00").cast("string")).first()[0] == "2026-04-28 07:00:00"

@@ -137,17 +137,26 @@ def test_late_rows_beyond_the_watermark_are_dropped(spark, tmp_path):
     assert [(r["window_start"].day, r["requests"]) for r in got] == [(1, 1), (3, 3), (5, 1)]
 
 
-def test_offline_alerts(spark, tmp_path):
-    _write(spark, tmp_path, 0, [("2026-01-01 10:00:00", 1), ("2026-01-01 10:00:00", 2)])
-    _write(spark, tmp_path, 1, [("2026-01-01 10:10:00", 2)])
-    _write(spark, tmp_path, 2, [("2026-01-01 10:20:00", 2)])
-    stream = source.observation_stream(events(spark, str(tmp_path)))
-    alerts = observations.offline_alerts(stream, missed_polls=10)
-    writer = alerts.writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append")
-    source.run_to_end(writer, str(tmp_path / "c"))
-    got = {(r["system"], str(r["last_seen"]), str(r["offline_at"])) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert (1, "2026-01-01 10:00:00", "2026-01-01 10:05:00") in got
-    assert all(system == 1 or seen < "2026-01-01 10:20:00" for system, seen, _ in got)
+@pytest.mark.parametrize("files", [1, 3, 10])
+def test_offline_alerts_do_not_depend_on_batches(spark, tmp_path, files):
+    import random
+    from datetime import datetime, timedelta
+
+    rng = random.Random(1)
+    start = datetime(2026, 1, 1)
+    rows = sorted((start + timedelta(seconds=rng.randrange(90_000)), rng.randrange(6)) for _ in range(240))
+    rows += [(start + timedelta(hours=31), 1)]
+    observed = spark.createDataFrame([(s, t, i) for i, (t, s) in enumerate(rows)], "system bigint, at timestamp, id bigint")
+    want = telemetry.offline_gaps(observed, 20, F.lit(datetime(2026, 1, 3)).cast("timestamp")).collect()
+    size = -(-len(rows) // files)
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for k in range(files):
+        observed.where(f"id div {size} = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(observed.schema).parquet(str(tmp_path / "in"))
+        source.run_to_end(observations.offline_alerts(stream, out, state, 20), str(tmp_path / "c"))
+    got = observations.silences(spark, out, state, 20, F.lit(datetime(2026, 1, 3)).cast("timestamp")).collect()
+    key = lambda r: (r["system"], r["last_seen"], r["silent_s"], r["back_at"] or start)
+    assert sorted(map(key, got)) == sorted(map(key, want)) and len(want) > 20
 
 
 def test_a_late_row_still_sees_the_known_value(spark, tmp_path):

@@ -105,10 +105,42 @@ def test_freshness_is_strict(spark):
     rows = [
         (1, at(0), 1, True, 1.0), (1, at(299), 2, False, 1.0), (1, at(300), 3, False, 1.0),
         (1, at(301), 4, True, 1.0), (1, at(302), 5, True, 1.0), (2, at(0), 6, False, 1.0),
+        (3, at(0), 7, True, 1.0), (3, at(60), 8, True, 1.0), (3, at(240), 9, True, 1.0), (3, at(480), 10, True, 1.0),
     ]
     got = {r["id"]: r for r in telemetry.freshness(spark.createDataFrame(rows, OBSERVED)).collect()}
     assert [got[i]["cache_class"] for i in range(1, 7)] == ["refetch", "hit", "stale", "refetch", "hit", "empty"]
-    assert [got[i]["data_age_s"] for i in range(1, 7)] == [0, 299, 300, 0, 0, None]
+    assert [got[i]["data_age_s"] for i in range(1, 7)] == [0, 299, 300, 0, 1, None]
+    assert [got[i]["cache_class"] for i in range(7, 11)] == ["refetch", "hit", "hit", "refetch"]
+    assert got[9]["data_age_s"] == 240
+
+
+@pytest.mark.parametrize("target", [3, 40, 10_000])
+def test_freshness_equals_a_walk(spark, target):
+    import random
+
+    rng, rows = random.Random(target), []
+    for i in range(900):
+        system = 0 if i % 3 == 0 else rng.randrange(1, 4)
+        rows.append((system, at(rng.choice([i * 30, rng.randrange(0, 9_000)])), i, rng.random() < 0.7, 1.0))
+    want = {}
+    for system in range(4):
+        fetched = None
+        for _, when, i, ok, _ in sorted((r for r in rows if r[0] == system), key=lambda r: (r[1], r[2])):
+            age = None if fetched is None else (when - fetched).total_seconds()
+            if age is not None and age < 300:
+                want[i] = ("hit", int(age))
+            elif ok:
+                want[i], fetched = ("refetch", 0), when
+            else:
+                want[i] = ("empty", None) if age is None else ("stale", int(age))
+    got = telemetry.freshness(spark.createDataFrame(rows, OBSERVED), target_rows=target).collect()
+    assert {r["id"]: (r["cache_class"], r["data_age_s"]) for r in got} == want
+
+
+def test_steady_polls_fetch_once_a_lifetime(spark):
+    rows = [(1, at(30 * i), i, True, 1.0) for i in range(400)]
+    got = telemetry.freshness(spark.createDataFrame(rows, OBSERVED)).where("cache_class = 'refetch'").collect()
+    assert sorted(r["id"] for r in got) == list(range(0, 400, 10))
 
 
 @pytest.mark.parametrize("target", [1, 7, 50, 10_000])
@@ -194,8 +226,9 @@ def test_lines_of_code_filters(spark):
 
 
 def test_primary_language_unknown_and_ties(spark):
-    files = [(1, "Go", "a\nb"), (1, "Rust", "a\nb"), (1, None, "a\nb\nc"), (2, None, "a")]
-    df = spark.createDataFrame(files, "system bigint, language string, text string")
+    files = [(1, "a.py", "Go", "a\nb"), (1, "b.ts", "Rust", "a\nb"), (1, "c.md", None, "a\nb\nc"), (2, "d.md", None, "a"),
+             (1, "node_modules/e.py", "Go", "a\nb\nc\nd")]
+    df = spark.createDataFrame(files, "system bigint, path string, language string, text string")
     got = {r["system"]: (r["primary_language"], r["language_lines"]) for r in telemetry.primary_language(df).collect()}
     assert got == {1: ("Rust", 2), 2: ("Unknown", 0)}
 
@@ -214,8 +247,10 @@ def test_tones(spark):
 
 def test_offline_gaps(spark):
     rows = [(1, at(0), 1, True, 0.0), (1, at(90), 2, True, 0.0), (1, at(181), 3, True, 0.0), (1, at(9_999), 4, True, 0.0)]
-    gaps = telemetry.offline_gaps(spark.createDataFrame(rows, OBSERVED), 3).orderBy("last_seen").collect()
-    assert [(r["last_seen"], r["silent_s"]) for r in gaps] == [(at(90), 91), (at(181), 9_818)]
+    asof = F.lit(at(10_500))
+    gaps = telemetry.offline_gaps(spark.createDataFrame(rows, OBSERVED), 3, asof).orderBy("last_seen").collect()
+    assert [(r["last_seen"], r["back_at"], r["silent_s"]) for r in gaps] == [
+        (at(90), at(181), 91), (at(181), at(9_999), 9_818), (at(9_999), None, 501)]
 
 
 def test_activity_window_edge(spark):
