@@ -45,7 +45,7 @@ from evalframe.llm.tables import written
 
 SIMILARITY = 0.8
 #: Twice the limit of the distance: farther members share no neighbour with a pivot.
-BORDER = 1 - 2 * (1 - SIMILARITY)
+BORDER = 1 - 2 * (1 - SIMILARITY) - 1e-9
 BANDS, SKETCHES = 24, 3
 #: Levels with a single pivot, and pivots of the later levels.
 SINGLE, PIVOTS = 3, 32
