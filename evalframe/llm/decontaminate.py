@@ -14,9 +14,9 @@ window's shingles found in items of its size rule it out. At similarity 0.8 a
 fingerprint differs from the item's by 19 of 128 bits on average, with a standard deviation
 of 4; the radius of 39 is almost five of these away.
 
-The benchmark goes to the tasks in blocks of at most ``BLOCK_WORDS`` words (some 64 MB with
-its index), so what is broadcast is bounded; a larger benchmark takes more passes over the
-documents.
+The benchmark goes to the tasks in blocks, dealt by hash, of ``BLOCK_WORDS`` words on average
+(some 64 MB with the index), so what is broadcast is bounded; a larger benchmark takes more
+passes over the documents.
 
 Nulls and odd input: a null or empty text has no windows, a null or empty item is never
 found. A text or window of fewer than five words is one shingle and matches only itself.
@@ -32,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalframe.llm.shingles import WORDS_IN_SHINGLE, mixed, shingle_hashes, word_hashes
@@ -183,9 +183,10 @@ def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[tuple[list[in
             yield pd.DataFrame({"id": batch["id"], "words": [x.tobytes() for x in words], "n": [len(x) for x in words]})
 
     told = rows.mapInPandas(hashed, "id bigint, words binary, n bigint").where("n > 0")
-    upto = F.sum("n").over(Window.orderBy("id", "words").rowsBetween(Window.unboundedPreceding, -1))
-    dealt = written(told.withColumn("block", F.floor(F.coalesce(upto, F.lit(0)) / BLOCK_WORDS)), "benchmark")
-    for block in range(1 + (dealt.agg(F.max("block")).first()[0] or 0)):
+    kept = written(told, "benchmark")
+    blocks = 1 + (kept.agg(F.sum("n")).first()[0] or 0) // BLOCK_WORDS
+    dealt = kept.withColumn("block", F.pmod(F.xxhash64("id", "words"), F.lit(blocks)))
+    for block in range(blocks):
         held = dealt.where(F.col("block") == block).select("id", "words").collect()
         if held:
             yield [row["id"] for row in held], [bytes(row["words"]) for row in held]

@@ -4,7 +4,7 @@ The sorted suffixes that start a rise (LMS) induce the falling ones, and these t
 ones. Both directions are one loop over a priority queue of tuples (first symbol, kind,
 order of the inducing suffix; position): the least tuples leave the queue, each in turn
 queueing the suffix one symbol longer. LMS suffixes themselves are sorted by the same loop
-on LMS substrings, named, and, where names repeat, by recursion on the string of names.
+on LMS substrings, named, and, where names repeat, by recursion on the string of names, down to one that is ordered in memory.
 
 The queue works on arrays: of a sorted stretch of tuples all those leave at once that lie
 before every tuple the stretch itself queues. Tuples far ahead wait unsorted in buckets by
@@ -20,6 +20,8 @@ import numpy as np
 
 #: Waiting tuples held in memory, and tuples a bucket is made for.
 MEMORY, BUCKET = 8_000_000, 1 << 15
+#: A string of names up to this long is ordered in memory; a longer one by recursion.
+DIRECT = 1 << 18
 _SYMBOL, _KIND = np.uint64(34), np.uint64(33)
 _LEAST, _MOST = 512, 1 << 17
 
@@ -173,6 +175,21 @@ def _names(symbol: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarr
     return name[lms]
 
 
+def _doubled(symbol: np.ndarray) -> np.ndarray:
+    """The order of all suffixes, by ranks of prefixes of doubling length."""
+    rank, reach, n = symbol.astype(np.int64), 1, len(symbol)
+    while True:
+        following = np.zeros(n, np.int64)
+        following[: max(n - reach, 0)] = rank[reach:] + 1
+        key = rank << 32 | following
+        order = np.argsort(key, kind="stable")
+        new = np.r_[0, np.cumsum(key[order][1:] != key[order][:-1])]
+        rank[order] = new
+        if new[-1] == n - 1:
+            return order
+        reach *= 2
+
+
 def suffix_array(symbol: np.ndarray) -> np.ndarray:
     """The order of all suffixes of ``symbol``, whose last symbol is 0 and the only 0 there is."""
     n, sigma = len(symbol), int(symbol.max()) + 1
@@ -193,7 +210,7 @@ def suffix_array(symbol: np.ndarray) -> np.ndarray:
     ordered = up[is_lms[up]]
     names = _names(symbol, lms, ordered)
     if names.max() + 1 < len(lms):
-        ordered = lms[suffix_array(names)]
+        ordered = lms[suffix_array(names) if len(names) > DIRECT else _doubled(names)]
     down, up = spread(ordered)
     both = np.r_[down, up]
     return both[np.argsort(symbol[both] * 2 + rising[both], kind="stable")]

@@ -212,7 +212,10 @@ def test_components_of_chains_and_stars(spark):
 
 def test_suffix_arrays_of_small_strings(monkeypatch):
     rng = random.Random(3)
-    for n in range(400):
+    monkeypatch.setattr(induced_sort, "DIRECT", 0)
+    for n in range(600):
+        if n == 400:
+            monkeypatch.setattr(induced_sort, "DIRECT", 1 << 18)
         if n == 200:
             monkeypatch.setattr(induced_sort, "MEMORY", 40)
             monkeypatch.setattr(induced_sort, "BUCKET", 16)
