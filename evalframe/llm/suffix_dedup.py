@@ -12,7 +12,11 @@ that only text which can repeat is sorted.
    anchor only one document holds repeats nowhere and is done with.
 3. Strings that follow each other with one anchor form a segment. A block sends each distinct
    segment once, with its smallest document id, to the shard of its anchor. However often a
-   passage occurs, it goes once from each block.
+   passage occurs, it goes once from each block. The segments at the edge of a frequent line
+   also hold text of their own documents, so an anchor can have as many as there are documents
+   with the line. The strings of anchors are counted with step 2; those of an anchor with more
+   than ``HOT`` go one by one, each to a shard of its own hash. Such a shard grows only by the
+   one copy of a string that each block sends.
 4. A shard sorts the suffixes of its distinct segments, but for those that share no string with
    another; neighbours with a common prefix of ``LENGTH`` bytes are equal strings, and each
    gets the smallest document id among them.
@@ -45,6 +49,10 @@ LENGTH, GRAM = 50, 24
 BLOCK, STRETCH, SHARD = 2_000_000, 1_000_000, 1_000_000
 #: Bytes of text for which one task compares anchors and sorts suffixes.
 PART_BYTES = 5_000_000
+#: Strings of one anchor above which they are dealt by their own hashes, about as many to each.
+HOT = 100_000
+#: Strings that one gram can be the anchor of, unless it repeats.
+_WIDTH = LENGTH - GRAM + 1
 _NO_ID = np.iinfo(np.int64).min
 
 
@@ -141,34 +149,62 @@ def _keys(anchor: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _tell(batches: Iterator[pd.DataFrame], parts: int) -> Iterator[pd.DataFrame]:
-    """The distinct anchor keys of each block, by part."""
+    """The distinct anchor keys of each block, by part, and the strings of keys with more than ``_WIDTH``."""
     for batch in batches:
         for _, row in batch.iterrows():
             block = _Block(row)
             anchor = block.anchors()
-            keys = np.unique(_keys(anchor[block.runs(anchor)], parts))
+            run = block.runs(anchor)
+            count = np.diff(np.r_[run, len(anchor)])
+            _, one = np.unique(_hashes(block.data, block.starts[run], count + LENGTH - 1), return_index=True)
+            keys, which = np.unique(_keys(anchor[run[one]], parts), return_inverse=True)
+            strings = np.bincount(which, count[one], len(keys)).astype(np.int64)
             part = (keys >> np.uint64(32)).astype(np.int64)
             edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(keys) else np.zeros(0, np.int64)
             pieces = np.split((keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), edge[1:]) if len(keys) else []
-            yield pd.DataFrame({"part": part[edge], "block": block.number, "keys": [_pack_keys(x) for x in pieces]})
+            counts = np.split(strings, edge[1:]) if len(keys) else []
+            yield pd.DataFrame({
+                "part": part[edge], "block": block.number, "keys": [_pack_keys(x) for x in pieces],
+                "more": pd.Series([_pack_above(x, _WIDTH) for x in counts], dtype=object),
+            })
 
 
-def _shared(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one part's keys those that several blocks hold, for each block."""
+def _pack_above(values: np.ndarray, least: int) -> bytes | None:
+    """The places and values of numbers above ``least``; None if there are none."""
+    at = np.flatnonzero(values > least)
+    return _pack(at.astype(np.int32), values[at]) if len(at) else None
+
+
+def _shared(rows: pd.DataFrame, hot: int) -> pd.DataFrame:
+    """Of one part's keys those that several blocks hold, for each block, and into how many
+    keys the strings of each with more than ``hot`` are dealt."""
     told = [_unpack_keys(x) for x in rows["keys"]]
-    tagged = np.sort(
+    strings = [np.full(len(x), _WIDTH, np.int64) for x in told]
+    for held, more in zip(strings, rows["more"], strict=True):
+        if more is not None:
+            at, n = _unpack(more)
+            held[at] = n
+    tagged = (
         np.concatenate(told).astype(np.uint64) << np.uint64(32)
         | np.arange(len(told), dtype=np.uint64).repeat([len(x) for x in told])
     )
+    order = np.argsort(tagged)
+    tagged = tagged[order]
     same = tagged[1:] >> np.uint64(32) == tagged[:-1] >> np.uint64(32)
-    tagged = tagged[np.r_[False, same] | np.r_[same, False]]
+    first = np.flatnonzero(np.r_[True, ~same])
+    total = np.add.reduceat(np.concatenate(strings)[order], first)
+    fan = (1 + total // hot).repeat(np.diff(np.r_[first, len(tagged)]))
+    several = np.r_[False, same] | np.r_[same, False]
+    tagged, fan = tagged[several], fan[several]
     owner = (tagged & np.uint64(0xFFFFFFFF)).astype(np.int64)
     order = np.argsort(owner, kind="stable")
-    keys, owner = (tagged[order] >> np.uint64(32)).astype(np.uint32), owner[order]
+    keys, owner, fan = (tagged[order] >> np.uint64(32)).astype(np.uint32), owner[order], fan[order]
     edge = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
     pieces = np.split(keys, edge[1:]) if len(owner) else []
+    fans = np.split(fan, edge[1:]) if len(owner) else []
     return pd.DataFrame({
         "block": rows["block"].to_numpy()[owner[edge]], "part": int(rows["part"].iloc[0]), "keys": [_pack_keys(x) for x in pieces],
+        "fans": pd.Series([_pack_above(x, 1) for x in fans], dtype=object),
     })
 
 
@@ -176,7 +212,8 @@ class _Segments:
     """The segments of a block whose anchor another document may hold.
 
     ``at`` and ``count`` are the first string and the number of strings of each occurrence,
-    ``which`` its distinct segment, and ``one`` an occurrence of each distinct segment.
+    ``which`` its distinct segment, and ``one`` an occurrence of each distinct segment. The
+    strings of a hot anchor are segments of one string each.
     """
 
     def __init__(self, block: _Block, shared: pd.DataFrame, parts: int):
@@ -189,9 +226,29 @@ class _Segments:
         chosen = elsewhere | _in_several(key, block.doc[run])
         run, self.count, self.key = run[chosen], count[chosen], key[chosen]
         self.at, self.doc = block.starts[run], block.doc[run]
+        fan = self._fans(shared, wide)
+        n = np.where(fan > 1, self.count, 1)
+        step = np.arange(int(n.sum())) - (np.cumsum(n) - n).repeat(n)
+        self.at, self.doc, self.key = self.at.repeat(n) + step, self.doc.repeat(n), self.key.repeat(n)
+        self.count, fan = np.where(fan > 1, 1, self.count).repeat(n), fan.repeat(n)
         digest = _hashes(block.data, self.at, self.count + LENGTH - 1)
+        hot = np.flatnonzero(fan > 1)
+        dealt = digest[hot] % fan[hot].astype(np.uint64) + np.uint64(1)
+        self.key[hot] = _keys(mixed(self.key[hot] + dealt * _BASE), parts)
         _, self.one, self.which = np.unique(digest, return_index=True, return_inverse=True)
 
+    def _fans(self, shared: pd.DataFrame, wide: list[np.ndarray]) -> np.ndarray:
+        """Into how many keys the strings of each occurrence are dealt; 1 if it stays whole."""
+        told = [(keys, *_unpack(x)) for keys, x in zip(wide, shared["fans"], strict=True) if x is not None]
+        fan = np.ones(len(self.key), np.int64)
+        if told:
+            hot, fans = np.concatenate([keys[at] for keys, at, _ in told]), np.concatenate([n for _, _, n in told])
+            order = np.argsort(hot)
+            hot, fans = hot[order], fans[order]
+            place = np.minimum(np.searchsorted(hot, self.key), len(hot) - 1)
+            fan[hot[place] == self.key] = fans[place[hot[place] == self.key]]
+        return fan
+
 
 def _in_several(key: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Which entries have a key that two different owners have."""
@@ -354,15 +411,19 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.encode(F.coalesce(text, F.lit("")), "utf-8").alias("text"))
     blocks = written(rows.mapInArrow(_to_blocks, "block bigint, bytes bigint, docs binary, data binary"), "text-blocks")
     parts = 1 + (blocks.agg(F.sum("bytes")).first()[0] or 0) // PART_BYTES
-    told = blocks.mapInPandas(lambda batches: _tell(batches, parts), "part bigint, block bigint, keys binary")
-    shared = written(told.groupBy("part").applyInPandas(_shared, "block bigint, part bigint, keys binary"), "shared-anchors")
+    told = blocks.mapInPandas(lambda batches: _tell(batches, parts), "part bigint, block bigint, keys binary, more binary")
+    hot = HOT
+    shared = written(
+        told.groupBy("part").applyInPandas(lambda rows: _shared(rows, hot), "block bigint, part bigint, keys binary, fans binary"),
+        "shared-anchors",
+    )
     segments = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(
         lambda a, b: _send(a, b, parts), "block bigint, part bigint, packed binary"
     )
     answers = written(segments.groupBy("part").applyInPandas(_sort_part, segments.schema), "smallest-ids")
     # Segments are worked out again rather than kept: they are larger than the text.
     back = shared.withColumn("packed", F.lit(None).cast("binary")).unionByName(
-        answers.withColumn("keys", F.lit(None).cast("binary"))
+        answers.withColumns({"keys": F.lit(None).cast("binary"), "fans": F.lit(None).cast("binary")})
     )
     return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(
         lambda a, b: _remove(a, b, parts),

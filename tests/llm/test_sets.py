@@ -260,3 +260,34 @@ def test_removed_bytes_equal_brute_force(documents, monkeypatch, small):
     assert suffix_dedup.remove_repeats(documents([])).count() == 0
     lone = suffix_dedup.remove_repeats(documents([(None, "y" * 60, "s"), (3, "y" * 60, "s")])).collect()
     assert {r.doc_id: len(r.kept) for r in lone} == {None: 60, 3: 0}
+
+
+@pytest.mark.parametrize("line", ["subscribe to our newsletter for the latest news and offers today", "=" * 64])
+def test_a_line_of_many_documents_fills_no_part(documents, monkeypatch, tmp_path, line):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = [(i, f"{text(60)}{line}{text(60)}" if i % 3 == 0 else text(180), "s") for i in range(3_000)]
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 20_000)
+    monkeypatch.setattr(suffix_dedup, "HOT", 100, raising=False)
+    sort_part = suffix_dedup._sort_part
+
+    def measured(part):
+        size = sum(len(suffix_dedup._unpack(x)[4]) for x in part["packed"])
+        (tmp_path / f"{int(part['part'].iloc[0])}-{size}").touch()
+        return sort_part(part)
+
+    monkeypatch.setattr(suffix_dedup, "_sort_part", measured)
+    got = {r.doc_id: list(zip(r.span_starts, r.span_stops, strict=True)) for r in suffix_dedup.remove_repeats(documents(rows)).collect()}
+    first: dict[str, int] = {}
+    for doc, data, _ in rows:
+        for at in range(len(data) - 49):
+            first.setdefault(data[at : at + 50], doc)
+    for doc, data, _ in rows:
+        gone = bytearray(len(data))
+        for at in range(len(data) - 49):
+            if first[data[at : at + 50]] < doc:
+                gone[at : at + 50] = b"\1" * 50
+        assert got[doc] == [(m.start(), m.end()) for m in re.finditer(b"\1+", bytes(gone))]
+    sizes = [int(x.name.split("-")[1]) for x in tmp_path.iterdir()]
+    # Keys are dealt to parts by hash, so parts are not quite even.
+    assert max(sizes) < 0.15 * sum(sizes) and len(sizes) > 10
