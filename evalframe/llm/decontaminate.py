@@ -1,8 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, then exact similarity.
 
 A document is searched through windows of as many words as a benchmark item has. Each window
-gets a ``BITS``-bit SimHash of its 5-word shingles, weighted by their counts. Fingerprints are
-cut into ``BLOCKS`` blocks; two within ``RADIUS`` bits agree in some block up to
+gets a ``BITS``-bit SimHash of its 5-word shingles, each labelled with its occurrence in the
+window, so that all weigh one and a repeated word outweighs nothing. Fingerprints are cut into ``BLOCKS`` blocks; two within ``RADIUS`` bits agree in some block up to
 ``RADIUS // BLOCKS`` bits, so an index of the items by each block, probed with every pattern
 of that many flipped bits, gives all items within the radius and no window is compared with
 all items. Candidates are verified by weighted Jaccard similarity of the shingle counts, 0.8
@@ -10,7 +10,8 @@ or more.
 
 Windows that cannot reach the similarity are passed over before hashing: a window and an item
 of equal size that are 0.8 similar share 8/9 of their shingles, so fewer than that of the
-window's shingles found in items of its size rule it out. At similarity 0.8 a
+window's shingles found in items of its size rule it out. Weighted similarity is plain
+similarity of the labelled shingles, so at 0.8, repeats or not, a
 fingerprint differs from the item's by 19 of 128 bits on average, with a standard deviation
 of 4; the radius of 39 is almost five of these away.
 
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.shingles import WORDS_IN_SHINGLE, mixed, shingle_hashes, word_hashes
+from evalframe.llm.shingles import WORDS_IN_SHINGLE, labelled, mixed, shingle_hashes, with_label, word_hashes
 from evalframe.llm.tables import written
 
 SIMILARITY = 0.8
@@ -63,6 +64,31 @@ def _packed(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1).view(np.uint16)
 
 
+def _window_sums(shingles: np.ndarray, per: int) -> np.ndarray:
+    """Signs of the labelled shingles, added up over each window of ``per`` shingles."""
+    windows = len(shingles) - per + 1
+    _, value, times = np.unique(shingles, return_inverse=True, return_counts=True)
+    if len(times) == len(shingles):
+        sums = np.zeros((len(shingles) + 1, BITS), np.int32)
+        np.cumsum(_signs(shingles), axis=0, out=sums[1:])
+        return sums[per:] - sums[:-per]
+    # A window's step takes the highest label of the shingle that leaves and gives the one that
+    # enters the next; either is the number of equal shingles in the rest of the window.
+    step = np.arange(windows - 1)
+    wide = len(shingles) + 1
+    places = np.sort(value * wide + np.arange(len(shingles)))
+
+    def rest(of: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return np.searchsorted(places, of * wide + end) - np.searchsorted(places, of * wide + begin)
+
+    leaves = with_label(shingles[: windows - 1], rest(value[: windows - 1], step + 1, step + per))
+    enters = with_label(shingles[per:], rest(value[per:], step + 1, step + per))
+    sums = np.empty((windows, BITS), np.int32)
+    sums[0] = _signs(labelled(shingles[:per])).sum(0)
+    sums[1:] = _signs(enters) - _signs(leaves)
+    return np.cumsum(sums, axis=0, out=sums)
+
+
 class Items:
     """A block of the benchmark with its index."""
 
@@ -79,7 +105,7 @@ class Items:
             size: np.unique(np.concatenate([x for x, n in zip(self.shingles, self.words, strict=True) if n == size]))
             for size in self.sizes
         }
-        prints = np.concatenate([_packed(_signs(x).sum(0)[None, :]) for x in self.shingles])
+        prints = np.concatenate([_packed(_signs(labelled(x)).sum(0)[None, :]) for x in self.shingles])
         self.prints = prints
         # Per block, items in the order of the block's value and where each value starts.
         self.order = [np.argsort(prints[:, k], kind="stable") for k in range(BLOCKS)]
@@ -143,9 +169,7 @@ class Items:
         for run in np.split(begin, np.flatnonzero(np.diff(begin) > per) + 1):
             for part in np.array_split(run, 1 + len(run) // WINDOWS):
                 first = int(part[0])
-                sums = np.zeros((int(part[-1]) + per - first + 1, BITS), np.int32)
-                np.cumsum(_signs(shingles[first : int(part[-1]) + per]), axis=0, out=sums[1:])
-                prints = _packed(sums[part - first + per] - sums[part - first])
+                prints = _packed(_window_sums(shingles[first : int(part[-1]) + per], per)[part - first])
                 seen: dict[bytes, np.ndarray] = {}
                 for at, one in zip(part.tolist(), prints, strict=True):
                     key = one.tobytes()

@@ -131,7 +131,14 @@ def labelled(shingles: np.ndarray) -> np.ndarray:
         return shingles
     at = np.arange(len(shingles))
     nth = at - np.maximum.accumulate(np.where(same, 0, at))
+    label = np.empty_like(nth)
+    label[order] = nth
+    return with_label(shingles, label)
+
+
+def with_label(shingles: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """Shingle hashes with the number of earlier equal ones mixed in."""
     out = shingles.copy()
     again = nth > 0
-    out[order[again]] = mixed(shingles[order[again]] + nth[again].astype(np.uint64) * _BASE)
+    out[again] = mixed(shingles[again] + nth[again].astype(np.uint64) * _BASE)
     return out

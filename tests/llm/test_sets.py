@@ -123,6 +123,38 @@ def test_leaks_equal_brute_force(spark, documents, monkeypatch):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0 and decontaminate.find_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_with_runs_of_one_word_equal_brute_force(spark, documents):
+    rng = random.Random(12)
+    items, rows, want = [], [], {}
+    for n in range(30):
+        run = rng.choice([12, 16, 20])
+        kept = _words(rng, 12 * run)
+        at = rng.randrange(len(kept))
+        items.append((n, kept[:at] + [f"zero{n}"] * run + kept[at:]))
+        other = [f"blank{n}"] * run if n % 2 else _words(rng, run)
+        around = _words(rng, 30)
+        rows.append((n, " ".join(around[:15] + kept[:at] + other + kept[at:] + around[15:]), "s"))
+    for (doc, text, _), (n, item) in zip(rows, items, strict=True):
+        words = text.split()
+        for at in range(len(words) - len(item) + 1):
+            a, b = _shingles(words[at : at + len(item)]), _shingles(item)
+            alike = sum((a & b).values()) / sum((a | b).values())
+            if alike >= 0.8:
+                want[doc, n] = max(want.get((doc, n), 0), alike)
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_leaks(documents(rows), bench).collect()}
+    assert got == pytest.approx(want) and len(want) > 25
+
+
+def test_window_sums_equal_labelled_windows():
+    rng = np.random.default_rng(5)
+    for kinds in (1, 3, 30, 10**9):
+        shingles = decontaminate.mixed(rng.integers(0, kinds, 90).astype(np.uint64))
+        for per in (1, 7, 90):
+            want = [decontaminate._signs(labelled(shingles[i : i + per])).sum(0) for i in range(91 - per)]
+            assert (decontaminate._window_sums(shingles, per) == np.array(want)).all()
+
+
 def test_index_gives_all_within_the_radius():
     rng = np.random.default_rng(1)
     words = [rng.integers(0, 2**64, 30, np.uint64) for _ in range(200)]
