@@ -121,3 +121,81 @@ WITH size AS (
 SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, unnest(range(1, n + 1)) AS copy
 FROM documents d JOIN counted USING (doc_id)
 """
+
+SQL["op12_lexical_search"] = r"""
+WITH folded AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents WHERE text IS NOT NULL
+), doc AS (
+  SELECT k, doc_id, len(words) AS n FROM folded WHERE len(words) > 0
+), corpus AS (
+  SELECT count(*) AS docs, sum(n) AS terms FROM doc
+), asked AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL
+), tf AS (
+  SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(words) AS term FROM folded)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, corpus GROUP BY term, docs
+), gain AS (
+  SELECT k, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + CAST((75 * n * docs) // terms AS BIGINT)))) AS g
+  FROM tf JOIN weight USING (term) JOIN doc USING (k), corpus
+), scored AS (
+  SELECT item_id, k, CAST(sum(g * times) AS BIGINT) AS score FROM gain JOIN asked USING (term) GROUP BY item_id, k
+)
+SELECT item_id, CAST(row_number() OVER o AS INTEGER) AS rank, doc_id, score
+FROM scored JOIN doc USING (k) WHERE score > 0 WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+QUALIFY row_number() OVER o <= 10
+"""
+
+SQL["op13_filter_audit"] = r"""
+WITH body AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), least AS (
+  SELECT t, min(doc_id) AS first FROM body GROUP BY t
+), failed AS (
+  SELECT part, doc_id,
+         CASE WHEN len(words) < 200 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN doc_id > first THEN 16 ELSE 0 END AS m
+  FROM body JOIN least USING (t)
+), label AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id
+), counted AS (
+  SELECT part, m, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM failed LEFT JOIN label USING (doc_id) GROUP BY part, m
+), letter(l, bit) AS (
+  VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), ordered AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letter a, letter b, letter c, letter d, letter e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), steps AS (
+  SELECT filter_order, s AS step, bits[s] AS bit, coalesce(list_sum(bits[1:s - 1]), 0) AS before
+  FROM ordered, (SELECT unnest(range(1, 6)) AS s)
+), told AS (
+  SELECT part, filter_order, step, bit,
+         sum(CASE WHEN m & CAST(before + bit AS INTEGER) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN m & CAST(before AS INTEGER) = 0 AND m & bit <> 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN m & CAST(before AS INTEGER) <> 0 AND m & bit <> 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN m = bit THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN m & CAST(before AS INTEGER) = 0 AND m & bit <> 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN m & CAST(before AS INTEGER) = 0 AND m & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM counted, steps GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM told
+"""

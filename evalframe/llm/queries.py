@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalframe.llm import (
-    chat_format, decontaminate, html_text, line_dedup, mixing, near_dedup, quality, suffix_dedup, token_counts, url_rules,
+    chat_format, decontaminate, filter_audit, html_text, lexical, line_dedup, mixing, near_dedup, quality, sharding,
+    suffix_dedup, token_counts, url_rules,
 )
 from evalframe.llm.tables import table
 
@@ -87,7 +88,28 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document in a uniform shuffle."""
+    sharded = sharding.shard_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return sharded.select(
+        "doc_id", (F.octet_length(body) + 1).cast("bigint").alias("size"), F.crc32(body).alias("text_crc32"),
+        "law", "shard", "slot", "grown_shard",
+    )
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in every order, per source."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 REGISTERED: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_line_dedup, op2_mixing, op3_url_filters, op4_token_counts, op5_decontamination, op6_chat_format,
-    op7_minhash_near_dedup, op8_quality_rules, op9_html_text, op10_suffix_dedup,
+    op7_minhash_near_dedup, op8_quality_rules, op9_html_text, op10_suffix_dedup, op11_sharding, op12_lexical_search,
+    op13_filter_audit,
 )
