@@ -22,6 +22,7 @@ LAST_PAGE_PATTERN = r'<[^>]*[?&]page=(\d+)[^>]*>;\s*rel="last"'
 
 # Time rules and contract enums.
 CACHE_TTL_SECONDS = 300
+HARVEST_SECONDS = 3 * 4  # three calls of a harvest, each at most four seconds
 ACTIVITY_WINDOW_DAYS = 30
 POLL_SECONDS = 30
 SCHEMA_VERSION = 1

@@ -1,4 +1,4 @@
-"""Audit manifests, privacy-safe logs and persisted workload counters."""
+"""Audit manifests, pseudonymous logs and persisted workload counters."""
 
 from __future__ import annotations
 
@@ -10,23 +10,6 @@ from pyspark.sql import functions as F
 
 from evalframe.functions.quantiles import exact_quantiles
 
-_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-
-# Masks of the private log, as (name, pattern, replacement). None bounds the length of a match.
-MASKS = (
-    ("secret",
-     r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+(\.[A-Za-z0-9_-]*)?"
-     r"|\b(AKIA|ASIA)[0-9A-Z]{16}\b|\b(ghp|gho|ghs|sk|pk|xoxa|xoxb|xoxp)[_-][A-Za-z0-9_-]+"
-     r"|(?i:\bbearer +[a-z0-9._~+/=-]+)"
-     r"|(?i:(token|secret|password|passwd|api_?key|access_?key) ?[=:] ?(\"[^\"]*\"|'[^']*'|[^ \t\n\"',;]+))", "[secret]"),
-    ("email", r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}.-]+\.\p{L}\p{L}+", "[email]"),
-    ("address", rf"\b{_OCTET}(\.{_OCTET}){{3}}\b", "[address]"),
-    ("phone",
-     r"\+[0-9]([ ().-]*[0-9])+|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}\b|\b[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}\b", "[phone]"),
-)
-_CARD_LIKE, _CARD = r"\b[0-9]([ -]?[0-9]){12,18}\b", "[card]"
-
-
 def content_hash(fields: Sequence[str]) -> Column:
     """Hash over fields, each led by its length, with a mark of its own for null."""
     text = [F.col(name).cast("string") for name in fields]
@@ -69,36 +52,6 @@ def pseudonym(actor: Column, key: bytes) -> Column:
     return F.sha2(F.concat(outer, first), 256)
 
 
-def masked(text: Column) -> Column:
-    """Text with every secret, e-mail address, IP address, card and phone number replaced.
-
-    Runs of 13 to 19 digits are card numbers if their check digit is right.
-    """
-    for name, pattern, mark in MASKS:
-        if name == "phone":
-            text = _without_cards(text)
-        text = F.regexp_replace(text, pattern, mark)
-    return text
-
-
-def _without_cards(text: Column) -> Column:
-    runs = F.array_distinct(F.regexp_extract_all(text, F.lit(_CARD_LIKE), F.lit(0)))
-    cards = F.filter(runs, lambda run: F.call_function("luhn_check", F.regexp_replace(run, "[ -]", "")))
-    # Longest first: a shorter number may be part of a longer one.
-    ordered = F.array_sort(F.transform(cards, lambda c: F.struct((-F.length(c)).alias("n"), c.alias("c"))))
-    return F.aggregate(ordered, text, lambda t, c: F.replace(t, c["c"], F.lit(_CARD)))
-
-
-def masked_texts(texts: DataFrame, key: str) -> DataFrame:
-    """Masked text per row and the number of marks of each kind put in."""
-    covered = texts.select(key, masked(F.col("text")).alias("masked_text"))
-    counts = [
-        F.regexp_count("masked_text", F.lit(mark.replace("[", r"\[").replace("]", r"\]"))).cast("bigint").alias(name)
-        for name, mark in (("secrets", "[secret]"), ("emails", "[email]"), ("addresses", "[address]"), ("cards", _CARD), ("phones", "[phone]"))
-    ]
-    return covered.select(key, "masked_text", *counts)
-
-
 def private_log(log: DataFrame, key: bytes) -> DataFrame:
     """Request log with actors replaced by keyed hashes."""
     return log.select("id", "at", "system", "kind", pseudonym(F.col("actor"), key).alias("actor_hash"))

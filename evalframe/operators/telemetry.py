@@ -4,19 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalframe.functions import fixed_values as fixed
 from evalframe.functions.times import iso_utc, micros, parse_iso
-from evalframe.operators.ordered import TARGET_ROWS, last_known, next_time, with_chunks
+from evalframe.operators.ordered import TARGET_ROWS, last_known, next_time
 from evalframe.session import shared_path
 
-_NEVER = np.iinfo(np.int64).min
-
-
 def activity_snapshot(commits: DataFrame, asof: Column, days: int = fixed.ACTIVITY_WINDOW_DAYS) -> DataFrame:
     """Commits in all, commits in the trailing window, and the newest commit per system."""
     since = asof - F.expr(f"INTERVAL {days} DAYS")
@@ -61,51 +56,61 @@ def pagination_totals(pages: DataFrame) -> DataFrame:
     )
 
 
-def harvest(pages: DataFrame) -> DataFrame:
-    """One metrics row per system out of its repo, latest and recent pages.
-
-    The harvest has failed (``ok`` false) when a page is missing, is not JSON, is not of
-    the expected shape, or holds a count of another type.
+def parsed_pages(pages: DataFrame, *keys: Column) -> DataFrame:
+    """Each page's content in columns: ``repo`` of a repository page, ``total`` and ``newest`` of
+    a listing. All are null for a page that is not JSON or not of the expected shape.
     """
     kind, listing = F.col("kind"), F.col("kind").isin("latest", "recent")
     # Each body is parsed once per row, into columns, before rows meet.
     repo = F.from_json("body", "stargazers_count bigint, language string, _broken string", {"columnNameOfCorruptRecord": "_broken"})
-    parsed = pages.select(
-        "system", "kind", "link", "body",
-        F.when(kind == "repo", repo).alias("repo"),
-        F.when(listing, F.json_array_length("body")).alias("length"),
-    ).select(
-        "system", "kind", "length",
-        F.when(F.col("repo").isNotNull() & F.col("repo._broken").isNull(), F.col("repo")).alias("repo"),
-        F.when(F.col("length").isNotNull(), F.coalesce(_last_page(F.col("link")), F.col("length").cast("bigint"))).alias("total"),
+    return pages.select(
+        "system", "kind", "link", "body", *keys,
+        F.when(kind == "repo", repo).alias("_repo"),
+        F.when(listing, F.json_array_length("body")).alias("_length"),
         F.when(kind == "latest", F.get_json_object("body", "$[0].commit.author.date")).alias("newest"),
-    )
-    gathered = parsed.groupBy("system").agg(
-        F.max("repo.stargazers_count").alias("stars"),
-        F.max("repo.language").alias("language"),
-        F.max(F.when(kind == "latest", F.col("total"))).alias("total"),
-        F.max(F.when(kind == "recent", F.col("total"))).alias("recent"),
-        F.max("newest").alias("last_commit_at"),
-        F.count_if(F.col("repo").isNotNull()).alias("_repo"),
-    )
-    ok = (F.col("_repo") > 0) & F.col("total").isNotNull() & F.col("recent").isNotNull()
+    ).drop("body").withColumns({
+        "repo": F.when(F.col("_repo").isNotNull() & F.col("_repo._broken").isNull(), F.struct("_repo.stargazers_count", "_repo.language")),
+        "total": F.when(F.col("_length").isNotNull(), F.coalesce(_last_page(F.col("link")), F.col("_length").cast("bigint"))),
+    }).drop("link", "_repo", "_length")
+
+
+def metrics_of(gathered: DataFrame, *keys: str) -> DataFrame:
+    """The metrics row of harvests with ``repo, total, recent, newest``.
+
+    The harvest has failed (``ok`` false) when a page is missing, is not JSON, is not of
+    the expected shape, or holds a count of another type.
+    """
+    ok = F.col("repo").isNotNull() & F.col("total").isNotNull() & F.col("recent").isNotNull()
 
     def metric(name: str, value: Column) -> Column:
         return F.when(ok, capped(F.lit(name), value)).otherwise(F.lit(0).cast("bigint")).alias(name)
 
-    language = F.coalesce(F.nullif(F.col("language"), F.lit("")), F.lit(fixed.UNKNOWN))
+    language = F.coalesce(F.nullif(F.col("repo.language"), F.lit("")), F.lit(fixed.UNKNOWN))
     return gathered.select(
-        "system",
+        *keys,
         ok.alias("ok"),
         F.when(ok, "operational").otherwise("degraded").alias("status"),
         metric("commits_30d", F.col("recent")),
         metric("commits_total", F.col("total")),
-        metric("repo_stars", F.coalesce("stars", F.lit(0).cast("bigint"))),
+        metric("repo_stars", F.coalesce("repo.stargazers_count", F.lit(0).cast("bigint"))),
         F.when(ok, language).otherwise(fixed.UNKNOWN).alias("primary_language"),
-        F.when(ok, F.col("last_commit_at")).alias("last_commit_at"),
+        F.when(ok, F.col("newest")).alias("last_commit_at"),
     )
 
 
+def harvest(pages: DataFrame) -> DataFrame:
+    """One metrics row per system out of its repo, latest and recent pages, one of each.
+
+    Pages of several harvests are put together by ``harvests.assemble``.
+    """
+    only = lambda kind, value: F.max(F.when(F.col("kind") == kind, F.col(value)))
+    gathered = parsed_pages(pages).groupBy("system").agg(
+        F.max("repo").alias("repo"), only("latest", "total").alias("total"), only("recent", "total").alias("recent"),
+        only("latest", "newest").alias("newest"),
+    )
+    return metrics_of(gathered, "system")
+
+
 def with_snapshot(rows: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Add ``lines_of_code`` from the build snapshot where it is above zero."""
     known = snapshot.where(F.col("lines_of_code") > 0).select(
@@ -147,94 +152,6 @@ def resolve_status(observed: DataFrame, fetched_at: str = "at", target_rows: int
     )
 
 
-def _entries(ttl_us: int):
-    """Per chunk of good polls: which poll is its last fetch, for each poll that may be its first."""
-    def summarise(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        at = np.unique(rows["us"].to_numpy())
-        following = np.searchsorted(at, at + ttl_us).tolist()
-        last = list(range(len(at)))
-        for i in range(len(at) - 1, -1, -1):
-            if following[i] < len(at):
-                last[i] = last[following[i]]
-        # A fetch before the chunk is due again less than a lifetime after its first poll.
-        n = int(np.searchsorted(at, at[0] + ttl_us)) + 1
-        return pd.DataFrame({"system": [key[0]], "_chunk": [key[1]], "entries": [at[:n]], "exits": [at[last[:n]]]})
-
-    return summarise
-
-
-def _due(ttl_us: int):
-    """Per system: from when the first good poll of each chunk fetches. One small row per chunk."""
-    def walk(key: tuple, chunks: pd.DataFrame) -> pd.DataFrame:
-        chunks = chunks.sort_values("_chunk")
-        due, told = _NEVER, []
-        for entries, exits in zip(chunks["entries"], chunks["exits"], strict=True):
-            told.append(due)
-            first = int(np.searchsorted(entries, due))
-            if first < len(entries):
-                due = int(exits[first]) + ttl_us
-        return pd.DataFrame({"system": key[0], "_chunk": chunks["_chunk"], "due": told})
-
-    return walk
-
-
-def _classed(ttl_us: int):
-    def judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["us", "id"])
-        due = rows["due"].iloc[0]
-        fetched = None if due == _NEVER else int(due) - ttl_us
-        classes, ages = [], []
-        for us, ok in zip(rows["us"].tolist(), rows["ok"].tolist(), strict=True):
-            age = None if fetched is None else us - fetched
-            if age is not None and age < ttl_us:
-                kind = "hit"
-            elif ok:
-                kind, fetched, age = "refetch", us, 0
-            else:
-                kind = "empty" if age is None else "stale"
-            classes.append(kind)
-            ages.append(age)
-        age_s = pd.Series(ages, index=rows.index, dtype="Int64") // 1_000_000
-        return rows[["system", "at", "id"]].assign(cache_class=classes, data_age_s=age_s)
-
-    return judge
-
-
-def freshness(observed: DataFrame, ttl_seconds: int = fixed.CACHE_TTL_SECONDS, target_rows: int = TARGET_ROWS) -> DataFrame:
-    """Cache class of each observation.
-
-    A poll within the lifetime of the last fetch is a hit: it fetches nothing, renews
-    nothing, and serves data as old as that fetch. A good poll after it fetches; a failed one
-    serves the stale fetch and leaves its time. Where one fetch falls depends on the one
-    before, so keys are cut into time chunks: each chunk tells its last fetch for every
-    possible first one, these small rows are walked per system, and chunks are then judged
-    apart.
-    """
-    ttl_us = ttl_seconds * 1_000_000
-    ok = F.coalesce(F.col("ok"), F.lit(False)).alias("ok")
-    rows = with_chunks(observed.select("system", "at", "id", ok), "system", "at", target_rows).withColumn("us", micros(F.col("at")))
-    system = rows.schema["system"].dataType.simpleString()
-    entries = rows.where("ok").select("system", "_chunk", "us").groupBy("system", "_chunk").applyInPandas(
-        _entries(ttl_us), f"system {system}, _chunk bigint, entries array<bigint>, exits array<bigint>"
-    )
-    # Chunks without a good poll take part too, to learn of the fetch before them.
-    every = rows.select("system", "_chunk").distinct().join(entries, ["system", "_chunk"], "left").withColumns({
-        name: F.coalesce(name, F.array().cast("array<bigint>")) for name in ("entries", "exits")
-    })
-    due = every.groupBy("system").applyInPandas(_due(ttl_us), f"system {system}, _chunk bigint, due bigint")
-    at = rows.schema["at"].dataType.simpleString()
-    number = rows.schema["id"].dataType.simpleString()
-    return rows.join(due, ["system", "_chunk"]).groupBy("system", "_chunk").applyInPandas(
-        _classed(ttl_us), f"system {system}, at {at}, id {number}, cache_class string, data_age_s bigint"
-    )
-
-
-def freshness_report(observed: DataFrame, ttl_seconds: int = fixed.CACHE_TTL_SECONDS) -> DataFrame:
-    return freshness(observed, ttl_seconds).groupBy("system", "cache_class").agg(
-        F.count(F.lit(1)).alias("n"), F.max("data_age_s").alias("max_data_age_s")
-    )
-
-
 def contract_violations(envelopes: DataFrame) -> DataFrame:
     """One row per broken rule of each envelope; a narrow pass, nothing shuffles."""
     def broken(rule: str, when: Column) -> Column:

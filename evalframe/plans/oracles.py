@@ -89,6 +89,38 @@ harvested AS (
          {_capped("'lines_of_code'", "lines_of_code")} AS lines_of_code
   FROM joined j LEFT JOIN loc ON j.system = loc.system)"""
 
+_CARRIED = """last_value(CASE WHEN ok THEN {'at': harvested_at, 'd': commits_30d, 't': commits_total, 's': repo_stars,
+                                'l': primary_language, 'c': last_commit_at} END IGNORE NULLS) OVER (
+           PARTITION BY system ORDER BY harvested_at, harvest_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+_SHOWN = """CASE WHEN ok THEN 'operational' ELSE 'degraded' END AS status, coalesce(g.d, 0) AS commits_30d, coalesce(g.t, 0) AS commits_total,
+         coalesce(g.s, 0) AS repo_stars, coalesce(g.l, 'Unknown') AS primary_language, g.c AS last_commit_at, g.at AS last_good_at"""
+_LANGUAGE = "CASE WHEN k < 20 THEN 'Unknown' WHEN k < 60 THEN 'Go' ELSE 'Python' END"
+
+# Three pages per event; each repository page begins a harvest and takes what follows it within 12 s.
+_SERVED_METRICS = f"""ev AS (
+  SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(user_id % 20 AS BIGINT) AS system FROM events),
+fetched AS (
+  SELECT system, event_id * 3 AS id, 'repo' AS kind, ts AS "at", event_type <> 'error' AS good,
+         CAST(floor(value * 1000) AS BIGINT) AS stars, {_LANGUAGE} AS language, CAST(NULL AS BIGINT) AS total, CAST(NULL AS VARCHAR) AS newest
+  FROM ev
+  UNION ALL SELECT system, event_id * 3 + 1, 'latest', ts + INTERVAL 2 SECOND, FALSE, NULL, NULL, event_id + 2, strftime(ts, {_ISO}) FROM ev
+  UNION ALL SELECT system, event_id * 3 + 2, 'recent', ts + INTERVAL 4 SECOND, FALSE, NULL, NULL, k, NULL FROM ev WHERE event_type <> 'signup'),
+begun AS (
+  SELECT *, last_value(CASE WHEN kind = 'repo' THEN {{'at': "at", 'id': id}} END IGNORE NULLS) OVER (
+           PARTITION BY system ORDER BY "at", id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h
+  FROM fetched),
+put AS (
+  SELECT system, h.at AS harvested_at, h.id AS harvest_id, bool_or(good) AS repo_ok, max(stars) AS stars, max(language) AS language,
+         max_by(total, ("at", id)) FILTER (kind = 'latest') AS total, max_by(newest, ("at", id)) FILTER (kind = 'latest') AS newest,
+         max_by(total, ("at", id)) FILTER (kind = 'recent') AS recent
+  FROM begun WHERE h IS NOT NULL AND epoch_us("at") - epoch_us(h.at) <= 12000000 GROUP BY 1, 2, 3),
+judged AS (
+  SELECT system, harvested_at, harvest_id, repo_ok AND total IS NOT NULL AND recent IS NOT NULL AS ok,
+         {_capped("'commits_30d'", "recent")} AS commits_30d, {_capped("'commits_total'", "total")} AS commits_total,
+         {_capped("'repo_stars'", "stars")} AS repo_stars, language AS primary_language, newest AS last_commit_at
+  FROM put),
+carried AS (SELECT system, harvested_at, harvest_id, ok, {_CARRIED} AS g FROM judged)"""
+
 _CASES = """cases AS (
   SELECT 'chat' AS dataset_id, a.conv_id * 4294967296 + a.turn AS case_id,
          CASE WHEN a.turn <= 1 THEN 'opening' ELSE 'follow_up' END AS slice, a.text AS input, b.text AS expected
@@ -236,20 +268,41 @@ def _millionths(value: str) -> str:
     return f"CAST(CAST({value} AS DECIMAL(24,6)) * 1000000 AS BIGINT)"
 
 
-_MASKED = r"""regexp_replace(list_reduce(list_sort(list_filter(list_distinct(regexp_extract_all(t, '\b[0-9]([ -]?[0-9]){12,18}\b')),
-    lambda m: list_sum(list_transform(range(1, length(regexp_replace(m, '[ -]', '', 'g')) + 1),
-      lambda i: CAST(substr(reverse(regexp_replace(m, '[ -]', '', 'g')), i, 1) AS INTEGER) * (CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END)
-                - CASE WHEN i % 2 = 0 AND CAST(substr(reverse(regexp_replace(m, '[ -]', '', 'g')), i, 1) AS INTEGER) > 4 THEN 9 ELSE 0 END)) % 10 = 0)),
-    lambda a, m: replace(a, m, '[card]'), t),
-  '\+[0-9]([ ().-]*[0-9])+|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}\b|\b[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}\b', '[phone]', 'g')"""
-_SECRETS = (
-    r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+(\.[A-Za-z0-9_-]*)?|\b(AKIA|ASIA)[0-9A-Z]{16}\b"
-    r"|\b(ghp|gho|ghs|sk|pk|xoxa|xoxb|xoxp)[_-][A-Za-z0-9_-]+|(?i:\bbearer +[a-z0-9._~+/=-]+)"
-    r"""|(?i:(token|secret|password|passwd|api_?key|access_?key) ?[=:] ?("[^"]*"|''[^'']*''|[^ \t\n"'',;]+))"""
+# Masks as spans: one pattern finds all, each span is told by the first kind that it is as a whole.
+_TOKEN, _HEX = "[A-Za-z0-9_-]", "[0-9A-Fa-f]{1,4}"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_SPAN_KINDS = {
+    "secret": rf"(?:{_TOKEN}*-)?\beyJ{_TOKEN}+\.{_TOKEN}+(?:\.{_TOKEN}*)?|\b(?:AKIA|ASIA)[0-9A-Z]{{16}}\b"
+    rf"|\b(?:ghp|gho|ghs|sk|pk|xoxa|xoxb|xoxp)[_-]{_TOKEN}+|(?i:\bbearer +[a-z0-9._~+/=-]+)"
+    r"""|(?i:(?:token|secret|password|passwd|api_?key|access_?key)["'']?[ \t]*[=:][ \t]*(?:"[^"]*"|''[^'']*''|[^ \t\n"'',;]+))""",
+    "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}.-]+\.\p{L}\p{L}+",
+    "address": rf"\b{_OCTET}(?:\.{_OCTET}){{3}}\b|\b(?:{_HEX}:){{7}}{_HEX}\b|\b(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}\b|::{_HEX}(?::{_HEX}){{0,6}}\b",
+    "card": r"\b[0-9](?:[ -]?[0-9]){12,18}\b",
+}
+_PHONE = (
+    r"\+[0-9][0-9 ().-]*[0-9]|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}\b|\b[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}\b"
+    r"|\b0[0-9]{2,4}[ .-][0-9]{3,4}[ .-][0-9]{3,4}\b|\(0[0-9]{2,4}\) ?[0-9]{3,4}[ .-]?[0-9]{3,4}\b"
 )
-_PRIVATE = rf"""regexp_replace(regexp_replace(regexp_replace(text, '{_SECRETS}', '[secret]', 'g'),
-    '[\p{{L}}\p{{N}}._%+-]+@[\p{{L}}\p{{N}}.-]+\.\p{{L}}\p{{L}}+', '[email]', 'g'),
-    '\b(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){{3}}\b', '[address]', 'g')"""
+_SPAN = "|".join(f"(?:{pattern})" for pattern in _SPAN_KINDS.values())
+_DIGIT = "CAST(substr(reverse(regexp_replace(s, '[ -]', '', 'g')), i, 1) AS INTEGER)"
+_LUHN = f"""list_sum(list_transform(range(1, length(regexp_replace(s, '[ -]', '', 'g')) + 1),
+      lambda i: {_DIGIT} * (CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END) - CASE WHEN i % 2 = 0 AND {_DIGIT} > 4 THEN 9 ELSE 0 END)) % 10 = 0"""
+_WHOLE = " ".join(
+    rf"WHEN regexp_matches(s, '\A(?:{_SPAN_KINDS[name]})\z') THEN {told}"
+    for name, told in (("secret", "'secret'"), ("email", "'email'"), ("address", "'address'"), ("card", f"CASE WHEN {_LUHN} THEN 'card' ELSE 'run' END"))
+)
+_SPANS = rf"""found AS (
+  SELECT doc_id, text, regexp_split_to_array(text, '{_SPAN}') AS gaps,
+         list_transform(regexp_extract_all(text, '{_SPAN}'), lambda s: {{'kind': CASE {_WHOLE} END, 's': s}}) AS spans
+  FROM documents),
+marked AS (
+  SELECT *, list_transform(spans, lambda x: CASE x.kind WHEN 'run' THEN x.s ELSE '[' || x.kind || ']' END) AS marks FROM found),
+cut AS (
+  SELECT *, array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(marks[i], '')), '') AS t FROM marked)"""
+
+
+def _spans_of(kind: str) -> str:
+    return f"CAST(len(list_filter(spans, lambda x: x.kind = '{kind}')) AS BIGINT)"
 
 
 def _silent(seconds: int) -> str:
@@ -263,10 +316,6 @@ _INNER = (b"evalframe-demonstration-key".ljust(64, b"\0")).translate(bytes(x ^ 0
 _OUTER = (b"evalframe-demonstration-key".ljust(64, b"\0")).translate(bytes(x ^ 0x5C for x in range(256))).hex()
 
 
-def _marks(mark: str) -> str:
-    return f"CAST((length(masked_text) - length(replace(masked_text, '{mark}', ''))) // {len(mark)} AS BIGINT)"
-
-
 _WORKLOAD = f"""WITH {_LOG}
 SELECT system, strftime("at", '%Y-%m-%d') AS day, count(*) AS requests,
        count(*) FILTER (WHERE kind = 'error') AS errors,
@@ -310,6 +359,10 @@ FROM harvested""",
 loc AS (SELECT system, CAST(sum(lines) AS BIGINT) AS lines_of_code FROM counted GROUP BY system HAVING sum(lines) > 0)
 SELECT served.*, {_capped("'lines_of_code'", "lines_of_code")} AS lines_of_code
 FROM served LEFT JOIN loc ON served.system = loc.system""",
+    "t5_served_metrics": f"""WITH {_SERVED_METRICS}, {_SOURCE_FILES},
+loc AS (SELECT system, CAST(sum(lines) AS BIGINT) AS lines_of_code FROM counted GROUP BY system HAVING sum(lines) > 0)
+SELECT c.system, harvested_at, harvest_id, {_SHOWN}, {_capped("'lines_of_code'", "lines_of_code")} AS lines_of_code
+FROM carried c LEFT JOIN loc ON c.system = loc.system""",
     "t6_cache_freshness": f"""WITH RECURSIVE {_OBSERVED},
 good AS (SELECT system, "at", min(id) AS id FROM observed WHERE ok GROUP BY system, "at"),
 fetched AS (
@@ -461,6 +514,16 @@ SELECT system, current, previous, current - previous AS change,
 FROM counted""",
     "s1_stream_ingest": f"WITH {_OBSERVED} SELECT * FROM observed",
     "s2_last_known_good": f"WITH {_RESOLVED} SELECT * FROM served",
+    "s2_served_metrics": f"""WITH harvests AS (
+  SELECT CAST(user_id % 20 AS BIGINT) AS system, ts AS harvested_at, event_id AS harvest_id, event_type NOT IN ('error', 'signup') AS ok,
+         CAST(json_extract_string(props, '$.k') AS BIGINT) AS commits_30d, event_id + 2 AS commits_total,
+         CAST(floor(value * 1000) AS BIGINT) AS repo_stars, event_type AS primary_language, strftime(ts, {_ISO}) AS last_commit_at
+  FROM events),
+carried AS (SELECT system, harvested_at, harvest_id, ok, {_CARRIED} AS g FROM harvests)
+SELECT system, harvested_at AS "at", harvest_id AS id, {_SHOWN} FROM carried""",
+    "s3_silent_now": f"""WITH {_OBSERVED}, newest AS (SELECT system, max("at") AS last_seen FROM observed GROUP BY system)
+SELECT system, last_seen, (SELECT max("at") FROM observed) AS raised_at FROM newest
+WHERE epoch_us((SELECT max("at") FROM observed)) - epoch_us(last_seen) > 600 * 1000000::BIGINT""",
     "s3_offline_gaps": _silent(7_200),
     "s3_offline_alerts": _silent(600),
     "s4_latest_per_system": f"""WITH {_OBSERVED},
@@ -474,6 +537,7 @@ FROM polls LEFT JOIN goods ON goods.system = polls.system AND goods.r = 1 WHERE
         "SELECT *, time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01 00:00:00') - INTERVAL 12 HOUR FROM events", 24),
     "s5_session_counters": _sessions(False),
     "s5_session_stream": _sessions(True),
+    "s5_session_updates": _sessions(False),
     "e1_load_cases": f"""WITH {_CASES},
 formats AS (SELECT 'json' AS format UNION ALL SELECT 'csv')
 SELECT format, FALSE AS quarantined, dataset_id, case_id, slice, input, expected, NULL AS raw FROM cases CROSS JOIN formats
@@ -600,10 +664,10 @@ SELECT id, "at", system, kind, sha256(from_hex('{_OUTER}') || from_hex(sha256(fr
     "e14_private_counts": f"""WITH {_LOG}
 SELECT system, kind, strftime("at", '%Y-%m-%d') AS day, count(*) AS requests, count(DISTINCT actor) AS actors
 FROM log GROUP BY 1, 2, 3 HAVING count(DISTINCT actor) >= 3""",
-    "e14_masked_text": f"""WITH first AS (SELECT doc_id, {_PRIVATE} AS t FROM documents),
-covered AS (SELECT doc_id, {_MASKED} AS masked_text FROM first)
-SELECT doc_id, masked_text, {_marks("[secret]")} AS secrets, {_marks("[email]")} AS emails, {_marks("[address]")} AS addresses,
-       {_marks("[card]")} AS cards, {_marks("[phone]")} AS phones FROM covered""",
+    "e14_masked_text": f"""WITH {_SPANS}
+SELECT doc_id, regexp_replace(t, '{_PHONE}', '[phone]', 'g') AS masked_text,
+       {_spans_of("secret")} AS secrets, {_spans_of("email")} AS emails, {_spans_of("address")} AS addresses,
+       {_spans_of("card")} AS cards, CAST(len(regexp_extract_all(t, '{_PHONE}')) AS BIGINT) AS phones FROM cut""",
     "e_chain": f"""WITH {_MATRIX},
 said AS (SELECT case_id, slice, variant_id, replace(trim(prompt, ' '), chr(10), ' / ') AS o FROM matrix WHERE variant_id <> 'tagged'),
 scored AS (

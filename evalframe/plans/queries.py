@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evalframe.functions import rubrics
 from evalframe.functions.fixed_values import ACTIVITY_WINDOW_DAYS
 from evalframe.functions.times import instant, parse_iso
-from evalframe.operators import compare, evaluation, governance, reporting, telemetry
+from evalframe.operators import compare, evaluation, freshness, governance, harvests, masking, reporting, telemetry
 from evalframe.session import configure, shared_path
 from evalframe.sources import bindings, cases
 from evalframe.streaming import counters, observations, source
@@ -72,8 +72,14 @@ def t5_status_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.with_snapshot(resolved, telemetry.snapshot_lines(bindings.source_files(spark, sf_dir)))
 
 
+def t5_served_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole metrics row served after every harvest."""
+    served = harvests.serve(harvests.assemble(bindings.harvest_pages(spark, sf_dir)))
+    return harvests.with_lines(served, telemetry.snapshot_lines(bindings.source_files(spark, sf_dir)))
+
+
 def t6_cache_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telemetry.freshness_report(bindings.observations(spark, sf_dir))
+    return freshness.freshness_report(bindings.observations(spark, sf_dir))
 
 
 def t7_contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,6 +177,15 @@ def s2_last_known_good(spark: SparkSession, sf_dir: str) -> DataFrame:
     return served.withColumns({name: F.col(name).cast("timestamp_ntz") for name in ("at", "last_good_at")})
 
 
+def s2_served_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole metrics rows of a stream of harvests, one per event."""
+    out = shared_path(spark, "served-metrics")
+    stream = source.harvest_stream(_events(spark, sf_dir))
+    source.run_to_end(observations.last_good_metrics(stream, f"{out}/rows", f"{out}/state"), f"{out}/checkpoint")
+    served = observations.served_rows(spark, f"{out}/rows")
+    return served.withColumns({name: F.col(name).cast("timestamp_ntz") for name in ("at", "last_good_at")})
+
+
 def s3_offline_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.offline_gaps(bindings.observations(spark, sf_dir), MISSED_POLLS, instant(OBSERVED_UNTIL))
 
@@ -183,6 +198,15 @@ def s3_offline_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({name: F.col(name).cast("timestamp_ntz") for name in ("last_seen", "back_at")})
 
 
+def s3_silent_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silences told while they last, by the stream's own clock."""
+    out = shared_path(spark, "silent-now")
+    stream = source.observation_stream(_events(spark, sf_dir))
+    source.run_to_end(observations.offline_alerts(stream, f"{out}/rows", f"{out}/state", ALERT_POLLS), f"{out}/checkpoint")
+    found = observations.raised_alerts(spark, f"{out}/rows")
+    return found.withColumns({name: F.col(name).cast("timestamp_ntz") for name in ("last_seen", "raised_at")})
+
+
 def s4_latest_per_system(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_path(spark, "latest")
     stream = source.observation_stream(_events(spark, sf_dir))
@@ -196,7 +220,7 @@ def _streamed_counters(spark: SparkSession, sf_dir: str, window, purpose: str) -
     rows = source.workload_stream(_events(spark, sf_dir))
     counted = counters.counters(rows, window, ["kind"], "1 hour")
     source.run_to_end(counters.persist_updates(counted, f"{out}/rows"), f"{out}/checkpoint")
-    return counters.current_counters(spark, f"{out}/rows", ["kind"])
+    return counters.current_counters(spark, f"{out}/rows", counted)
 
 
 def s5_tumbling_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,6 +244,15 @@ def s5_session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/rows")
 
 
+def s5_session_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sessions of the stream, those still open among them."""
+    out = shared_path(spark, "session-updates")
+    keys = ["actor", "kind"]
+    rows = source.workload_stream(_events(spark, sf_dir))
+    source.run_to_end(counters.session_updates(rows, f"{out}/rows", "12 hours", keys, "1 hour"), f"{out}/checkpoint")
+    return counters.all_sessions(spark, f"{out}/rows", keys, "actor bigint, kind string")
+
+
 # Evaluation
 
 def _case_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -444,7 +477,7 @@ def e14_private_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def e14_masked_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return governance.masked_texts(bindings.table(spark, sf_dir, "documents"), "doc_id")
+    return masking.masked_texts(bindings.table(spark, sf_dir, "documents"), "doc_id")
 
 
 def e15_workload_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -462,12 +495,13 @@ def e15_persisted_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTERED = (
     t1_activity_snapshot, t2_safety_clamp, t3_pagination_total, t4_harvest_envelope, t4_harvest_json,
-    t5_status_resolution, t6_cache_freshness, t7_contract_violations, t8_lines_of_code,
+    t5_status_resolution, t5_served_metrics, t6_cache_freshness, t7_contract_violations, t8_lines_of_code,
     t9_primary_language, t9_status_board,
     f1_utilisation, f2_age_histogram, f3_latency_bands, f3_band_histogram, f4_metric_cards,
     f5_series_normalised, f6_daily_trend, f7_trend_direction,
-    s1_stream_ingest, s2_last_known_good, s3_offline_gaps, s3_offline_alerts, s4_latest_per_system,
-    s5_tumbling_counters, s5_sliding_counters, s5_session_counters, s5_session_stream,
+    s1_stream_ingest, s2_last_known_good, s2_served_metrics, s3_offline_gaps, s3_offline_alerts, s3_silent_now,
+    s4_latest_per_system,
+    s5_tumbling_counters, s5_sliding_counters, s5_session_counters, s5_session_stream, s5_session_updates,
     e1_load_cases, e2_case_violations, e3_variant_matrix, e4_run_outputs, e5_rubric_scores,
     e5_value_rubrics, e5_custom_rubric, e6_composite_gate, e_chain, e7_run_summary, e8_compare_runs, e8_class_counts,
     e9_export_regressions, e10_run_history, e11_leaderboard, e11_pairwise_win_rate,

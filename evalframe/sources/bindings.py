@@ -174,6 +174,35 @@ def response_pages(spark: SparkSession, sf_dir: str, asof, window_days: int) ->
     return totals.select("system", page.alias("page")).select("system", "page.*")
 
 
+def harvest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upstream pages as they were fetched: each event is a harvest, of three calls in turn.
+
+    Error events got a broken repository page; after a signup the last call timed out.
+    """
+    k = F.col("k")
+    shift = lambda seconds: F.col("ts") + F.expr(f"INTERVAL {seconds} SECONDS")
+    language = F.when(k < 10, F.lit("null")).when(k < 20, F.lit('""')).when(k < 60, F.lit('"Go"')).otherwise(F.lit('"Python"'))
+    stars = F.floor(F.col("value") * 1_000).cast("string")
+    repo = F.concat(F.lit('{"stargazers_count":'), stars, F.lit(',"language":'), language, F.lit("}"))
+    commit = F.concat(F.lit('[{"commit":{"author":{"date":"'), iso_utc(F.col("ts")), F.lit('"}}}]'))
+    last = lambda n: F.concat(F.lit("<https://host/commits?per_page=1&page="), n.cast("string"), F.lit('>; rel="last"'))
+    nothing = F.lit(None).cast("string")
+
+    def page(call: int, kind: str, link: Column, body: Column) -> Column:
+        return F.struct(
+            (F.col("event_id") * 3 + call).alias("id"), F.lit(kind).alias("kind"), link.alias("link"), body.alias("body"),
+            shift(call * 2).alias("fetched_at"),
+        )
+
+    calls = F.array(
+        page(0, "repo", nothing, F.when(F.col("event_type") == "error", F.lit('{"stargazers_count":')).otherwise(repo)),
+        page(1, "latest", last(F.col("event_id") + 2), commit),
+        F.when(F.col("event_type") != "signup", page(2, "recent", F.when(k > 1, last(k)), F.when(k > 0, commit).otherwise(F.lit("[]")))),
+    )
+    events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return events.select(_system_of_user().alias("system"), F.explode(calls).alias("p")).where("p IS NOT NULL").select("system", "p.*")
+
+
 def turn_id() -> Column:
     """One number for a conversation and a turn; turns stay below 2**32."""
     return F.shiftleft(F.col("conv_id").cast("bigint"), 32) + F.col("turn")

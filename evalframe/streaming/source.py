@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from evalframe.functions.fixed_values import POLL_SECONDS
+from evalframe.functions.times import iso_utc
 
 EVENT_SCHEMA = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -33,6 +34,18 @@ def observation_stream(events: DataFrame) -> DataFrame:
     )
 
 
+def harvest_stream(events: DataFrame) -> DataFrame:
+    """Each event as a harvest that has been put together, good or failed."""
+    return events.select(
+        F.pmod("user_id", F.lit(20)).cast("bigint").alias("system"), F.col("ts").alias("at"), F.col("event_id").alias("id"),
+        (~F.col("event_type").isin("error", "signup")).alias("ok"),
+        F.get_json_object("props", "$.k").cast("bigint").alias("commits_30d"),
+        (F.col("event_id") + 2).alias("commits_total"),
+        F.floor(F.col("value") * 1_000).cast("bigint").alias("repo_stars"),
+        F.col("event_type").alias("primary_language"), iso_utc(F.col("ts")).alias("last_commit_at"),
+    )
+
+
 def workload_stream(events: DataFrame) -> DataFrame:
     return events.select(
         F.pmod("user_id", F.lit(20)).cast("bigint").alias("system"),

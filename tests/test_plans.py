@@ -14,9 +14,9 @@ from evalframe.sources import bindings
 ENTRY = importlib.import_module("__spark_entry__")
 QUERIES = {query.__name__: ENTRY.queries()[query.__name__] for query in registered.REGISTERED}
 SF_DIR = "/root/testdata/sf0.001"
-STREAMED = {"s1_stream_ingest", "s2_last_known_good", "s3_offline_alerts", "s4_latest_per_system", "s5_tumbling_counters",
-            "s5_sliding_counters", "s5_session_stream"}
-PYTHON = {"e4_run_outputs", "e5_custom_rubric", "t6_cache_freshness"}
+STREAMED = {"s1_stream_ingest", "s2_last_known_good", "s2_served_metrics", "s3_offline_alerts", "s3_silent_now",
+            "s4_latest_per_system", "s5_tumbling_counters", "s5_sliding_counters", "s5_session_stream", "s5_session_updates"}
+PYTHON = {"e4_run_outputs", "e5_custom_rubric"}
 # A query that ends in a handful of rows on purpose: one row per variant.
 SINGLE = {"e11_leaderboard"}
 

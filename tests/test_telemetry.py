@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalframe.functions.times import instant
-from evalframe.operators import telemetry
+from evalframe.operators import freshness, harvests, telemetry
 from evalframe.operators.ordered import last_known, next_time, with_chunks
 
 T0 = datetime(2026, 4, 28, 12, 0, 0)
@@ -89,6 +89,63 @@ def test_harvest_and_envelope(spark):
     assert told[1]["generated_at"] == "2026-04-28T12:00:00Z" and told[1]["schema_version"] == 1
 
 
+PAGES = "system bigint, id bigint, kind string, link string, body string, fetched_at timestamp_ntz"
+COMMIT = '[{"commit":{"author":{"date":"2026-04-25T08:00:00Z"}}}]'
+
+
+def _last(n):
+    return f'<https://h/c?per_page=1&page=2>; rel="next", <https://h/c?per_page=1&page={n}>; rel="last"'
+
+
+def _harvest(system, begin, first_id, stars, total, language="Go"):
+    """The three pages of one harvest, two seconds apart."""
+    repo = '{"stargazers_count":%s,"language":"%s"}' % (stars, language)
+    return [(system, first_id, "repo", None, repo, at(begin)), (system, first_id + 1, "latest", _last(total), COMMIT, at(begin + 2)),
+            (system, first_id + 2, "recent", None, COMMIT, at(begin + 4))]
+
+
+def _served(spark, pages, **more):
+    frame = spark.createDataFrame(pages, PAGES)
+    return harvests.serve(harvests.assemble(frame, **more), **more).orderBy("system", "harvested_at", "harvest_id").collect()
+
+
+@pytest.mark.parametrize("target", [1, 4, 1_000])
+def test_harvests_stay_apart_and_failures_serve_the_last_good_row(spark, target):
+    pages = _harvest(1, 0, 1, 50, 7, "Rust") + _harvest(1, 600, 11, 40, 9, "Ada")
+    # A failed first harvest, a good one of 11 stars and 99 commits, then three failures.
+    pages += [(2, 1, "repo", None, "{broken", at(0)), (2, 2, "latest", None, COMMIT, at(2)), (2, 3, "recent", None, COMMIT, at(4))]
+    pages += _harvest(2, 400, 4, 11, 99)
+    pages += [(2, 20, "repo", None, '{"stargazers_count":5}', at(800))]
+    pages += [(2, 30, "repo", None, '{"stargazers_count":5}', at(900)), (2, 31, "latest", _last(3), COMMIT, at(902)),
+              (2, 32, "recent", None, '{"message":"slow down"}', at(904))]
+    pages += [(2, 40, "repo", None, "[]", at(1_000)), *_harvest(2, 1_000, 41, 6, 6)[1:]]
+    got = [r.asDict() for r in _served(spark, pages, target_rows=target)]
+    assert [(r["repo_stars"], r["commits_total"], r["primary_language"], r["status"]) for r in got if r["system"] == 1] == [
+        (50, 7, "Rust", "operational"), (40, 9, "Ada", "operational")]
+    two = [r for r in got if r["system"] == 2]
+    assert [(r["status"], r["repo_stars"], r["commits_total"], r["primary_language"]) for r in two] == [
+        ("degraded", 0, 0, "Unknown"), ("operational", 11, 99, "Go"), *[("degraded", 11, 99, "Go")] * 3]
+    assert [r["last_good_at"] for r in two] == [None] + [at(400)] * 4
+    assert two[0]["last_commit_at"] is None and two[4]["last_commit_at"] == "2026-04-25T08:00:00Z"
+
+
+def test_pages_out_of_order_and_retried(spark):
+    pages = _harvest(1, 0, 1, 50, 7)
+    pages += [(1, 4, "latest", _last(8), COMMIT, at(6)), (1, 5, "latest", _last(9), COMMIT, at(13)), (1, 0, "latest", _last(5), COMMIT, at(-1))]
+    (row,) = _served(spark, pages[::-1])
+    # The retried page counts, one after twelve seconds does not, nor one before any harvest.
+    assert (row["commits_total"], row["repo_stars"], row["harvest_id"]) == (8, 50, 1)
+    assert _served(spark, []) == []
+
+
+def test_lines_survive_a_failed_harvest(spark):
+    pages = [(1, 1, "repo", None, "{", at(0))]
+    snapshot = spark.createDataFrame([(1, 1_177), (2, 5)], "system bigint, lines_of_code bigint")
+    served = harvests.serve(harvests.assemble(spark.createDataFrame(pages, PAGES)))
+    (row,) = harvests.with_lines(served, snapshot).collect()
+    assert (row["status"], row["commits_total"], row["lines_of_code"]) == ("degraded", 0, 1_177)
+
+
 def test_status_falls_back_to_last_good(spark):
     rows = [
         (1, at(0), 1, False, 5.0), (1, at(1), 2, True, 11.0), (1, at(2), 3, False, 0.0),
@@ -107,39 +164,61 @@ def test_freshness_is_strict(spark):
         (1, at(301), 4, True, 1.0), (1, at(302), 5, True, 1.0), (2, at(0), 6, False, 1.0),
         (3, at(0), 7, True, 1.0), (3, at(60), 8, True, 1.0), (3, at(240), 9, True, 1.0), (3, at(480), 10, True, 1.0),
     ]
-    got = {r["id"]: r for r in telemetry.freshness(spark.createDataFrame(rows, OBSERVED)).collect()}
+    got = {r["id"]: r for r in freshness.freshness(spark.createDataFrame(rows, OBSERVED)).collect()}
     assert [got[i]["cache_class"] for i in range(1, 7)] == ["refetch", "hit", "stale", "refetch", "hit", "empty"]
     assert [got[i]["data_age_s"] for i in range(1, 7)] == [0, 299, 300, 0, 1, None]
     assert [got[i]["cache_class"] for i in range(7, 11)] == ["refetch", "hit", "hit", "refetch"]
     assert got[9]["data_age_s"] == 240
 
 
-@pytest.mark.parametrize("target", [3, 40, 10_000])
-def test_freshness_equals_a_walk(spark, target):
+def _walked(rows, ttl):
+    """Every system's polls walked one after the other."""
+    want, last = {}, {}
+    for system, when, i, ok, _ in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        fetched = last.get(system)
+        age = None if fetched is None else (when - fetched).total_seconds()
+        if age is not None and age < ttl:
+            want[i] = ("hit", int(age))
+        elif ok:
+            want[i], last[system] = ("refetch", 0), when
+        else:
+            want[i] = ("empty", None) if age is None else ("stale", int(age))
+    return want
+
+
+def _fresh(spark, rows, ttl=300):
+    got = freshness.freshness(spark.createDataFrame(rows, OBSERVED), ttl).collect()
+    return {r["id"]: (r["cache_class"], r["data_age_s"]) for r in got}
+
+
+@pytest.mark.parametrize(("span", "fan_bits", "ttl"), [(8, 6, 300), (1, 1, 300), (2, 1, 7), (3, 2, 60), (8, 6, 1)])
+def test_freshness_equals_a_walk(spark, monkeypatch, span, fan_bits, ttl):
+    """Stretches of any length, joined in trees of any width, with one system in a third of the rows."""
     import random
 
-    rng, rows = random.Random(target), []
+    monkeypatch.setattr(freshness, "SPAN", span)
+    monkeypatch.setattr(freshness, "FAN_BITS", fan_bits)
+    rng, rows = random.Random(ttl * span), []
     for i in range(900):
         system = 0 if i % 3 == 0 else rng.randrange(1, 4)
-        rows.append((system, at(rng.choice([i * 30, rng.randrange(0, 9_000)])), i, rng.random() < 0.7, 1.0))
-    want = {}
-    for system in range(4):
-        fetched = None
-        for _, when, i, ok, _ in sorted((r for r in rows if r[0] == system), key=lambda r: (r[1], r[2])):
-            age = None if fetched is None else (when - fetched).total_seconds()
-            if age is not None and age < 300:
-                want[i] = ("hit", int(age))
-            elif ok:
-                want[i], fetched = ("refetch", 0), when
-            else:
-                want[i] = ("empty", None) if age is None else ("stale", int(age))
-    got = telemetry.freshness(spark.createDataFrame(rows, OBSERVED), target_rows=target).collect()
-    assert {r["id"]: (r["cache_class"], r["data_age_s"]) for r in got} == want
+        # Steady polls, bursts, silences over years, equal times, and times before 1970.
+        when = rng.choice([i * 30, rng.randrange(0, 9_000), 5_000, -1_800_000_000 - i, 90_000_000 + rng.randrange(100_000), i * 30.5])
+        rows.append((system, at(when), i, rng.random() < 0.7, 1.0))
+    assert _fresh(spark, rows, ttl) == _walked(rows, ttl)
+
+
+def test_one_system_with_all_rows(spark):
+    """Dense polls never pause for a lifetime, so every fetch depends on the first of all."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(1, at(i * 7 + rng.random() * 6), i, rng.random() < 0.8, 1.0) for i in range(30_000)]
+    assert _fresh(spark, rows) == _walked(rows, 300)
 
 
 def test_steady_polls_fetch_once_a_lifetime(spark):
     rows = [(1, at(30 * i), i, True, 1.0) for i in range(400)]
-    got = telemetry.freshness(spark.createDataFrame(rows, OBSERVED)).where("cache_class = 'refetch'").collect()
+    got = freshness.freshness(spark.createDataFrame(rows, OBSERVED)).where("cache_class = 'refetch'").collect()
     assert sorted(r["id"] for r in got) == list(range(0, 400, 10))
 
 
