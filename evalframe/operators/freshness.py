@@ -4,10 +4,10 @@ A fetch is the first good poll a lifetime or more after the last fetch, so what
 stretch of time depends on its past only through the last fetch before it. Stretches are
 composed as maps from the last fetch before to the last fetch within: a map is a few sorted
 arrays (good polls that may be the first fetch, and the last fetch that follows from each).
-Two maps compose to a map, in any grouping, so they are joined up a tree of time, every node
-from ``FAN`` stretches below it, and the last fetch is handed down again. A system is
-never walked from end to end in one task, and its rows are joined, not windowed, so AQE can
-split a hot system's.
+Maps compose to a map, in any grouping: those of many stretches become one of a period, the few
+of a system's periods tell the last fetch before each, and that is handed down to the stretches.
+A system's polls are never walked from end to end in one task, and its rows are joined, not
+windowed, so AQE can split a hot system's.
 
 Only a first fetch within one lifetime of a stretch's start depends on the past: a later one is
 the first good poll there is. Neighbouring entries with one outcome are merged, so maps shrink
@@ -27,11 +27,9 @@ from evalframe.session import shared_path
 
 #: Lifetimes of the lowest stretch: one array holds the good polls of a system in it.
 SPAN = 8
-#: Stretches joined into one of the next level, as a power of two.
-FAN_BITS = 6
-#: Levels of the tree. Nodes of the highest are handed on in one array per system, a small map
-#: for every 114 days at 300 seconds.
-LEVELS = 3
+#: Stretches of a period, as a power of two. A system has one small map per period in one
+#: array: 52 a year with 300 seconds.
+FAN_BITS = 8
 _MAP = "struct<entries:array<bigint>,exits:array<bigint>,rest:bigint>"
 
 
@@ -74,11 +72,14 @@ def _after(m: Column, last: Column, ttl_us: int) -> Column:
 
 def _fetches(polls: Column, last: Column, ttl_us: int) -> Column:
     """The polls of one stretch that fetch, in order: at most one more than ``SPAN``."""
+    newest = F.try_element_at(polls, F.lit(-1))["us"]
+
     def hop(state: Column, _: Column) -> Column:
         at = _first_from(polls, state["due"], lambda p: p["us"])
-        return _let(F.get(polls, at), lambda p: F.when(p.isNull(), state).otherwise(
-            F.struct((p["us"] + ttl_us).alias("due"), F.concat(state["found"], F.array(p)).alias("found"))
+        fetched = _let(F.get(polls, at), lambda p: F.struct(
+            (p["us"] + ttl_us).alias("due"), F.concat(state["found"], F.array(p)).alias("found")
         ))
+        return F.when(newest >= state["due"], fetched).otherwise(state)
 
     none = F.array().cast("array<struct<us:bigint,id:bigint>>")
     begun = F.struct(F.coalesce(last + ttl_us, F.lit(-(2**63))).alias("due"), none.alias("found"))
@@ -147,17 +148,18 @@ def fetches(observed: DataFrame, ttl_seconds: int = fixed.CACHE_TTL_SECONDS) ->
         F.array_sort(F.collect_list(good)).alias("polls")  # of one system, for SPAN lifetimes
     )
     lowest = _kept(stretches.withColumn("map", _stretch_map(F.col("polls"), F.col("node") * width, ttl_us)), "stretches")
-    levels = [lowest]
-    for _ in range(LEVELS - 1):
-        children = F.array_sort(F.collect_list(F.struct("node", "map")))  # 2**FAN_BITS at most
-        parents = levels[-1].groupBy("system", F.shiftright("node", FAN_BITS).alias("parent")).agg(children.alias("children"))
-        mapped = parents.withColumn("map", _joined_map(F.col("children"), F.shiftleft("parent", FAN_BITS), ttl_us))
-        levels.append(_kept(mapped.withColumnRenamed("parent", "node"), "stretches"))
-    whole = levels[-1].groupBy("system").agg(F.array_sort(F.collect_list(F.struct("node", "map"))).alias("children"))
-    told = whole.select("system", F.explode(_before(F.col("children"), F.lit(None).cast("bigint"), ttl_us)).alias("x")).select("system", "x.*")
-    for level in reversed(levels[1:]):
-        met = level.select("system", "node", "children").join(told, ["system", "node"])
-        told = met.select("system", F.explode(_before(F.col("children"), F.col("last"), ttl_us)).alias("x")).select("system", "x.*")
+    children = F.array_sort(F.collect_list(F.struct("node", "map")))  # 2**FAN_BITS at most
+    periods = lowest.groupBy("system", F.shiftright("node", FAN_BITS).alias("period")).agg(children.alias("children"))
+    mapped = periods.select("system", F.struct(
+        F.col("period").alias("node"), _joined_map(F.col("children"), F.shiftleft("period", FAN_BITS), ttl_us).alias("map")
+    ).alias("_p"))
+    whole = mapped.groupBy("system").agg(F.array_sort(F.collect_list("_p")).alias("periods"))
+    begun = whole.select("system", F.explode(_before(F.col("periods"), F.lit(None).cast("bigint"), ttl_us)).alias("x")).select(
+        "system", F.col("x.node").alias("period"), "x.last"
+    )
+    told = periods.join(begun, ["system", "period"]).select(
+        "system", F.explode(_before(F.col("children"), F.col("last"), ttl_us)).alias("x")
+    ).select("system", "x.*")
     return lowest.select("system", "node", "polls").join(told, ["system", "node"]).select(
         "system", "node", "last", _fetches(F.col("polls"), F.col("last"), ttl_us).alias("fetches")
     )

@@ -13,7 +13,9 @@ and never entered again from within, so the time is in proportion to the text.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,27 +24,47 @@ _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _HEX = "[0-9A-Fa-f]{1,4}"
 _TOKEN = "[A-Za-z0-9_-]"
 _MAIL = r"[\p{L}\p{N}._%+-]"
+_END = "(?![A-Za-z0-9_])"
+
+
+def _alone(first: str) -> str:
+    """``first`` where no word runs into it. The text is compared before the look back, as few
+    places get past that."""
+    return f"{first}(?<![A-Za-z0-9_]{first})"
+
 
 #: Kinds as (name, pattern), in the order in which they win.
 KINDS = (
-    # A signed token, with all of the run it ends; keys by their prefix; named values.
+    # Signed tokens, up to the next one in the same run; keys by their prefix; named values.
     ("secret",
-     rf"(?<!{_TOKEN})(?={_TOKEN}++\.{_TOKEN})(?:{_TOKEN}*-)?eyJ{_TOKEN}++\.{_TOKEN}++(?:\.{_TOKEN}*+)?"
-     rf"|\b(?:AKIA|ASIA)[0-9A-Z]{{16}}\b|\b(?:ghp|gho|ghs|sk|pk|xoxa|xoxb|xoxp)[_-]{_TOKEN}++"
-     r"|(?i:\bbearer ++[a-z0-9._~+/=-]++)"
-     r"|(?i:(?:token|secret|password|passwd|api_?key|access_?key)[\"']?[ \t]*+[=:][ \t]*+"
-     r"(?:\"[^\"]*+\"|'[^']*+'|[^ \t\n\"',;]++))"),
+     rf"{_alone('eyJ')}(?:(?!-eyJ){_TOKEN})++\.{_TOKEN}++(?:\.{_TOKEN}*+)?"
+     rf"|{_alone('A[KS]IA')}[0-9A-Z]{{16}}{_END}"
+     rf"|(?:{_alone('gh[pos]')}|{_alone('[sp]k')}|{_alone('xox[abp]')})[_-]{_TOKEN}++"
+     rf"|{_alone('(?i:bearer)')} ++[A-Za-z0-9._~+/=-]++"
+     r"|(?i:token|secret|passw(?:or)?d|a(?:pi|ccess)_?key)[\"']?[ \t]*+[=:][ \t]*+(?:\"[^\"]*+\"|'[^']*+'|[^ \t\n\"',;]++)"),
     ("email", rf"(?<!{_MAIL}){_MAIL}++@[\p{{L}}\p{{N}}.-]+\.\p{{L}}\p{{L}}++"),
     ("address",
-     rf"\b{_OCTET}(?:\.{_OCTET}){{3}}\b"
-     rf"|(?<![0-9A-Za-z:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|::{_HEX}(?::{_HEX}){{0,6}})(?![0-9A-Za-z:])"),
-    ("card", r"\b[0-9](?:[ -]?[0-9]){12,18}\b"),
+     rf"(?=[0-9]{{1,3}}\.[0-9])(?<![A-Za-z0-9_]){_OCTET}(?:\.{_OCTET}){{3}}{_END}"
+     rf"|(?=[0-9A-Fa-f]{{0,4}}:[0-9A-Fa-f:])(?<![0-9A-Za-z:.])"
+     rf"(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|::{_HEX}(?::{_HEX}){{0,6}})(?![0-9A-Za-z:])"),
+    ("card", rf"{_alone('[0-9]')}(?:[ -]?[0-9]){{12,18}}{_END}"),
 )
 PHONE = (
-    r"\+[0-9][0-9 ().-]*[0-9]|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}\b|\b[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}\b"
-    r"|\b0[0-9]{2,4}[ .-][0-9]{3,4}[ .-][0-9]{3,4}\b|\(0[0-9]{2,4}\) ?[0-9]{3,4}[ .-]?[0-9]{3,4}\b"
+    r"\+[0-9][0-9 ().-]*[0-9]|\((?:[0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|0[0-9]{2,4}\) ?[0-9]{3,4}[ .-]?[0-9]{3,4})" + _END
+    + rf"|{_alone('[0-9]')}(?:[0-9]{{2}}[ .-][0-9]{{3}}[ .-][0-9]{{4}}|(?<=0)[0-9]{{2,4}}[ .-][0-9]{{3,4}}[ .-][0-9]{{3,4}}){_END}"
+)
+_MARK = "\0"
+_COUNTS = {"secret": "secrets", "email": "emails", "address": "addresses", "card": "cards"}
+_KIND_NAMES = tuple(_COUNTS)
+#: One of these is in every secret, in lower case.
+_SECRET_PARTS = (
+    "eyj", "akia", "asia", "ghp", "gho", "ghs", "sk-", "sk_", "pk-", "pk_", "xox", "bearer ", "token", "secret", "passw",
+    "apikey", "api_key", "accesskey", "access_key",
 )
-_ANY = "|".join(f"(?:{pattern})" for _, pattern in KINDS)
+
+
+def _any(*names: str) -> str:
+    return "|".join(f"(?:{pattern})" for name, pattern in KINDS if name in names)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -72,28 +94,51 @@ def _cover(span: Column) -> Column:
     return _let(_kind(span), told)
 
 
-def _spans(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)), _cover)
+def _pieces(text: Column) -> Column:
+    """The text in parts: those at odd places are spans.
+
+    Spans are set off by a character that the text does not hold; a text that holds it is cut at
+    its spans instead, which takes a second search.
+    """
+    every = _any(*_KIND_NAMES)
+    pairs = F.zip_with(F.split(text, every), F.regexp_extract_all(text, F.lit(every), F.lit(0)), lambda gap, span: F.array(gap, span))
+
+    def marked(lower: Column) -> Column:
+        """The costly kinds are only sought in texts that hold a part of them."""
+        found = F
+        secret = reduce(or_, [lower.contains(part) for part in _SECRET_PARTS])
+        for needed, left_out in ((secret & text.contains("@"), ()), (secret, ("email",)), (text.contains("@"), ("secret",))):
+            found = found.when(needed, _set_off(text, left_out))
+        return found.otherwise(_set_off(text, ("secret", "email")))
+
+    return F.when(text.contains(_MARK), F.filter(F.flatten(pairs), lambda x: x.isNotNull())).otherwise(
+        F.split(_let(F.lower(text), marked), _MARK)
+    )
+
+
+def _set_off(text: Column, left_out: Sequence[str]) -> Column:
+    return F.regexp_replace(text, _any(*(n for n in _KIND_NAMES if n not in left_out)), f"{_MARK}$0{_MARK}")
 
 
-def _cut(text: Column, spans: Column) -> Column:
-    gaps = F.split(text, _ANY)
-    pieces = F.zip_with(gaps, spans, lambda gap, span: F.concat(gap, F.coalesce(span["mark"], F.lit(""))))
-    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(pieces, ""))
+def _covered(text: Column) -> Column:
+    plain = lambda x: F.struct(F.lit(None).cast("string").alias("kind"), x.alias("mark"))
+    return F.transform(_pieces(text), lambda x, i: F.when(i % 2 == 1, _cover(x)).otherwise(plain(x)))
+
+
+def _joined(covered: Column) -> Column:
+    return F.array_join(F.transform(covered, lambda x: x["mark"]), "")
 
 
 def masked(text: Column) -> Column:
     """Text with every secret, e-mail address, IP address, card and phone number replaced."""
-    return F.regexp_replace(_let(_spans(text), lambda spans: _cut(text, spans)), PHONE, "[phone]")
+    return F.regexp_replace(_joined(_covered(text)), PHONE, "[phone]")
 
 
 def masked_texts(texts: DataFrame, key: str) -> DataFrame:
     """Masked text per row and the number of spans of each kind."""
-    found = texts.select(key, "text", _spans(F.col("text")).alias("_spans"))
-    n = lambda kind: F.coalesce(F.size(F.filter("_spans", lambda s: s["kind"] == kind)), F.lit(0)).cast("bigint")
-    cut = found.select(key, _cut(F.col("text"), F.col("_spans")).alias("_cut"), *[n(kind).alias(name) for kind, name in (
-        ("secret", "secrets"), ("email", "emails"), ("address", "addresses"), ("card", "cards"))])
-    return cut.select(
-        key, F.regexp_replace("_cut", PHONE, "[phone]").alias("masked_text"), "secrets", "emails", "addresses", "cards",
-        F.coalesce(F.regexp_count("_cut", F.lit(PHONE)), F.lit(0)).cast("bigint").alias("phones"),
-    )
+    found = texts.select(key, _covered(F.col("text")).alias("_covered"))
+    n = lambda kind: F.coalesce(F.size(F.filter("_covered", lambda x: x["kind"] == kind)), F.lit(0)).cast("bigint")
+    cut = found.select(key, _joined(F.col("_covered")).alias("_cut"), *[n(kind).alias(name) for kind, name in _COUNTS.items()])
+    done = cut.withColumn("masked_text", F.regexp_replace("_cut", PHONE, "[phone]"))
+    phones = F.when(F.col("masked_text") == F.col("_cut"), 0).otherwise(F.regexp_count("_cut", F.lit(PHONE)))
+    return done.select(key, "masked_text", *_COUNTS.values(), F.coalesce(phones, F.lit(0)).cast("bigint").alias("phones"))

@@ -272,7 +272,7 @@ def _millionths(value: str) -> str:
 _TOKEN, _HEX = "[A-Za-z0-9_-]", "[0-9A-Fa-f]{1,4}"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _SPAN_KINDS = {
-    "secret": rf"(?:{_TOKEN}*-)?\beyJ{_TOKEN}+\.{_TOKEN}+(?:\.{_TOKEN}*)?|\b(?:AKIA|ASIA)[0-9A-Z]{{16}}\b"
+    "secret": rf"\beyJ{_TOKEN}+\.{_TOKEN}+(?:\.{_TOKEN}*)?|\b(?:AKIA|ASIA)[0-9A-Z]{{16}}\b"
     rf"|\b(?:ghp|gho|ghs|sk|pk|xoxa|xoxb|xoxp)[_-]{_TOKEN}+|(?i:\bbearer +[a-z0-9._~+/=-]+)"
     r"""|(?i:(?:token|secret|password|passwd|api_?key|access_?key)["'']?[ \t]*[=:][ \t]*(?:"[^"]*"|''[^'']*''|[^ \t\n"'',;]+))""",
     "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}.-]+\.\p{L}\p{L}+",
