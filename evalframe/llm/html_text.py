@@ -1,17 +1,19 @@
 """HTML extraction by tree scoring.
 
 A page is read into a tree of block elements. Every paragraph passes points for its length
-and its commas to its ancestors, in full to the parent, half to the grandparent and less
-above, and a container's points are discounted by the share of its text inside links. The
-best container and those of its siblings that score well or read like text are the article;
-where the best container lies in an ``article`` or ``main`` element, that element is taken
-whole. Navigation, headers, footers, sidebars, forms, notices, adverts and reader comments
-are left out by element, role and class before anything is scored.
+and its commas to its ancestors: in full to the parent and to ``article`` and ``main``
+elements, half to the grandparent and less above. A container's points are discounted by the
+share of its text inside links. The best container and those of its siblings that score well or
+read like text are the article. Navigation, headers, footers, sidebars, forms, notices,
+adverts and reader comments are left out by element, role and class before anything is scored;
+what holds an ``article`` or ``main`` is never left out for its class.
 
 Character references are decoded, white space inside a block becomes one blank, blocks are
 trimmed and joined in page order by line breaks. Nulls and odd input: a null or empty page
-has an empty text, as has a page without an article; unclosed elements and a page that ends
-inside a tag are read as far as they go. Pages are independent; a page is parsed whole.
+has an empty text, as has a page without an article; unclosed elements end with their parent,
+and a page that ends inside a tag is read as far as it goes. Equal rows get equal texts; of two
+containers that score alike the first is taken. Pages are independent and parsed whole, however
+long; no column but the three named is used.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ BLOCKS = frozenset(
 #: Elements that are never part of the text.
 DROPPED = frozenset(
     "applet aside audio button canvas datalist dialog embed footer form frame frameset head iframe input label "
-    "map math menu nav noframes noscript object option script search select style svg template textarea title video".split()
+    "map menu nav noframes noscript object option script search select style svg template textarea title video".split()
 )
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 #: Words in a class or id that name page furniture.
@@ -48,17 +50,33 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
 }
-_NAMES = re.compile(r"[a-z0-9]+")
+#: First parts of a class that say what an element has or is filed under, not what it is.
+QUALIFIERS = frozenset("category format has hide in is no not show status tag type with without".split())
+#: First parts of a class that, with "header", name the head of the article itself.
+OWN_HEADERS = frozenset("article content entry page post story".split())
+_PARTS = re.compile(r"[a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 MIN_PARAGRAPH, SIBLING_SHARE = 25, 0.2
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "order", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "order", "points", "chars", "linked", "named", "holds")
 
-    def __init__(self, tag: str, parent: _Node | None, order: int):
+    def __init__(self, tag: str, parent: _Node | None, order: int, named: bool = False):
         self.tag, self.parent, self.order = tag, parent, order
         self.points, self.chars, self.linked = 0.0, 0, 0
+        #: Whether its class names furniture, and whether an article or main lies in it.
+        self.named, self.holds = named, False
+
+
+def _names_furniture(name: str) -> bool:
+    """Whether a class or id, by its first or last part, names page furniture."""
+    parts = _PARTS.findall(name)
+    if not parts or len(parts) > 1 and parts[0] in QUALIFIERS:
+        return False
+    if parts[-1] == "header" and len(parts) > 1 and parts[0] in OWN_HEADERS:
+        return False
+    return parts[0] in FURNITURE or parts[-1] in FURNITURE
 
 
 class _Reader(HTMLParser):
@@ -81,18 +99,15 @@ class _Reader(HTMLParser):
         self.text.clear()
         self.link_chars = 0
 
-    def _furniture(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _dropped(self, tag: str, told: dict[str, str]) -> bool:
+        """Whether an element goes whatever it holds."""
         if tag in DROPPED:
             return True
         if tag in ("html", "body", "main"):
             return False
-        if tag == "header" and not self._within(("article", "main")):
-            return True
-        told = {name: value or "" for name, value in attrs}
-        names = _NAMES.findall(f"{told.get('class', '')} {told.get('id', '')}".lower())
         return (
-            not FURNITURE.isdisjoint(names) or told.get("role", "").lower() in ROLES or "hidden" in told
-            or told.get("aria-hidden") == "true" or bool(_HIDDEN.search(told.get("style", "")))
+            tag == "header" and not self._within(("article", "main")) or told.get("role", "").lower() in ROLES
+            or "hidden" in told or told.get("aria-hidden") == "true" or bool(_HIDDEN.search(told.get("style", "")))
         )
 
     def _within(self, tags: tuple[str, ...]) -> bool:
@@ -114,8 +129,10 @@ class _Reader(HTMLParser):
             self.node = node.parent
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.skipped and tag in ("article", "main") and self.skipped[0] in ("header", "menu", "nav"):
+            self.skipped.clear()  # left open: no menu holds an article
         if self.skipped:
-            if tag not in VOID and tag == self.skipped[0]:
+            if tag not in VOID:
                 self.skipped.append(tag)
             return
         if tag in BLOCKS:
@@ -123,7 +140,10 @@ class _Reader(HTMLParser):
             self._leave({"p"}, BLOCKS - {"p"})
             if tag in CLOSES:
                 self._leave(CLOSES[tag], {"ul", "ol", "dl", "table"})
-        if self._furniture(tag, attrs):
+        told = {name: value or "" for name, value in attrs}
+        named = any(map(_names_furniture, f"{told.get('class', '')} {told.get('id', '')}".lower().split()))
+        holder = tag in BLOCKS and tag not in VOID
+        if self._dropped(tag, told) or named and not holder:
             if tag not in VOID:
                 self.skipped.append(tag)
             return
@@ -131,9 +151,13 @@ class _Reader(HTMLParser):
             self.text.append(" ")
         elif tag == "a":
             self.links += 1
-        elif tag in BLOCKS and tag not in VOID:
-            self.node = _Node(tag, self.node, len(self.nodes))
+        elif holder:
+            self.node = _Node(tag, self.node, len(self.nodes), named and tag not in ("html", "body", "main", "article"))
             self.nodes.append(self.node)
+            if tag in ("article", "main"):
+                above = self.node.parent
+                while above is not None and not above.holds:
+                    above.holds, above = True, above.parent
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID or tag not in DROPPED:  # HTML ignores the slash of other elements
@@ -141,11 +165,13 @@ class _Reader(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if self.skipped:
-            if tag == self.skipped[0]:
-                self.skipped.pop()
-            elif tag in ("body", "html"):
-                self.skipped.clear()
-            return
+            if tag in self.skipped:
+                while self.skipped.pop() != tag:  # what was left open in it ends with it
+                    pass
+                return
+            if tag not in ("body", "html") and not (tag in BLOCKS and self._within((tag,))):
+                return
+            self.skipped.clear()  # left open: it ends with its parent
         if tag == "a":
             self.links = max(0, self.links - 1)
         elif tag in BLOCKS and tag not in ("html", "body"):
@@ -161,6 +187,10 @@ class _Reader(HTMLParser):
     def close(self) -> None:
         super().close()
         self._flush()
+        out: list[bool] = []
+        for node in self.nodes:  # parents come first
+            out.append(node.named and not node.holds or node.parent is not None and out[node.parent.order])
+        self.blocks = [block for block in self.blocks if not out[block[0].order]]
 
 
 def _score(reader: _Reader) -> None:
@@ -176,7 +206,8 @@ def _score(reader: _Reader) -> None:
         # Text that stands in a container itself counts for the container.
         holder, level = (node.parent if node.tag in ("p", "pre", "li", "td", "blockquote") else node), 0
         while holder is not None:
-            holder.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
+            whole = level == 0 or holder.tag in ("article", "main")
+            holder.points += points / (1 if whole else 2 if level == 1 else 3 * level)
             holder, level = holder.parent, level + 1
 
 
@@ -189,13 +220,6 @@ def _chosen(reader: _Reader) -> set[int] | None:
     best = max(reader.nodes, key=lambda n: (_net(n), -n.order))
     if _net(best) <= 0:
         return None
-    whole, up = None, best
-    while up is not None:
-        if up.tag in ("article", "main"):
-            whole = up
-        up = up.parent
-    if whole is not None:
-        return {whole.order}
     taken = {best.order}
     for node in reader.nodes:
         if node.parent is best.parent and node.parent is not None and node.chars:

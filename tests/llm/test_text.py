@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import html as entities
 import random
+import re
 
 import public_tokenizers
 import pytest
@@ -72,6 +74,40 @@ def test_scoring_finds_the_container_without_an_article():
     assert html_text.extract(page) == "\n".join(["Head", PROSE, PROSE])
 
 
+REST = f"<p>{PROSE}</p><p>{PROSE}</p>"
+WHOLE = f"{PROSE}\n{PROSE}"
+
+
+@pytest.mark.parametrize("page, text", [
+    (f'<article class="post tag-social">{REST}</article>', WHOLE),
+    (f'<div class="layout has-sidebar"><article>{REST}</article><div class="sidebar">{PROSE}</div></div>', WHOLE),
+    (f'<div class="widget"><main>{REST}</main></div>', WHOLE),
+    (f'<article><div class="entry-header"><h1>Head</h1></div>{REST}<div class="post-comments">{PROSE}</div></article>', f"Head\n{WHOLE}"),
+    (f"<article>{REST}<p>Where <math><mi>x</mi> = <mn>2</mn></math> holds.</p></article>", f"{WHOLE}\nWhere x = 2 holds."),
+    (f"<body><nav><ul><li><a href=/>Home</a></ul><article>{REST}</article>", WHOLE),
+    (f"<div><div><nav><ul><li>Home</div><div>{REST}</div></div>", WHOLE),
+    (f'<div class="cookie-notice">{REST}</div><div id="site-footer">{REST}</div><article>{REST}</article>', WHOLE),
+    (f'<article>{REST}<span class="share">Share this</span><div class="ad-slot"><p>{PROSE}</p></div></article>', WHOLE),
+    (f"<section><p>{PROSE}</p></section><article><div><div><p>{PROSE}</p></div><p>{PROSE}</p></div><table><tr><td>1</table></article>", f"{WHOLE}\n1"),
+])
+def test_pages_that_name_their_parts(page, text):
+    assert html_text.extract(page) == text
+
+
+def _reference_text(page):
+    """The article of a given page, read by patterns: those pages hold one, of headings and paragraphs."""
+    (inner,) = re.findall(r"<article>(.*?)</article>", page, re.S)
+    blocks = re.split(r"</?(?:h1|p)>", re.sub(r"</?b>", "", inner).replace("<br>", " "))
+    texts = [" ".join(entities.unescape(block).split()) for block in blocks]
+    return "\n".join(text for text in texts if text)
+
+
+def test_given_pages_equal_their_articles(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract_pages(pages).collect()}
+    assert got == {r.page_id: _reference_text(r.html) for r in pages.collect()} and len(got) > 200
+
+
 @pytest.mark.parametrize("page, text", [
     (None, ""), ("", ""), ("<p>", ""), ("plain &lt;text&gt;", "plain <text>"), ("<article>ab", "ab"), ("<p>a&nbsp;b", "a b"),
     ("<script>never closed", ""), ("<div class=ad>x", ""), ("<p>a<p>b<br>c", "a\nb c"), ("<main><td>x</td>&#233;</main>", "x\né"),
