@@ -56,6 +56,8 @@ PHONE = (
 _MARK = "\0"
 _COUNTS = {"secret": "secrets", "email": "emails", "address": "addresses", "card": "cards"}
 _KIND_NAMES = tuple(_COUNTS)
+#: One of these is in every address, card and telephone number.
+_NUMERIC = "[0-9]|:[0-9A-Fa-f:]"
 #: One of these is in every secret, in lower case.
 _SECRET_PARTS = (
     "eyj", "akia", "asia", "ghp", "gho", "ghs", "sk-", "sk_", "pk-", "pk_", "xox", "bearer ", "token", "secret", "passw",
@@ -104,12 +106,12 @@ def _pieces(text: Column) -> Column:
     pairs = F.zip_with(F.split(text, every), F.regexp_extract_all(text, F.lit(every), F.lit(0)), lambda gap, span: F.array(gap, span))
 
     def marked(lower: Column) -> Column:
-        """The costly kinds are only sought in texts that hold a part of them."""
+        """Kinds are only sought in texts that hold what all of that kind have."""
         found = F
         secret = reduce(or_, [lower.contains(part) for part in _SECRET_PARTS])
         for needed, left_out in ((secret & text.contains("@"), ()), (secret, ("email",)), (text.contains("@"), ("secret",))):
             found = found.when(needed, _set_off(text, left_out))
-        return found.otherwise(_set_off(text, ("secret", "email")))
+        return found.when(text.rlike(_NUMERIC), _set_off(text, ("secret", "email"))).otherwise(text)
 
     return F.when(text.contains(_MARK), F.filter(F.flatten(pairs), lambda x: x.isNotNull())).otherwise(
         F.split(_let(F.lower(text), marked), _MARK)
@@ -131,7 +133,11 @@ def _joined(covered: Column) -> Column:
 
 def masked(text: Column) -> Column:
     """Text with every secret, e-mail address, IP address, card and phone number replaced."""
-    return F.regexp_replace(_joined(_covered(text)), PHONE, "[phone]")
+    return _without_phones(_joined(_covered(text)))
+
+
+def _without_phones(text: Column) -> Column:
+    return F.when(text.rlike(_NUMERIC), F.regexp_replace(text, PHONE, "[phone]")).otherwise(text)
 
 
 def masked_texts(texts: DataFrame, key: str) -> DataFrame:
@@ -139,6 +145,6 @@ def masked_texts(texts: DataFrame, key: str) -> DataFrame:
     found = texts.select(key, _covered(F.col("text")).alias("_covered"))
     n = lambda kind: F.coalesce(F.size(F.filter("_covered", lambda x: x["kind"] == kind)), F.lit(0)).cast("bigint")
     cut = found.select(key, _joined(F.col("_covered")).alias("_cut"), *[n(kind).alias(name) for kind, name in _COUNTS.items()])
-    done = cut.withColumn("masked_text", F.regexp_replace("_cut", PHONE, "[phone]"))
+    done = cut.withColumn("masked_text", _without_phones(F.col("_cut")))
     phones = F.when(F.col("masked_text") == F.col("_cut"), 0).otherwise(F.regexp_count("_cut", F.lit(PHONE)))
     return done.select(key, "masked_text", *_COUNTS.values(), F.coalesce(phones, F.lit(0)).cast("bigint").alias("phones"))
