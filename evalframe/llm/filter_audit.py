@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalframe.llm.quality import words_of
+from evalframe.llm.tables import written
 
 FILTERS = "ABCDE"
 MIN_WORDS = 200
@@ -41,12 +42,12 @@ _COPY = 1 << FILTERS.index("E")
 def own_failures(text: Column, words: Column) -> Column:
     """The filters that a text fails by itself, as bits: all but ``E``."""
     n = F.size(words)
-    capitals = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+    capitals = F.regexp_count(text, F.lit("[A-Z]"))
     fails = (
         n < MIN_WORDS,
         F.size(F.array_distinct(words)) * 100 < n * MIN_DISTINCT_PERCENT,
         capitals.cast("bigint") * 100 > F.length(text) * MAX_CAPITAL_PERCENT,
-        F.length(F.translate(text, "#$%&*|", "")) < F.length(text),
+        text.rlike("[#$%&*|]"),
     )
     return sum((F.when(fail, 1 << bit).otherwise(0) for bit, fail in enumerate(fails)), F.lit(0))
 
@@ -75,10 +76,11 @@ def failure_counts(
         name: F.coalesce(name, F.lit(False)) for name in ("good", "toxic")
     })
     known = F.col("id").isNotNull()
-    alike = marked.groupBy("print", "own", "part", "good", "toxic").agg(
+    # Written, as two groupings read it and the texts are to be judged once.
+    alike = written(marked.groupBy("print", "own", "part", "good", "toxic").agg(
         F.sum("n").alias("n"), F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("with_id"),
         F.min(F.when(known, F.struct("id", "n"))).alias("first"),
-    )
+    ), "alike-texts")
     # Of one text, the rows with the smallest id of the whole table are no copies.
     least = alike.groupBy("print").agg(F.min("first.id").alias("least"), F.sum("with_id").alias("copies"))
     told_apart = alike.join(least.where("copies > 1").select("print", "least"), "print", "left")
