@@ -10,22 +10,30 @@ unlinked are pivots; other members are aligned with them, in tasks dealt by pair
 links so far have put both in one component. Members linked to a pivot leave the level.
 Members go by the sum of the sizes of their buckets, the largest first: the text that others
 were copied from shares more buckets than any copy. The first levels take one pivot and
-compare it with every member, which settles a large group of copies at once; later ones take
-up to ``PIVOTS``. A bucket is done once its members left are of one component.
+compare it with every member, which settles a large group of copies at once. A bucket is done
+once its members left are of one component.
+
+Buckets that are then still crowded hold texts that are somewhat alike, often by a passage that
+very many share, but that are mostly no near copies. Members left meet only over a rare shingle:
+in the order of how many of these texts hold them, two texts that align to 0.8 share one of the
+rarest fifth of the longer's shingles and of the rarest ninth of the shorter's (the prefix filter of
+set similarity joins; no such pair is missed). Those shingles are the buckets of the later
+levels, which take up to ``PIVOTS`` pivots and four times as many from one level to the next.
+Texts that share no more than a common passage have no bucket together.
 
 The distance used, one less the similarity, is a metric, so two members that were not
 compared can only be similar if one is linked to a pivot and the other lies within twice the
-limit of it; those pairs are compared in the end, unless links already join them. Texts that
-share a bucket and are of no component with each other are all compared: a bucket of many
-texts that are somewhat alike but not near copies costs their number squared.
+limit of it; those pairs are compared in the end, unless links already join them.
 
 Similarity is that of the two shingle sequences under their best order-preserving alignment:
 aligned / (n1 + n2 - aligned), 0.8 or more. Shingles align only within the band outside
 which no alignment can reach ``BORDER``.
 
 Nulls and odd input: null texts and texts without words are alone in their class, unless
-they have the same characters. Rows with equal ids are one document. An empty table gives an
-empty result; extra columns are ignored.
+they have the same characters. A row is known by its id and its text: rows with equal ids and
+texts are one document, rows of one id with different texts are judged each by its own text,
+and a class is named by the smallest id of its rows, null only if no row of it has an id. Long texts
+are sketched and aligned whole. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,6 +57,8 @@ BORDER = 1 - 2 * (1 - SIMILARITY) - 1e-9
 BANDS, SKETCHES = 24, 3
 #: Levels with a single pivot, and pivots of the later levels.
 SINGLE, PIVOTS = 3, 32
+#: Shares of a text's shingles that two similar texts must both hold: of the longer, of the shorter.
+LONGER, SHORTER = SIMILARITY, 2 * SIMILARITY / (1 + SIMILARITY)
 #: Hashes held at once while sketching one text.
 CELLS = 1_000_000
 _MAX = np.uint64(2**64 - 1)
@@ -81,6 +91,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints, sizes, bands = [], [], []
         ids, texts = batch.column("id"), batch.column("text").to_pylist()
+        hashes = batch.column("text_hash")
         for doc, text, words in zip(ids, texts, word_hashes(texts), strict=True):
             if len(words):
                 shingles = shingle_hashes(words)
@@ -93,8 +104,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands.append(None)
                 sizes.append(0)
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))],
-            ["id", "print", "n", "bands"],
+            [ids, hashes, pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))],
+            ["id", "text_hash", "print", "n", "bands"],
         )
 
 
@@ -183,9 +194,41 @@ def _placed(members: DataFrame, joined: DataFrame | None) -> DataFrame:
     ).drop("_id", "_component")
 
 
-def _crowded(left: DataFrame) -> DataFrame:
-    """The buckets in which members of different components are left."""
-    ends = left.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
+def _shingle_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for at, words in zip(range(len(batch)), word_hashes(batch["text"]), strict=True):
+            held = labelled(shingle_hashes(words)).view(np.int64)
+            yield pd.DataFrame({"id": batch["id"].iloc[at], "shingle": held})
+
+
+def _rare_buckets(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """The members left, in buckets of the rare shingles over which similar ones must meet.
+
+    ``leads`` marks the members whose rarest ninth holds the shingle; a pair needs one of them.
+    Shingles of one text only join nobody and are counted off, not sorted.
+    """
+    members = left.select("id", "n", "weight").distinct()
+    held = texts.join(members.select("id"), "id", "left_semi").mapInPandas(_shingle_rows, "id bigint, shingle bigint")
+    held = written(held, "held-shingles")
+    common = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    rare_first = F.array_sort(F.collect_list(F.struct("f", "shingle")))
+    ordered = held.join(common, "shingle").groupBy("id").agg(rare_first.alias("order"))
+    alone = F.col("n") - F.size("order")
+    prefix = lambda share: (F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1 - alone).cast("int")
+    cut = ordered.join(members, "id").select(
+        "id", "n", "weight", prefix(SHORTER).alias("_lead"), F.slice("order", 1, F.greatest(prefix(LONGER), F.lit(0))).alias("order")
+    )
+    spread = cut.select("id", "n", "weight", "_lead", F.posexplode("order").alias("at", "x")).select(
+        F.col("x.shingle").alias("bucket"), "id", "n", "weight", (F.col("at") < F.col("_lead")).alias("leads")
+    )
+    return spread
+
+
+def _meetable(left: DataFrame) -> DataFrame:
+    """Members of buckets that still have a possible pivot and members of several components."""
+    ends = left.groupBy("bucket").agg(
+        F.min("component").alias("a"), F.max("component").alias("b"), F.max("leads").alias("led")
+    ).where("a <> b AND led")
     return left.join(ends.select("bucket"), "bucket", "left_semi")
 
 
@@ -196,12 +239,14 @@ def _link_texts(members: DataFrame, texts: DataFrame) -> DataFrame:
     links: DataFrame | None = None
     border: DataFrame | None = None
     joined: DataFrame | None = None
-    left, level = _placed(members, None), 0
+    left, level = _placed(members.withColumn("leads", F.lit(True)), None), 0
     while level == 0 or not left.isEmpty():
         single = level < SINGLE
+        if level == SINGLE:
+            left = written(_meetable(_placed(_rare_buckets(left, texts), joined)), "rare-members")
         ranked = Window.partitionBy("bucket").orderBy(F.col("weight").desc(), "id")
         chosen = written(
-            left.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= (1 if single else PIVOTS))
+            left.where("leads").withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= (1 if single else PIVOTS * 4 ** (level - SINGLE)))
             .select("bucket", F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_in")),
             "pivots",
         )
@@ -227,7 +272,8 @@ def _link_texts(members: DataFrame, texts: DataFrame) -> DataFrame:
         border = close if border is None else border.unionAll(close)
         settled = linked.select("bucket", "id").unionAll(chosen.select("bucket", F.col("pivot").alias("id")))
         joined = components(links)
-        left = written(_crowded(_placed(left.join(settled.distinct(), ["bucket", "id"], "left_anti"), joined)), "unlinked")
+        after = _placed(left.join(settled.distinct(), ["bucket", "id"], "left_anti"), joined)
+        left = written(_meetable(after), "unlinked")
         level += 1
     border = written(border, "border")
     while True:
@@ -253,31 +299,52 @@ def _link_texts(members: DataFrame, texts: DataFrame) -> DataFrame:
         joined = components(links)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, class_id`` for every document; the class is the smallest id of its group."""
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
+def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``id, text_hash, class_id, first_hash`` of every row; id and text hash say which row it is.
+
+    The first row of a class, by id and then by the hash of its text, has ``class_id`` and
+    ``first_hash``. Texts have numbers of their own, so rows without an id are rows like others.
+    """
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     sketched = written(
-        rows.mapInArrow(_sketches, "id bigint, print binary, n int, bands array<bigint>"), "sketches"
+        rows.mapInArrow(_sketches, "id bigint, text_hash bigint, print binary, n int, bands array<bigint>"), "sketches"
     )
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_hash")).alias("first")
     texts_of = written(
-        sketched.groupBy("print").agg(F.min("id").alias("text_id"), F.min_by("n", "id").alias("n"), F.min_by("bands", "id").alias("bands")),
+        sketched.groupBy("print").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands"))
+        .withColumn("number", F.monotonically_increasing_id()),
         "texts",
     )
-    keyed = texts_of.where("n > 0").select(F.col("text_id").alias("id"), "n", F.explode("bands").alias("bucket"))
+    keyed = texts_of.where("n > 0").select(F.col("number").alias("id"), "n", F.explode("bands").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     met = written(keyed.join(shared, "bucket"), "met-buckets")
     weights = met.groupBy("id").agg(F.sum("_n").alias("weight"))
     members = written(met.select("id", "n", "bucket").join(weights, "id"), "members")
-    involved = weights.select("id")
-    one_each = rows.join(involved, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    involved = texts_of.join(weights.select(F.col("id").alias("number")), "number", "left_semi").select(
+        "number", F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_hash")
+    )
+    of_first = rows.join(involved, rows["id"].eqNullSafe(involved["_id"]) & (rows["text_hash"] == involved["_hash"]))
+    one_each = of_first.groupBy(F.col("number").alias("id")).agg(F.min("text").alias("text"))
     joined = _link_texts(members, written(one_each, "member-texts"))
-    classes = texts_of.select("print", "text_id").join(joined, texts_of["text_id"] == joined["id"], "left").select(
-        "print", F.coalesce("component", "text_id").alias("class_id")
+    placed = texts_of.select("print", "number", "first").join(
+        joined.select(F.col("id").alias("number"), "component"), "number", "left"
     )
-    return sketched.select("id", "print").join(classes, "print").select(F.col("id").alias("doc_id"), "class_id").distinct()
+    linked = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("class_first"))
+    classes = placed.join(linked, "component", "left").select("print", F.coalesce("class_first", "first").alias("c"))
+    return sketched.select("id", "text_hash", "print").join(classes, "print").select(
+        "id", "text_hash", F.col("c.id").alias("class_id"), F.col("c.text_hash").alias("first_hash")
+    )
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, class_id`` for every document; the class is the smallest id of its group."""
+    return _classes(docs, doc_id, text).select(F.col("id").alias("doc_id"), "class_id").distinct()
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stand for their class, as they came."""
-    kept = near_duplicates(docs, doc_id, text).where("doc_id <=> class_id").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col(doc_id).cast("bigint").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = _classes(docs, doc_id, text).where("id <=> class_id AND text_hash = first_hash").select(
+        F.col("id").alias("_id"), F.col("text_hash").alias("_hash")
+    ).distinct()
+    same = F.col(doc_id).cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
+    return docs.join(kept, same, "left_semi")

@@ -233,6 +233,66 @@ def test_classes_equal_brute_force(documents, monkeypatch, single):
     assert near_dedup.near_duplicates(documents([])).count() == 0
 
 
+def test_texts_that_share_a_passage_do_not_all_meet(documents, monkeypatch):
+    """A thousand texts hold one passage and are 0.6 to 0.8 alike; a few are near copies beside."""
+    rng = random.Random(21)
+    passage = _words(rng, 80)
+    rows = []
+    for i in range(1000):
+        own = [f"o{i}w{j}" for j in range(rng.randrange(10, 26))]
+        cut = rng.randrange(len(own))
+        rows.append((i, " ".join(own[:cut] + passage + own[cut:]), "s"))
+    for i in range(60):  # copies of copies, of one word changed in a text's own part or in the passage
+        words = rows[i * 3][1].split()
+        words[rng.choice([0, -1, len(words) // 2])] = f"changed{i}"
+        rows.append((2000 + i, " ".join(words), "s"))
+    shingles = {i: frozenset(enumerate_labels(t.split())) for i, t, _ in rows}
+    lists = {i: [tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)] for i, t, _ in rows}
+    want = {i: i for i in shingles}
+    for a in sorted(shingles):
+        for b in sorted(shingles):
+            if a < b and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]):
+                common = _lcs(lists[a], lists[b])
+                if common >= 0.8 * (len(lists[a]) + len(lists[b]) - common):
+                    low, high = sorted((want[a], want[b]))
+                    want = {k: low if v == high else v for k, v in want.items()}
+    pairs = []
+    scored = near_dedup._scored
+    monkeypatch.setattr(near_dedup, "_scored", lambda met, texts: pairs.append(met.count()) or scored(met, texts))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(documents(rows)).collect()}
+    assert got == want and 50 <= len(want) - len(set(want.values()))
+    # Half a million pairs share a bucket.
+    assert sum(pairs) < 60 * len(rows)
+
+
+def enumerate_labels(words):
+    seen = collections.Counter()
+    for j in range(len(words) - 4):
+        key = tuple(words[j : j + 5])
+        yield key, seen[key]
+        seen[key] += 1
+
+
+def test_rows_without_an_id_and_ids_with_several_texts(documents):
+    rng = random.Random(8)
+    a, b, x, y = (" ".join(_words(rng, 60)) for _ in range(4))
+    rows = [(None, a, "s"), (None, b, "s"), (5, a, "s"), (7, x, "s"), (7, y, "s"), (9, y + " end", "s"), (None, a.upper(), "s"),
+            (None, None, "s"), (5, a, "t")]
+    got = {(r.doc_id, r.class_id) for r in near_dedup.near_duplicates(documents(rows)).collect()}
+    assert got == {(None, 5), (None, None), (5, 5), (7, 7), (9, 7)}
+    kept = collections.Counter((r.doc_id, r.text) for r in near_dedup.keep_first(documents(rows)).collect())
+    assert kept == {(None, b): 1, (5, a): 2, (7, x): 1, (7, y): 1, (None, None): 1}
+
+
+def test_long_texts_are_compared_whole(documents):
+    words = _words(random.Random(2), 60_000)
+    other = words[:55_000] + [f"z{i}" for i in range(5_000)]
+    far = words[:50_000] + [f"q{i}" for i in range(10_000)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(documents(
+        [(1, " ".join(words), "s"), (2, " ".join(other), "s"), (3, " ".join(far), "s")])).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 140)] + [(50, 51), (51, 50), (60, 60)]
     df = spark.createDataFrame(links, "a bigint, b bigint")
