@@ -19,27 +19,56 @@ def _same(left: list[str], right: list[str]) -> Column:
     return reduce(and_, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)])
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Keys, ``n`` and one decimal column per named probability.
+def exact_quantiles(
+    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], also: dict[str, Column] | None = None
+) -> DataFrame:
+    """Keys, ``n`` and one decimal column per named probability, in two scans of ``df``.
 
     A mergeable sketch first brackets each quantile to about a thousandth of its group.
     Values below the bracket are only counted and values above are not needed. Those
     inside fall into equal bins; counts per bin tell which one or two bins hold the
     quantile, and only their values are put in order. Equal values are combined before
     every shuffle. Groups smaller than the sketch's resolution are binned whole. Nulls
-    and NaN are left out. The sketch pass runs when this is called.
+    and NaN are left out. The sketch pass runs when this is called; the aggregates ``also``
+    take part in it, over all rows, and keep groups in which no value is left.
     """
-    clean = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, value)
     wanted = list(probs.items())
     edges = []
     for _, p in wanted:
         edges += [max(0.0, p - _MARGIN), min(1.0, p + _MARGIN)]
-    brackets = clean.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx(value, edges, _ACCURACY).alias("_edges"),
-        F.min(value).alias("_min"),
-        F.max(value).alias("_max"),
+    valid = F.when(_valid(value), F.col(value))
+    brackets = df.groupBy(*keys).agg(
+        F.count(valid).alias("n"),
+        F.percentile_approx(valid, edges, _ACCURACY).alias("_edges"),
+        F.min(valid).alias("_min"),
+        F.max(valid).alias("_max"),
+        *[aggregate.alias(name) for name, aggregate in (also or {}).items()],
     )
+    # Written first, the brackets have a known size: Spark broadcasts them only when they
+    # are small, and does not shuffle all rows before it can tell.
+    path = shared_path(df.sparkSession, "brackets")
+    brackets.write.parquet(path)
+    known = df.sparkSession.read.parquet(path)
+    points = refined(df, known.where("n > 0"), keys, value, probs)
+    if not also:
+        return points
+    others = [f"_point{i}" for i in range(len(keys))]
+    points = points.drop("n").withColumnsRenamed(dict(zip(keys, others)))
+    return known.join(points, _same(keys, others), "left").select(*keys, "n", *probs, *also)
+
+
+def _valid(value: str) -> Column:
+    return F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+
+
+def refined(df: DataFrame, brackets: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Keys, ``n`` and the exact quantiles, in one scan of ``df``.
+
+    ``brackets`` have keys, the number ``n`` of values, their ``_min`` and ``_max``, and in
+    ``_edges`` two values for each probability that hold its quantile.
+    """
+    clean = df.where(_valid(value)).select(*keys, value)
+    wanted = list(probs.items())
     small = F.col("n") <= _ACCURACY
     others = [f"_key{i}" for i in range(len(keys))]
     asked = brackets.select(*[F.col(k).alias(o) for k, o in zip(keys, others)], "n", F.explode(F.array(*[
@@ -51,11 +80,6 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         )
         for i, (_, p) in enumerate(wanted)
     ])).alias("q")).select(*others, "n", "q.*")
-    # Written first, the brackets have a known size: Spark broadcasts them only when they
-    # are small, and does not shuffle all rows before it can tell.
-    path = shared_path(df.sparkSession, "brackets")
-    asked.write.parquet(path)
-    asked = df.sparkSession.read.parquet(path)
 
     v, low = F.col(value), F.col("low")
     width = F.col("high").cast("double") - low.cast("double")

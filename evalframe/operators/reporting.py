@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evalframe.functions import fixed_values as fixed
 from evalframe.functions import formatting as shown
 from evalframe.functions.quantiles import exact_quantiles
+from evalframe.session import shared_path
 
 
 def utilisation_report(usage: DataFrame, limits: DataFrame) -> DataFrame:
@@ -81,22 +82,34 @@ def metric_cards(metrics: DataFrame, text_size: int = 24) -> DataFrame:
 def series_normalised(series: DataFrame) -> DataFrame:
     """Points of (series, at, value) scaled to the unit square; short series are left out.
 
-    Takes one row per period: aggregate raw rows to their period first.
+    Takes one row per period: aggregate raw rows to their period first. Rows are dealt by ranges
+    of series and time and written, so that each knows its range; counts, lows and highs of
+    the ranges are summed before any row is placed. A row's position is its rank in its range
+    after the rows of the ranges before, so a series may be spread over all tasks.
     """
+    ranged = series.select("series", "at", "value").repartitionByRange("series", "at").withColumn("_range", F.spark_partition_id())
+    path = shared_path(series.sparkSession, "series")
+    ranged.write.parquet(path)
+    points = series.sparkSession.read.schema(ranged.schema).parquet(path)
+    parts = points.groupBy("series", "_range").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("value").alias("_low"), F.max("value").alias("_high")
+    )
     whole = Window.partitionBy("series")
-    ordered = whole.orderBy("at")
-    low, high = F.min("value").over(whole), F.max("value").over(whole)
-    placed = series.select(
-        "series", "at", "value",
-        F.count(F.lit(1)).over(whole).alias("_n"),
-        (F.row_number().over(ordered) - 1).alias("_i"),
-        low.alias("_low"),
-        F.coalesce(F.nullif(high - low, F.lit(0.0)), F.lit(1.0)).alias("_range"),
+    earlier = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    low, high = F.min("_low").over(whole), F.max("_high").over(whole)
+    bounds = parts.select(
+        F.col("series").alias("_series"), F.col("_range").alias("_part"),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_n"),
+        low.alias("_low"), F.coalesce(F.nullif(high - low, F.lit(0.0)), F.lit(1.0)).alias("_span"),
+    ).where(F.col("_n") >= 2)
+    here = Window.partitionBy("series", "_range").orderBy("at")
+    placed = points.withColumn("_i", F.row_number().over(here) - 1).join(
+        bounds, F.col("series").eqNullSafe(F.col("_series")) & (F.col("_range") == F.col("_part"))
     )
-    return placed.where(F.col("_n") >= 2).select(
+    return placed.select(
         "series", "at", "value",
-        (F.col("_i").cast("double") / (F.col("_n") - 1).cast("double")).alias("x"),
-        ((F.col("value") - F.col("_low")) / F.col("_range")).alias("y"),
+        ((F.col("_before") + F.col("_i")).cast("double") / (F.col("_n") - 1).cast("double")).alias("x"),
+        ((F.col("value") - F.col("_low")) / F.col("_span")).alias("y"),
     )
 
 

@@ -46,3 +46,9 @@ def shared_path(spark: SparkSession, purpose: str) -> str:
             _local_base = tempfile.mkdtemp(prefix="evalframe-")
         base = _local_base
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def files_exist(spark: SparkSession, path: str) -> bool:
+    """Whether a folder or file is there, in whatever store the path names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)

@@ -113,3 +113,45 @@ def test_workload_counters_count_rows_without_latency(spark):
     df = spark.createDataFrame(rows, "system bigint, at string, kind string, latency_ms double").withColumn("at", F.col("at").cast("timestamp_ntz"))
     got = {r["system"]: (r["requests"], r["errors"], r["error_rate"], r["p50_ms"]) for r in governance.workload_counters(df).collect()}
     assert got == {1: (2, 1, 0.5, 1.0), 2: (1, 1, 1.0, None), None: (1, 0, 0.0, 4.0)}
+
+
+LOG = "system bigint, at timestamp_ntz, kind string, latency_ms double"
+
+
+def _log(rng, n, days):
+    from datetime import datetime, timedelta
+
+    return [(0 if i % 3 else rng.randrange(1, 4), datetime(2026, 1, rng.choice(days)) + timedelta(seconds=rng.randrange(86_400)),
+             rng.choice(["view", "error"]), rng.choice([None, float("nan"), rng.expovariate(0.01), 5.0])) for i in range(n)]
+
+
+def test_late_rows_change_their_days_and_no_others(spark, tmp_path):
+    """Recorded in any portions, the counters are those of the whole log."""
+    import random
+
+    rng = random.Random(4)
+    portions = [_log(rng, 25_000, [1, 2, 3]), _log(rng, 300, [2]), [], _log(rng, 500, [3, 4])]
+    frames = [spark.createDataFrame(rows, LOG) for rows in portions]
+    path, log = str(tmp_path), spark.createDataFrame([], LOG)
+    stamps = lambda: {p.parent.name: p.stat().st_mtime_ns for p in (tmp_path / "counters").rglob("*.parquet")}
+    for fresh in frames:
+        before = stamps()
+        log = log.unionAll(fresh)
+        governance.record_rows(fresh, log, path)
+        touched = {f"day={r[0]}" for r in fresh.select(F.date_format("at", "yyyy-MM-dd")).distinct().collect()}
+        assert {day: t for day, t in stamps().items() if day not in touched} == {d: t for d, t in before.items() if d not in touched}
+    want = governance.workload_counters(log)
+    got = governance.recorded_counters(spark, path)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+
+def test_counters_take_two_scans(spark, tmp_path):
+    path = str(tmp_path / "log")
+    import random
+
+    spark.createDataFrame(_log(random.Random(1), 500, [1]), LOG).write.parquet(path)
+    counted = governance.workload_counters(spark.read.parquet(path))
+    counted.collect()
+    final = counted._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # The first scan has run and its brackets are read; the log itself is read once more.
+    assert sum("ReadSchema" in line and "latency_ms" in line.split("ReadSchema")[1] for line in final.split("\n")) == 1

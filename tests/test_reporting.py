@@ -109,3 +109,14 @@ def test_only_whole_dates_are_times(spark):
     got = [r[0] for r in df.select(parse_iso(F.col("t")).cast("string")).collect()]
     assert got == [None] * 5 + ["2024-01-05 00:00:00", "2024-01-05 10:00:00", "2024-01-05 05:00:00"]
     assert spark.range(1).select(instant("2026-04-28T12:00:00+05:00").cast("string")).first()[0] == "2026-04-28 07:00:00"
+
+
+@pytest.mark.parametrize("n", [2, 5_000])
+def test_positions_of_a_series_spread_over_tasks(spark, n):
+    """One series of all rows beside small ones, among them one without a name and one too short."""
+    rows = [("long", i, float(i % 97)) for i in range(n)] + [(None, 3, 1.0), (None, 1, 2.0), ("one", 1, 1.0)]
+    df = spark.createDataFrame(rows, "series string, at int, value double").repartition(7)
+    got = {(r["series"], r["at"]): (r["x"], r["y"]) for r in reporting.series_normalised(df).collect()}
+    high = max(v for s, _, v in rows if s == "long") or 1.0
+    want = {("long", i): (i / (n - 1), (i % 97) / high) for i in range(n)}
+    assert got == want | {(None, 1): (0.0, 1.0), (None, 3): (1.0, 0.0)}
