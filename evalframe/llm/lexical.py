@@ -45,8 +45,9 @@ from evalframe.llm.tables import written
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BEST = 10
-#: Bytes of the terms of one automaton, each counted once per item it is in.
-BLOCK_BYTES = 16_000_000
+#: Bytes of the terms of one automaton, each counted once per item it is in. An automaton takes
+#: some 50 bytes per byte in each Python worker.
+BLOCK_BYTES = 4_000_000
 
 # Fold of a byte: bytes of characters beyond ASCII stay, so UTF-8 needs no decoding.
 _FOLD = bytes(
@@ -191,21 +192,28 @@ def item_terms(items: DataFrame, item_id: str = "item_id", text: str = "text") -
     return counted.withColumn("item", F.coalesce(F.col("item_id").cast("bigint"), F.lit(-(2**63))))
 
 
-def _blocks(terms: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
-    """Terms with the ``block`` they are in, and the number of blocks.
+def _blocks(terms: DataFrame, block_bytes: int) -> DataFrame:
+    """Terms with the ``block`` they are in.
 
     Items smaller than half a block are dealt by their hash, a large one by the hash of its
-    terms. There are as many blocks as keep the mean at half of what is allowed.
+    terms. The blocks' sizes are checked, and there are as many as keep every block within
+    its bound; only a single term may be larger.
     """
     weighed = terms.withColumn("bytes", F.octet_length("term").cast("bigint"))
     size = weighed.groupBy("item").agg(F.sum("bytes").alias("_size"))
-    total = size.agg(F.sum("_size")).first()[0] or 0
-    blocks = max(1, math.ceil(2 * total / block_bytes))
     wide = F.col("_size") * 2 > block_bytes
-    key = F.when(wide, F.xxhash64("item", "term")).otherwise(F.xxhash64("item"))
-    return weighed.join(size, "item").select(
-        "item", "term", "times", wide.alias("cut"), F.pmod(key, F.lit(blocks)).cast("int").alias("block")
-    ), blocks
+    keyed = written(weighed.join(size, "item").select(
+        "item", "term", "times", "bytes", wide.alias("cut"),
+        F.when(wide, F.xxhash64("item", "term")).otherwise(F.xxhash64("item")).alias("key"),
+    ), "query-terms")
+    total = keyed.agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    blocks = max(1, math.ceil(2 * (total["bytes"] or 0) / block_bytes))
+    while True:
+        dealt = keyed.withColumn("block", F.pmod("key", F.lit(blocks)).cast("int"))
+        largest = dealt.groupBy("block").agg(F.sum("bytes").alias("bytes")).agg(F.max("bytes")).first()[0] or 0
+        if largest <= block_bytes or blocks > 64 * total["rows"]:
+            return dealt.drop("key")
+        blocks *= 2
 
 
 def rank_documents(
@@ -214,16 +222,14 @@ def rank_documents(
 ) -> DataFrame:
     """``item_id, rank, doc_id, score``: each item's ``best`` documents."""
     spark = docs.sparkSession
-    terms, blocks = _blocks(item_terms(items, item_id, item_text), block_bytes)
-    dealt = written(terms, "query-terms")
+    dealt = _blocks(item_terms(items, item_id, item_text), block_bytes)
     rows = docs.select(
         F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("print"), F.col(text).cast("binary").alias("text")
     )
     found: list[DataFrame] = []
-    for number in range(blocks):
+    filled = sorted(r[0] for r in dealt.select("block").distinct().collect())
+    for number in filled:
         listed = dealt.where(F.col("block") == number).collect()  # bounded by the block's bytes
-        if not listed:
-            continue
         block = _Block([(r["item"], r["term"], r["times"]) for r in listed])
         cut = frozenset(r["item"] for r in listed if r["cut"])
         sent = spark.sparkContext.broadcast(block)

@@ -147,6 +147,15 @@ def test_blocks_and_cut_items_rank_alike(spark, block_bytes):
     assert _found(spark, docs, items, block_bytes=block_bytes) == _ranked(docs, items)
 
 
+def test_blocks_keep_their_bound(spark):
+    rows = [(k, f"{'x' * (k % 40)}{t}", 1) for k in range(200) for t in range(1 + k % 9)] + [(999, "y" * 500, 1)]
+    terms = spark.createDataFrame(rows, "item bigint, term string, times bigint")
+    dealt = lexical._blocks(terms, 300)
+    sizes = {r["block"]: (r["bytes"], r["n"]) for r in dealt.groupBy("block").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")).collect()}
+    assert all(size <= 300 or n == 1 for size, n in sizes.values()) and dealt.count() == len(rows)
+    assert dealt.where("NOT cut").groupBy("item").agg(F.countDistinct("block").alias("n")).where("n > 1").count() == 0
+
+
 def test_search_of_nothing(spark):
     assert not _found(spark, [], [(1, "a")]) and not _found(spark, [(1, "a")], []) and not _found(spark, [(1, None)], [(1, "a")])
 
