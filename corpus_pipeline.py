@@ -3,6 +3,13 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as
 Parquet and read again as the next stage's documents. All but the last return the columns of
 ``documents``.
+
+Nulls and odd input: a null or empty text has no words and goes with the first stage. A null id
+is an id like others, a null source a source of its own, a null language or count is kept or
+renewed. Rows with equal ids and texts are one document to the near-dedup stage: all of them
+stay or go, and they draw equal counts in the mix. Texts are worked on whole, however long.
+Columns beyond those of ``documents`` are left out. No documents give no result; without
+benchmark items nothing is taken for contaminated.
 """
 
 from __future__ import annotations

@@ -110,3 +110,38 @@ def test_each_stage_works_on_what_the_one_before_wrote(spark, documents, monkeyp
         assert all(r.n_chars == len(r.text) for r in stage)
         before = after
     assert not kept and sorted((r.doc_id, r.text, r.source, r.copy) for r in got) == sorted(_mixed(before))
+
+
+def _run(spark, documents, rows, items, path):
+    documents(rows).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+    return corpus_pipeline.run(spark, str(path))
+
+
+def test_odd_rows_pass_through_all_stages(spark, documents, tmp_path):
+    rng = random.Random(3)
+    good = ["\n".join(" ".join(_words(rng, 15)) + "." for _ in range(6)) for _ in range(6)]
+    long = "\n".join(" ".join(_words(rng, 15)) + "." for _ in range(8_000))
+    rows = [(1, None, "s"), (2, "", "s"), (None, None, None), (3, " \n\n", "s"),
+            (4, good[0], None), (None, good[1], "s"), (None, good[2], None), (5, good[2], "s"),
+            (6, good[3], "s"), (6, good[3], "s"), (7, good[4], "t"), (7, good[5], "t"), (8, long, "u")]
+    got = _run(spark, documents, rows, [(1, None), (2, "")], tmp_path)
+    assert got.columns == [*corpus_pipeline.COLUMNS, "copy"]
+    told = collections.Counter((r.doc_id, r.text, r.source) for r in got.collect())
+    stay = [(4, good[0], None), (None, good[1], "s"), (5, good[2], "s"), (6, good[3], "s"), (6, good[3], "s"),
+            (7, good[4], "t"), (7, good[5], "t"), (8, long, "u")]
+    # Every document is copied as often as its id and its source's rate say; equal rows alike.
+    chars = collections.Counter()
+    for _, text, source in stay:
+        chars[source] += len(text)
+    weight = {s: math.sqrt(n) for s, n in chars.items()}
+    rate = {s: weight[s] / sum(weight.values()) * sum(chars.values()) / chars[s] for s in chars}
+    want = collections.Counter()
+    for row in stay:
+        want[row] += _count("" if row[0] is None else row[0], rate[row[2]])
+    assert told == collections.Counter({k: n for k, n in want.items() if n})
+
+
+def test_no_documents_give_no_result(spark, documents, tmp_path):
+    got = _run(spark, documents, [], [(1, "an item of some words in a row")], tmp_path)
+    assert got.collect() == [] and got.columns == [*corpus_pipeline.COLUMNS, "copy"]
