@@ -148,11 +148,14 @@ def composite_gate(
     """Weighted mean of the rubrics that scored, and whether all gates hold.
 
     Weights are literals. A null score leaves the weight sum; a rubric below its own
-    threshold fails the case, as does a composite below ``floor``.
+    threshold fails the case, as does a composite below ``floor``. A rubric without a weight
+    stops the job, as a mean without it would look whole; give it 0 to leave it out.
     """
     weight, limit = F, F
     for name, w in weights.items():
         weight = weight.when(F.col("rubric") == name, F.lit(w).cast("bigint"))
+    unweighted = F.raise_error(F.concat(F.lit("no weight for rubric "), F.coalesce("rubric", F.lit("null")))).cast("bigint")
+    weight = weight.otherwise(unweighted) if weights else unweighted
     for name, t in thresholds.items():
         limit = limit.when(F.col("rubric") == name, F.lit(float(t)))
     exact_score = F.col("score").cast("decimal(9,4)")

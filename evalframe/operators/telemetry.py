@@ -201,6 +201,15 @@ def counted_files(files: DataFrame, skip_paths: Iterable[str] = ()) -> DataFrame
     return kept.withColumn("suffix", suffix_of(path)).withColumn("lines", line_count(F.col("text"))).drop("text")
 
 
+def code_of_systems(files: DataFrame, skip_paths: Iterable[str] = ()) -> DataFrame:
+    """Counted lines per system and the language that most of them are in, ties to the later name."""
+    by_language = counted_files(files, skip_paths).groupBy("system", "language").agg(F.sum("lines").alias("lines"))
+    known = F.when(F.col("language").isNotNull(), F.struct("lines", "language"))
+    return by_language.groupBy("system").agg(
+        F.sum("lines").alias("lines_of_code"), F.max(known)["language"].alias("primary_language")
+    )
+
+
 def lines_of_code(files: DataFrame, skip_paths: Iterable[str] = ()) -> DataFrame:
     """Files and lines per suffix, and in all."""
     by_suffix = counted_files(files, skip_paths).groupBy("suffix").agg(

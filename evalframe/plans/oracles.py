@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from evalframe.functions.fixed_values import EXCLUDED_FOLDERS, LAST_PAGE_PATTERN, SAFETY_CAPS, SOURCE_SUFFIXES
+# Fixed values, written out again so that a slip in the operators' table shows.
+SAFETY_CAPS = {"commits_total": 1_000_000, "commits_30d": 100_000, "lines_of_code": 10_000_000, "repo_stars": 1_000_000}
+SOURCE_SUFFIXES = (".py", ".html", ".css", ".js", ".ts", ".tsx", ".jsx", ".md", ".json")
+EXCLUDED_FOLDERS = (
+    ".git", ".vercel", ".venv", "venv", "node_modules", "__pycache__", ".pytest_cache", ".mypy_cache", "dist", "build", ".idea",
+)
+LAST_PAGE_PATTERN = r'<[^>]*[?&]page=(\d+)[^>]*>;\s*rel="last"'
 
 _ASOF = "TIMESTAMP '2001-08-01 00:00:00'"
 _ISO = "'%Y-%m-%dT%H:%M:%SZ'"
@@ -545,6 +551,13 @@ UNION ALL
 SELECT format, TRUE, NULL, NULL, NULL, NULL, NULL,
        CASE format WHEN 'json' THEN '{{"case_id": ' || (conv_id * 4294967296 + turn) || ', "input"' ELSE 'chat,' || (conv_id * 4294967296 + turn) END
 FROM conversations CROSS JOIN formats WHERE role = 'system'""",
+    "e1_load_large_files": f"""WITH {_CASES},
+formats AS (SELECT 'array' AS format UNION ALL SELECT 'csv')
+SELECT format, FALSE AS quarantined, dataset_id, case_id, slice, input, expected, CAST(case_id % 4294967296 AS VARCHAR) AS turn, NULL AS raw
+FROM cases CROSS JOIN formats
+UNION ALL
+SELECT 'array', TRUE, NULL, NULL, NULL, NULL, NULL, NULL, '{{"dataset_id":"chat","case_id":"id ' || (conv_id * 4294967296 + turn) || '"}}'
+FROM conversations WHERE role = 'system'""",
     "e2_case_violations": f"""WITH {_CASES},
 both_sets AS (
   SELECT dataset_id, case_id, input, expected, slice = 'opening' AS noted FROM cases

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalframe.functions import rubrics
@@ -135,9 +135,7 @@ def f4_metric_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     stars = log.groupBy("system").agg(
         F.nullif(F.count_if(F.col("priority") == "1-URGENT") * 1_000, F.lit(0)).alias("repo_stars")
     )
-    files = telemetry.counted_files(bindings.source_files(spark, sf_dir, per_document=True)).groupBy("system").agg(
-        F.sum("lines").alias("lines_of_code"), F.max("language").alias("primary_language")
-    )
+    files = telemetry.code_of_systems(bindings.source_files(spark, sf_dir, per_document=True))
     return reporting.metric_cards(activity.join(stars, "system", "left").join(files, "system", "left"))
 
 
@@ -286,6 +284,33 @@ def e1_load_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_json.unionByName(from_csv)
 
 
+def _write_arrays(records: DataFrame, path: str) -> None:
+    """One JSON array per partition of ``records`` (a column ``json``), one record a line."""
+    numbered = records.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    order = Window.partitionBy("part").orderBy("at")
+    opening = F.when(F.row_number().over(order) == 1, "[").otherwise(",")
+    closing = F.when(F.lead("at").over(order).isNull(), "]").otherwise("")
+    lines = numbered.select("part", "at", F.concat(opening, F.col("json"), closing).alias("line"))
+    lines.repartition("part").sortWithinPartitions("part", "at").select("line").write.text(path)
+
+
+def e1_load_large_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases with ``meta`` from array files and from quoted CSV with a header, both split over tasks."""
+    out = shared_path(spark, "large-cases")
+    good = bindings.eval_cases(spark, sf_dir).withColumn(
+        "meta", F.create_map(F.lit("turn"), F.pmod("case_id", F.lit(2**32)).cast("string"))
+    )
+    broken = bindings.table(spark, sf_dir, "conversations").where(F.col("role") == "system").select(
+        F.to_json(F.struct(F.lit("chat").alias("dataset_id"), F.concat(F.lit("id "), bindings.turn_id().cast("string")).alias("case_id"))).alias("json")
+    )
+    _write_arrays(good.select(F.to_json(F.struct(*evaluation.CASE_FIELDS, "meta")).alias("json")).unionByName(broken), f"{out}/json")
+    good.withColumn("meta", F.to_json("meta")).write.options(header=True, quoteAll=True, escape='"').csv(f"{out}/csv")
+    loaded = cases.load_report(cases.load_large_array(spark, f"{out}/json"), "array").unionByName(
+        cases.load_report(cases.load_large_csv(spark, f"{out}/csv"), "csv")
+    )
+    return loaded.withColumn("turn", F.col("meta")["turn"]).drop("meta")
+
+
 def e2_case_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two datasets out of the same turns: by turn, and by conversation with repeated ids."""
     opening = F.col("slice") == "opening"
@@ -503,7 +528,7 @@ REGISTERED = (
     s1_stream_ingest, s2_last_known_good, s2_served_metrics, s3_offline_gaps, s3_offline_alerts, s3_silent_now,
     s4_latest_per_system,
     s5_tumbling_counters, s5_sliding_counters, s5_session_counters, s5_session_stream, s5_session_updates,
-    e1_load_cases, e2_case_violations, e3_variant_matrix, e4_run_outputs, e5_rubric_scores,
+    e1_load_cases, e1_load_large_files, e2_case_violations, e3_variant_matrix, e4_run_outputs, e5_rubric_scores,
     e5_value_rubrics, e5_custom_rubric, e6_composite_gate, e_chain, e7_run_summary, e8_compare_runs, e8_class_counts,
     e9_export_regressions, e10_run_history, e11_leaderboard, e11_pairwise_win_rate,
     e12_label_agreement, e13_audit_diff, e13_manifest, e14_private_log, e14_private_counts,

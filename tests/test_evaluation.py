@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -196,3 +198,80 @@ def test_answers_that_are_not_text_are_errors(spark):
     answers = {"0": "yes", "1": 5, "2": {"a": 1}}
     got = {r["case_id"]: (r["output"], r["error"]) for r in evaluation.run_variants(df, answers.get, "r").collect()}
     assert got == {0: ("yes", None), 1: (None, "TypeError: answer is int, not text"), 2: (None, "TypeError: answer is dict, not text")}
+
+
+def _canonical(case):
+    return json.dumps(case, sort_keys=True)
+
+
+def _large(spark, reader, path, size, **more):
+    """Read with splits of a few bytes, so that states cross many of them."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        frame = reader(spark, path, **more)
+        return sorted(_canonical(r.asDict()) for r in frame.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def _odd_cases(rng, n):
+    bits = ["a", "é", '"', ",", "\n", "{", "}", "[", "]", "\\", " ", "x: y", '\\"', "}\n{", '""']
+    text = lambda: "".join(rng.choices(bits, k=rng.randrange(9)))
+    return [{"dataset_id": f"d{i % 2}", "case_id": i, "slice": text(), "input": text(), "expected": text(),
+             "meta": {"k": text(), "n": str(i)}} for i in range(n)]
+
+
+@pytest.mark.parametrize("size", [40, 333, 10**6])
+@pytest.mark.parametrize("layout", [None, 1])
+def test_large_arrays_are_read_by_many_tasks(spark, tmp_path, size, layout):
+    import random
+
+    made = _odd_cases(random.Random(size), 60)
+    for k in range(2):
+        (tmp_path / f"part{k}.json").write_text(json.dumps(made[k::2], indent=layout, ensure_ascii=False))
+    (tmp_path / "empty.json").write_text("[]\n")
+    (tmp_path / "broken.json").write_text('[{"case_id": "many", "input": 1}, 7]')
+    got = _large(spark, lambda s, p: cases.accepted(cases.load_large_array(s, p)), str(tmp_path), size)
+    assert got == sorted(map(_canonical, made))
+    assert len(_large(spark, lambda s, p: cases.quarantine(cases.load_large_array(s, p)), str(tmp_path), size)) == 2
+
+
+@pytest.mark.parametrize("size", [40, 333, 10**6])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_large_quoted_csv_is_read_by_many_tasks(spark, tmp_path, size, end):
+    import csv
+    import io
+    import random
+
+    made = _odd_cases(random.Random(size), 60)
+    for k in range(2):
+        out = io.StringIO()
+        writer = csv.writer(out, lineterminator=end, quoting=csv.QUOTE_ALL)
+        writer.writerow(made[0])
+        for case in made[k::2]:
+            writer.writerow([*list(case.values())[:-1], json.dumps(case["meta"])])
+        (tmp_path / f"part{k}.csv").write_text(out.getvalue() + (f"d0,99{end}" if k else ""), newline="")
+    loaded = lambda s, p: cases.accepted(cases.load_large_csv(s, p))
+    got = _large(spark, loaded, str(tmp_path), size)
+    # An empty field is no value in CSV.
+    assert got == sorted(_canonical({k: (v if v != "" else None) for k, v in case.items()}) for case in made)
+    assert len(_large(spark, lambda s, p: cases.quarantine(cases.load_large_csv(s, p)), str(tmp_path), size)) == 1
+
+
+def test_a_quote_that_never_closes_stays_bounded(spark, tmp_path, monkeypatch):
+    from evalframe.sources import splits
+
+    monkeypatch.setattr(splits, "MOST_PIECES", 5)
+    (tmp_path / "a.csv").write_text("d,1,s,i,e,\n" + 'd,2,"open\n' + "d,3,s,i,e,\n" * 20)
+    got = [r["record"] for r in splits.csv_records(spark, str(tmp_path)).collect()]
+    assert len(got) == 22 and sorted(got)[0] == "d,1,s,i,e,"
+
+
+def test_a_rubric_without_weight_stops_the_gate(spark):
+    scores = spark.createDataFrame([(1, "exact", 1.0), (1, "new", 0.0)], "case_id int, rubric string, score double")
+    with pytest.raises(Exception, match="no weight for rubric new"):
+        evaluation.composite_gate(scores, ["case_id"], {"exact": 1}, {}, 0.5).collect()
+    (row,) = evaluation.composite_gate(scores, ["case_id"], {"exact": 1, "new": 0}, {}, 0.5).collect()
+    assert row["composite"] == 1.0 and row["passed"]

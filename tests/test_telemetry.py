@@ -339,3 +339,10 @@ def test_activity_window_edge(spark):
     df = spark.createDataFrame(rows, "system bigint, commit_id bigint, commit_at timestamp_ntz")
     got = {r["system"]: (r["commits_total"], r["commits_30d"]) for r in telemetry.activity_snapshot(df, instant(asof)).collect()}
     assert got == {1: (2, 1), 2: (1, 0)}
+
+
+def test_language_of_a_system_has_most_lines(spark):
+    files = [(1, "a.py", "Python", "x\n" * 5), (1, "b.ts", "TypeScript", "x\n" * 3), (1, "c.ts", "TypeScript", "x\n" * 3), (2, "d.md", None, "x")]
+    df = spark.createDataFrame(files, "system int, path string, language string, text string")
+    got = {r["system"]: (r["lines_of_code"], r["primary_language"]) for r in telemetry.code_of_systems(df).collect()}
+    assert got == {1: (11, "TypeScript"), 2: (1, None)}
