@@ -19,9 +19,9 @@ import tempfile
 import numpy as np
 
 #: Waiting tuples held in memory, and tuples a bucket is made for.
-MEMORY, BUCKET = 250_000, 1 << 15
+MEMORY, BUCKET = 8_000_000, 1 << 15
 #: A string of names up to this long is ordered in memory; a longer one by recursion.
-DIRECT = 1 << 12
+DIRECT = 1 << 18
 _SYMBOL, _KIND = np.uint64(34), np.uint64(33)
 _LEAST, _MOST = 512, 1 << 17
 

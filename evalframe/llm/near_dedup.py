@@ -56,7 +56,7 @@ SIMILARITY = 0.8
 BORDER = 1 - 2 * (1 - SIMILARITY) - 1e-9
 BANDS, SKETCHES = 24, 3
 #: Levels with a single pivot, and pivots of the later levels.
-SINGLE, PIVOTS = 3, 32
+SINGLE, PIVOTS = 2, 32
 #: Shares of a text's shingles that two similar texts must both hold: of the longer, of the shorter.
 LONGER, SHORTER = SIMILARITY, 2 * SIMILARITY / (1 + SIMILARITY)
 #: Hashes held at once while sketching one text.
@@ -266,12 +266,13 @@ def _link_texts(members: DataFrame, texts: DataFrame) -> DataFrame:
         scores = fresh if scores is None else scores.unionAll(fresh)
         told = met.join(scores, ["a", "b"])
         linked = told.where(F.col("similarity") >= SIMILARITY)
-        new_links = linked.select("a", "b").distinct()
-        links = written(new_links if links is None else links.unionAll(new_links), "links")
+        new_links = written(linked.select("a", "b").distinct(), "links")
         close = told.where(F.col("similarity") >= BORDER).select("bucket", "pivot", "id", "similarity")
         border = close if border is None else border.unionAll(close)
         settled = linked.select("bucket", "id").unionAll(chosen.select("bucket", F.col("pivot").alias("id")))
-        joined = components(links)
+        if links is None or not new_links.isEmpty():
+            links = new_links if links is None else links.unionAll(new_links)
+            joined = components(links)
         after = _placed(left.join(settled.distinct(), ["bucket", "id"], "left_anti"), joined)
         left = written(_meetable(after), "unlinked")
         level += 1
