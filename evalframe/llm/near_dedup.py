@@ -5,25 +5,26 @@ Texts with the same words are one text; the smallest id stands for it. Of each d
 with their occurrence, under one hash function, kept in text order. Texts that agree in all
 sketches of a band share a bucket.
 
-A bucket is worked in levels, never as all its pairs. At each level the first members still
-unlinked are pivots; other members are aligned with them, in tasks dealt by pair, unless the
-links so far have put both in one component. Members linked to a pivot leave the level.
+A bucket is worked in levels, never as all its pairs. At each of the first levels the first
+member still unlinked is a pivot and compared with every member, in tasks dealt by pair, unless
+the links so far have put both in one component. Members linked to a pivot leave the level.
 Members go by the sum of the sizes of their buckets, the largest first: the text that others
-were copied from shares more buckets than any copy. The first levels take one pivot and
-compare it with every member, which settles a large group of copies at once. A bucket is done
-once its members left are of one component.
-
-Buckets that are then still crowded hold texts that are somewhat alike, often by a passage that
-very many share, but that are mostly no near copies. Members left meet only over a rare shingle:
-in the order of how many of these texts hold them, two texts that align to 0.8 share one of the
-rarest fifth of the longer's shingles and of the rarest ninth of the shorter's (the prefix filter of
-set similarity joins; no such pair is missed). Those shingles are the buckets of the later
-levels, which take up to ``PIVOTS`` pivots and four times as many from one level to the next.
-Texts that share no more than a common passage have no bucket together.
-
-The distance used, one less the similarity, is a metric, so two members that were not
-compared can only be similar if one is linked to a pivot and the other lies within twice the
-limit of it; those pairs are compared in the end, unless links already join them.
+were copied from shares more buckets than any copy, so a large group of copies is settled at
+once. A bucket is done once its members left are of one component.
+
+The distance used, one less the similarity, is a metric, so of the members that were compared
+with one pivot only those can be similar of which one is linked to it and the other lies within
+the limit of the farthest linked one. Those, and the members left, are the crowd that still has to be
+compared. It may hold many texts that are somewhat alike, often by a passage that very many share.
+
+The crowd meets only over rare shingles (prefix and position filter of set similarity joins; no
+pair of 0.8 is missed). Its shingles have one order: those of one component only come first, as
+they join nobody, then those that the fewest texts hold. Two texts with n1 and n2 shingles that
+align to 0.8 share 4/9 of n1 + n2, so from the first shingle they share on, each has that many;
+they meet only over a shingle from which on both do. Texts that share no more than a common
+passage meet nowhere. A shingle's members, too, are worked in levels: up to ``PIVOTS`` of them, of the
+components with the fewest members there first, meet all others of other components, and four
+times as many at each further level, until those that were no pivots are of one component.
 
 Similarity is that of the two shingle sequences under their best order-preserving alignment:
 aligned / (n1 + n2 - aligned), 0.8 or more. Shingles align only within the band outside
@@ -55,10 +56,10 @@ SIMILARITY = 0.8
 #: Twice the limit of the distance: farther members share no neighbour with a pivot.
 BORDER = 1 - 2 * (1 - SIMILARITY) - 1e-9
 BANDS, SKETCHES = 24, 3
-#: Levels with a single pivot, and pivots of the later levels.
+#: Levels with a single pivot a bucket, and pivots of a rare shingle at first.
 SINGLE, PIVOTS = 2, 32
-#: Shares of a text's shingles that two similar texts must both hold: of the longer, of the shorter.
-LONGER, SHORTER = SIMILARITY, 2 * SIMILARITY / (1 + SIMILARITY)
+#: Share of the shingles of two similar texts, counted together, that both must hold.
+SHARED = SIMILARITY / (1 + SIMILARITY)
 #: Hashes held at once while sketching one text.
 CELLS = 1_000_000
 _MAX = np.uint64(2**64 - 1)
@@ -194,42 +195,71 @@ def _placed(members: DataFrame, joined: DataFrame | None) -> DataFrame:
     ).drop("_id", "_component")
 
 
-def _shingle_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _shingle_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for at, words in zip(range(len(batch)), word_hashes(batch["text"]), strict=True):
-            held = labelled(shingle_hashes(words)).view(np.int64)
-            yield pd.DataFrame({"id": batch["id"].iloc[at], "shingle": held})
+        held = [labelled(shingle_hashes(words)).view(np.int64) for words in word_hashes(batch["text"])]
+        yield batch.drop(columns="text").assign(shingles=held)
 
 
-def _rare_buckets(left: DataFrame, texts: DataFrame) -> DataFrame:
-    """The members left, in buckets of the rare shingles over which similar ones must meet.
+def _rare_buckets(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Members in buckets of the rare shingles over which similar ones of two components must meet.
 
-    ``leads`` marks the members whose rarest ninth holds the shingle; a pair needs one of them.
-    Shingles of one text only join nobody and are counted off, not sorted.
+    All shingles have one order: those of a single text or component join nobody and come first,
+    then the rarest. ``rest`` is the number of a member's shingles from that of the bucket on.
     """
-    members = left.select("id", "n", "weight").distinct()
-    held = texts.join(members.select("id"), "id", "left_semi").mapInPandas(_shingle_rows, "id bigint, shingle bigint")
-    held = written(held, "held-shingles")
-    common = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    rare_first = F.array_sort(F.collect_list(F.struct("f", "shingle")))
-    ordered = held.join(common, "shingle").groupBy("id").agg(rare_first.alias("order"))
-    alone = F.col("n") - F.size("order")
-    prefix = lambda share: (F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1 - alone).cast("int")
-    cut = ordered.join(members, "id").select(
-        "id", "n", "weight", prefix(SHORTER).alias("_lead"), F.slice("order", 1, F.greatest(prefix(LONGER), F.lit(0))).alias("order")
-    )
-    spread = cut.select("id", "n", "weight", "_lead", F.posexplode("order").alias("at", "x")).select(
-        F.col("x.shingle").alias("bucket"), "id", "n", "weight", (F.col("at") < F.col("_lead")).alias("leads")
+    sets = written(
+        members.join(texts, "id").mapInPandas(_shingle_sets, "id bigint, n int, weight bigint, component bigint, shingles array<bigint>"),
+        "shingle-sets",
     )
-    return spread
+    single = sets.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("f"), F.min("id").alias("id")
+    ).where("f = 1").groupBy("id").agg(F.count(F.lit(1)).alias("_own"))
+    places = F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1
+    able = sets.join(single, "id", "left").where(F.coalesce("_own", F.lit(0)) < places).drop("_own")
+    held = written(able, "able-sets").select("id", "n", "weight", "component", F.explode("shingles").alias("shingle"))
+    common = held.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("f"), F.min("component").alias("a"), F.max("component").alias("b")
+    ).where("a <> b").select("shingle", "f")
+    rare_first = F.array_sort(F.collect_list(F.struct("f", "shingle")))
+    ordered = held.join(common, "shingle").groupBy("id", "n", "weight", "component").agg(rare_first.alias("order"))
+    begins = (places - F.col("n") + F.size("order")).cast("int")
+    return ordered.withColumn("size", F.size("order")).select(
+        "id", "n", "weight", "component", "size", F.posexplode(F.slice("order", 1, F.greatest(begins, F.lit(0)))).alias("at", "x")
+    ).select(F.col("x.shingle").alias("bucket"), "id", "n", "weight", "component", (F.col("size") - F.col("at")).alias("rest"))
+
+
+def _several(left: DataFrame) -> DataFrame:
+    """Members of buckets that hold members of several components."""
+    ends = left.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
+    return left.join(ends.select("bucket"), "bucket", "left_semi")
 
 
 def _meetable(left: DataFrame) -> DataFrame:
-    """Members of buckets that still have a possible pivot and members of several components."""
+    """The same for buckets of shingles, of members that have a partner of fitting length there."""
+    reach = F.col("rest") / SHARED - F.col("n") + 1e-6  # the longest partner
     ends = left.groupBy("bucket").agg(
-        F.min("component").alias("a"), F.max("component").alias("b"), F.max("leads").alias("led")
-    ).where("a <> b AND led")
-    return left.join(ends.select("bucket"), "bucket", "left_semi")
+        F.min("component").alias("a"), F.max("component").alias("b"), F.min("n").alias("_shortest"), F.max(reach).alias("_reach")
+    ).where("a <> b").drop("a", "b")
+    return left.join(ends, "bucket").where((reach >= F.col("_shortest")) & (F.col("n") <= F.col("_reach"))).drop("_shortest", "_reach")
+
+
+def _apart(border: DataFrame, joined: DataFrame) -> DataFrame:
+    """``id`` of members that may be similar although one is linked to a pivot and one is not.
+
+    Of each pivot, the linked members that are far enough from it to reach the nearest one of
+    another component, and those others that the farthest linked one may reach.
+    """
+    of = lambda name: joined.select(F.col("id").alias(name), F.col("component").alias(f"_{name}"))
+    placed = border.join(of("pivot"), "pivot", "left").join(of("id"), "id", "left").select(
+        "bucket", "pivot", "id", (1 - F.col("similarity")).alias("d"), (F.col("similarity") >= SIMILARITY).alias("near"),
+        (F.coalesce("_pivot", "pivot") != F.coalesce("_id", "id")).alias("far"),
+    )
+    limit = 1 - SIMILARITY + 1e-9
+    ends = placed.groupBy("bucket", "pivot").agg(
+        F.min(F.when(F.col("far"), F.col("d"))).alias("_far"), F.max(F.when(F.col("near"), F.col("d"))).alias("_near")
+    ).where(F.col("_near") >= F.col("_far") - limit)
+    reaching = F.col("near") & (F.col("d") >= F.col("_far") - limit) | F.col("far") & (F.col("d") <= F.col("_near") + limit)
+    return placed.join(ends, ["bucket", "pivot"]).where(reaching).select("id").distinct()
 
 
 def _link_texts(members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -239,65 +269,66 @@ def _link_texts(members: DataFrame, texts: DataFrame) -> DataFrame:
     links: DataFrame | None = None
     border: DataFrame | None = None
     joined: DataFrame | None = None
-    left, level = _placed(members.withColumn("leads", F.lit(True)), None), 0
-    while level == 0 or not left.isEmpty():
-        single = level < SINGLE
-        if level == SINGLE:
-            left = written(_meetable(_placed(_rare_buckets(left, texts), joined)), "rare-members")
+
+    def compare(pairs: DataFrame) -> None:
+        """Score pairs not scored yet, and join what they link."""
+        nonlocal scores, links, joined
+        if scores is not None:
+            pairs = pairs.join(scores, ["a", "b"], "left_anti")
+        fresh = _scored(pairs, texts)
+        scores = fresh if scores is None else scores.unionAll(fresh)
+        new_links = fresh.where(F.col("similarity") >= SIMILARITY).select("a", "b")
+        if links is None or not new_links.isEmpty():
+            links = new_links if links is None else links.unionAll(new_links)
+            joined = components(links)
+
+    left = members
+    for level in range(SINGLE):
+        # The first member left of each bucket and all others. No link is needed within a component.
+        placed = written(_several(_placed(left, joined)), "unlinked") if level else _placed(left, None)
         ranked = Window.partitionBy("bucket").orderBy(F.col("weight").desc(), "id")
         chosen = written(
-            left.where("leads").withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= (1 if single else PIVOTS * 4 ** (level - SINGLE)))
+            placed.withColumn("_rank", F.row_number().over(ranked)).where("_rank = 1")
             .select("bucket", F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_in")),
             "pivots",
         )
-        others = _placed(members, joined) if single and level else left
-        # No link is needed within a component.
-        met = others.join(chosen, "bucket").where("component <> pivot_in").where(
+        met = _placed(members, joined).join(chosen, "bucket").where("component <> pivot_in").where(
             F.least("n", "pivot_n") >= BORDER * F.greatest("n", "pivot_n")
         )
-        if not single:  # pivots of one level meet once
-            also = chosen.select("bucket", F.col("pivot").alias("id"), F.lit(True).alias("_also"))
-            met = met.join(also, ["bucket", "id"], "left").where(F.col("_also").isNull() | (F.col("id") > F.col("pivot")))
         met = written(met.select("bucket", "id", "pivot", F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")), "met")
-        pairs = met.select("a", "b").distinct()
-        if scores is not None:
-            pairs = pairs.join(scores, ["a", "b"], "left_anti")
-        fresh = _scored(pairs, texts)
-        scores = fresh if scores is None else scores.unionAll(fresh)
-        told = met.join(scores, ["a", "b"])
-        linked = told.where(F.col("similarity") >= SIMILARITY)
-        new_links = written(linked.select("a", "b").distinct(), "links")
-        close = told.where(F.col("similarity") >= BORDER).select("bucket", "pivot", "id", "similarity")
-        border = close if border is None else border.unionAll(close)
-        settled = linked.select("bucket", "id").unionAll(chosen.select("bucket", F.col("pivot").alias("id")))
-        if links is None or not new_links.isEmpty():
-            links = new_links if links is None else links.unionAll(new_links)
-            joined = components(links)
-        after = _placed(left.join(settled.distinct(), ["bucket", "id"], "left_anti"), joined)
-        left = written(_meetable(after), "unlinked")
-        level += 1
-    border = written(border, "border")
-    while True:
-        # Members within twice the limit of a pivot, in another component than the pivot's links.
-        of = lambda name: joined.select(F.col("id").alias(name), F.col("component").alias(f"_{name}"))
-        placed = border.join(of("pivot"), "pivot", "left").join(of("id"), "id", "left").withColumns({
-            "_pivot": F.coalesce("_pivot", "pivot"), "_id": F.coalesce("_id", "id"),
-        })
-        far = placed.where("_id <> _pivot").select(
-            "bucket", "pivot", F.col("id").alias("far"), (1 - F.col("similarity")).alias("far_d")
+        compare(met.select("a", "b").distinct())
+        told = written(met.join(scores.where(F.col("similarity") >= BORDER), ["a", "b"]).select("bucket", "pivot", "id", "similarity"), "border")
+        border = told if border is None else border.unionAll(told)
+        settled = told.where(F.col("similarity") >= SIMILARITY).select("bucket", "id").unionAll(
+            chosen.select("bucket", F.col("pivot").alias("id"))
         )
-        near = placed.where(F.col("similarity") >= SIMILARITY).select(
-            "bucket", "pivot", F.col("id").alias("near"), (1 - F.col("similarity")).alias("near_d")
+        left = placed.join(settled, ["bucket", "id"], "left_anti")
+    apart = _several(_placed(left, joined)).select("id").distinct()
+    if border is not None:
+        apart = apart.unionAll(_apart(border, joined)).distinct()
+    crowd = members.select("id", "n", "weight").distinct().join(apart, "id", "left_semi")
+    left, level = written(_meetable(_rare_buckets(_placed(crowd, joined), texts)), "rare-members"), 0
+    while not left.isEmpty():
+        # Members of small components are the pivots, so those of the largest need not be.
+        of_component = left.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("_of"))
+        ranked = Window.partitionBy("bucket").orderBy("_of", F.col("weight").desc(), "id")
+        chosen = written(
+            left.join(of_component, ["bucket", "component"]).withColumn("_rank", F.row_number().over(ranked))
+            .where(F.col("_rank") <= PIVOTS * 4**level).select("bucket", "id"),
+            "pivots",
         )
-        cross = far.join(near, ["bucket", "pivot"]).where(F.col("near_d") >= F.col("far_d") - (1 - SIMILARITY) - 1e-9)
-        pairs = cross.select(F.least("near", "far").alias("a"), F.greatest("near", "far").alias("b")).distinct()
-        fresh = written(pairs.join(scores, ["a", "b"], "left_anti"), "cross")
-        if fresh.isEmpty():
-            return joined
-        told = _scored(fresh, texts)
-        scores = scores.unionAll(told)
-        links = written(links.unionAll(told.where(F.col("similarity") >= SIMILARITY).select("a", "b")), "links")
-        joined = components(links)
+        marked = left.join(chosen.withColumn("_chosen", F.lit(True)), ["bucket", "id"], "left")
+        pivots = marked.where("_chosen").select("bucket", *(F.col(x).alias(f"pivot_{x}") for x in ("id", "n", "component", "rest")))
+        met = marked.join(pivots, "bucket").where(
+            (F.col("component") != F.col("pivot_component")) & (F.col("_chosen").isNull() | (F.col("id") > F.col("pivot_id")))
+            & (F.least("rest", "pivot_rest") >= SHARED * (F.col("n") + F.col("pivot_n")) - 1e-6)
+        )
+        pairs = met.select(F.least("id", "pivot_id").alias("a"), F.greatest("id", "pivot_id").alias("b")).distinct()
+        compare(written(pairs, "met"))
+        after = _placed(left.join(chosen, ["bucket", "id"], "left_anti"), joined)
+        left = written(_meetable(after), "rare-members")
+        level += 1
+    return _placed(members.select("id").distinct(), None) if joined is None else joined
 
 
 def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
